@@ -56,6 +56,13 @@ def as_date(c: Column, dtype: T.DataType, formats=vocab.DATE_FORMATS) -> Column:
     return parse_date(c.cast("string"), formats)
 
 
+def date_or_null(c: Column, dtype: T.DataType, formats=vocab.DATE_FORMATS) -> Column:
+    """``as_date`` for any type: numbers and booleans are no dates."""
+    if is_temporal(dtype) or isinstance(dtype, T.StringType):
+        return as_date(c, dtype, formats)
+    return F.lit(None).cast("date")
+
+
 def is_iso_date(c: Column) -> Column:
     return c.rlike(vocab.ISO_DATE_PATTERN)
 

@@ -63,6 +63,13 @@ def as_number(c: Column, dtype: T.DataType, parse: str = "money") -> Column:
     return PARSERS[parse](c.cast("string"))
 
 
+def number_or_null(c: Column, dtype: T.DataType, parse: str = "plain") -> Column:
+    """``as_number`` for any type: what is neither number, boolean nor text has no number."""
+    if is_numeric(dtype) or isinstance(dtype, (T.BooleanType, T.StringType)):
+        return as_number(c, dtype, parse)
+    return F.lit(None).cast("double")
+
+
 def spanish_number(c: Column, decimals: int = 2) -> Column:
     """``1.234.567,89``: dots for thousands, comma for decimals."""
     return F.translate(F.format_number(c, decimals), ",.", ".,")

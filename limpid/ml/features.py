@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.functions.text import is_bool_token
-from limpid.operators.columns import cardinalities, column_table, share
-from limpid.operators.frequency import cell
+from limpid.operators.columns import cardinalities, column_dict, estimate, non_null, rows, share
 
 NAME_FEATURES = ("name_len", "has_id", "has_pct", "has_amt", "digits_ratio", "underscores")
 VALUE_FEATURES = ("nunique_ratio", "is_num_ratio", "money_ratio", "bool_ratio", "date_ratio", "mean_len")
@@ -33,50 +32,36 @@ def name_features(name: Column) -> dict[str, Column]:
     }
 
 
-def _text(df: DataFrame, c: str) -> Column:
-    return cell(df, c).cast("string")
+def _number(v: Column, kind: T.DataType) -> Column:
+    return v if numbers.is_numeric(kind) else numbers.relaxed_number(v.cast("string"))
 
 
-def _day(df: DataFrame, c: str, formats) -> Column:
-    kind = df.schema[c].dataType
-    if numbers.is_numeric(kind) or isinstance(kind, T.BooleanType):
-        return F.lit(None).cast("date")
-    return dates.as_date(cell(df, c), kind, formats)
-
-
-def _number(df: DataFrame, c: str) -> Column:
-    if numbers.is_numeric(df.schema[c].dataType):
-        return cell(df, c).cast("double")
-    return numbers.relaxed_number(_text(df, c))
-
-
-def _ratio(part: Column, df: DataFrame, c: str) -> Column:
-    return F.coalesce(F.count(part) / F.nullif(F.count(cell(df, c)), F.lit(0)), F.lit(0.0))
+def _ratio(part: Column, v: Column) -> Column:
+    return F.coalesce(F.count(part) / F.nullif(F.count(v), F.lit(0)), F.lit(0.0))
 
 
 VALUE_MEASURES = {
-    "rows": lambda d, c: F.count(F.lit(1)),
-    "non_null": lambda d, c: F.count(cell(d, c)),
-    "estimate": lambda d, c: F.approx_count_distinct(cell(d, c), 0.02),
-    "is_num_ratio": lambda d, c: _ratio(_number(d, c), d, c),
-    "money_ratio": lambda d, c: F.coalesce(share(_text(d, c).rlike(vocab.MONEY_FEATURE_PATTERN)), F.lit(0.0)),
-    "bool_ratio": lambda d, c: F.coalesce(share(is_bool_token(_text(d, c), vocab.BOOL_WIDE)), F.lit(0.0)),
-    "date_ratio": lambda d, c: F.greatest(_ratio(_day(d, c, dates.MONTH_FIRST), d, c),
-                                          _ratio(_day(d, c, dates.DAY_FIRST), d, c)),
-    "mean_len": lambda d, c: F.coalesce(F.avg(F.length(_text(d, c))), F.lit(0.0)),
+    "rows": rows,
+    "non_null": non_null,
+    "estimate": estimate,
+    "is_num_ratio": lambda v, kind: _ratio(_number(v, kind), v),
+    "money_ratio": lambda v, kind: F.coalesce(share(v.cast("string").rlike(vocab.MONEY_FEATURE_PATTERN)), F.lit(0.0)),
+    "bool_ratio": lambda v, kind: F.coalesce(share(is_bool_token(v.cast("string"), vocab.BOOL_WIDE)), F.lit(0.0)),
+    "date_ratio": lambda v, kind: F.greatest(_ratio(dates.date_or_null(v, kind, dates.MONTH_FIRST), v),
+                                             _ratio(dates.date_or_null(v, kind, dates.DAY_FIRST), v)),
+    "mean_len": lambda v, kind: F.coalesce(F.avg(F.length(v.cast("string"))), F.lit(0.0)),
 }
 
 
 def column_features(df: DataFrame, dataset: str = "") -> DataFrame:
     """``(dataset, column, *name features, *value features)`` over all values of every column."""
-    values = column_table(df, VALUE_MEASURES)
-    facts = {r["column"]: r.asDict() for r in values.collect()}
+    facts = column_dict(df, VALUE_MEASURES)
     counted = cardinalities(df, stats=facts)
     spark = df.sparkSession
-    rows = [(dataset, c, counted[c] / max(1, s["non_null"]), *(float(s[k]) for k in VALUE_FEATURES[1:]))
+    values = [(dataset, c, counted[c] / max(1, s["non_null"]), *(float(s[k]) for k in VALUE_FEATURES[1:]))
             for c, s in facts.items()]
     fields = ", ".join(f"{k} double" for k in VALUE_FEATURES)
-    table = spark.createDataFrame(rows, f"dataset string, column string, {fields}")
+    table = spark.createDataFrame(values, f"dataset string, column string, {fields}")
     return table.withColumns(name_features(F.col("column")))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.operators.clean import tolerant_date
-from limpid.operators.columns import col, null_percent
+from limpid.operators.cells import col
+from limpid.operators.columns import null_percent
 
 CHART_SCHEMA = "chart_id string, x string, y string, low double, high double, value double"
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limpid import vocab
 from limpid.functions import dates, numbers, text
 from limpid.operators import frequency
-from limpid.operators.columns import col, column_dict, is_missing
+from limpid.operators.cells import cell, col
+from limpid.operators.columns import column_dict, non_null
 from limpid.operators.dedup import POSITION, distinct_rows, keep_first
 
 ISO_SHARE = 0.6
@@ -42,11 +43,9 @@ def _shapes(df: DataFrame) -> dict[str, dict]:
     candidates = [f.name for f in df.schema if f.name != POSITION
                   and isinstance(f.dataType, (T.StringType, T.BooleanType, T.IntegralType))]
     stats = column_dict(df, {
-        "rows": lambda d, c: F.count(F.lit(1)),
-        "non_null": lambda d, c: F.count(col(c)),
-        "bools": lambda d, c: F.count_if(text.is_bool_token(col(c).cast("string"))),
-        "iso": lambda d, c: (F.count_if(dates.is_iso_date(col(c)))
-                             if isinstance(d.schema[c].dataType, T.StringType) else F.lit(0).cast("long")),
+        "non_null": non_null,
+        "bools": lambda v, kind: F.count_if(text.is_bool_token(v.cast("string"))),
+        "iso": lambda v, kind: F.count_if(dates.is_iso_date(v) if isinstance(kind, T.StringType) else F.lit(False)),
     }, candidates)
     for s in stats.values():
         s["all_bool"] = 0 < s["non_null"] == s["bools"]
@@ -75,8 +74,8 @@ def normalize_dates(df: DataFrame, min_success_ratio: float = PARSE_SHARE, forma
     """
     formats = formats or vocab.DATE_FORMATS
     stats = column_dict(df, {
-        "parsed": lambda d, c: F.count(dates.parse_date(col(c), formats)),
-        "non_null": lambda d, c: F.count(col(c)),
+        "parsed": lambda v, kind: F.count(dates.parse_date(v, formats)),
+        "non_null": non_null,
     }, text_columns(df))
     chosen = [c for c, s in stats.items() if s["non_null"] and s["parsed"] / s["non_null"] >= min_success_ratio]
     changes = {c: dates.iso_text(dates.parse_date(col(c), formats)) for c in chosen}
@@ -136,9 +135,8 @@ def impute(df: DataFrame, rules: dict | None) -> tuple[DataFrame, dict[str, int]
     if not plan:
         return df, {}
     stats = column_dict(df, {
-        "missing": lambda d, c: F.count_if(is_missing(d, c)),
-        "mean": lambda d, c: F.avg(numbers.as_number(col(c), d.schema[c].dataType, "plain")
-                                   if plan[c][0] == "mean" else F.lit(None).cast("double")),
+        "missing": lambda v, kind: F.count_if(v.isNull()),
+        "mean": lambda v, kind: F.avg(numbers.number_or_null(v, kind)),
     }, plan)
     plan = {c: p for c, p in plan.items() if stats[c]["missing"]}
     modes = frequency.modes(df, [c for c, p in plan.items() if p[0] == "mode"])
@@ -154,7 +152,7 @@ def impute(df: DataFrame, rules: dict | None) -> tuple[DataFrame, dict[str, int]
 
 def _filled(df: DataFrame, name: str, fill) -> Column:
     kind = df.schema[name].dataType
-    value = frequency.cell(df, name)
+    value = cell(df, name)
     if isinstance(fill, float) and isinstance(kind, T.IntegralType):
         return F.coalesce(value.cast("double"), F.lit(fill))
     if isinstance(fill, str) and numbers.is_numeric(kind):  # a text fill turns a numeric column into text

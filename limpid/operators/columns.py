@@ -5,55 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from limpid.operators.cells import cell, cell_sql, col, sql_text, sql_value
 from limpid.operators.frequency import value_counts
 
-Measure = Callable[[DataFrame, str], Column]
+# a measure turns the values of a column, and their type, into an aggregate
+Measure = Callable[[Column, T.DataType], Column]
 
 
-def column_table(df: DataFrame, measures: dict[str, Measure], columns=None, batch: int = 100) -> DataFrame:
+def column_table(df: DataFrame, measures: dict[str, Measure], columns=None, constants=None) -> DataFrame:
     """One row ``(ordinal, column, *measures)`` per column of ``df``.
 
-    All measures of up to ``batch`` columns share one scan and one aggregate with map-side combine; a wider
-    table is scanned once per batch, each scan reading only that batch's columns.
+    Columns of one type are stacked into cells and aggregated by column name, so the size of the generated
+    code depends on the measures and not on the width of the table. Each task sends one row per column to the
+    shuffle. Every type is its own scan of just its columns, so a columnar source is read once in total.
+
+    ``constants`` gives further cell fields, ``{field: {column: value}}``. NaN is read as missing. An empty
+    table has no cells and so gives no rows.
     """
     columns = list(columns if columns is not None else df.columns)
+    constants = constants or {}
+    by_type: dict[T.DataType, list] = {}
+    for ordinal, name in enumerate(columns):
+        by_type.setdefault(df.schema[name].dataType, []).append((ordinal, name))
+    fields = ", ".join(["ordinal", "column", "value", *constants])
     parts = []
-    for start in range(0, len(columns), batch):
-        chunk = list(enumerate(columns[start:start + batch], start))
-        packed = df.agg(*[
-            F.struct(*[measure(df, name).alias(key) for key, measure in measures.items()]).alias(f"m{i}")
-            for i, name in chunk
-        ])
-        rows = [
-            F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column"),
-                     *[F.col(f"m{i}")[key].alias(key) for key in measures])
-            for i, name in chunk
-        ]
-        parts.append(packed.select(F.inline(F.array(*rows))))
+    for kind, members in by_type.items():
+        cells = ", ".join(
+            ", ".join([str(i), sql_text(c), cell_sql(df, c), *(sql_value(v.get(c)) for v in constants.values())])
+            for i, c in members)
+        stacked = df.selectExpr(f"stack({len(members)}, {cells}) as ({fields})")
+        parts.append(stacked.groupBy("ordinal", "column").agg(
+            *[measure(F.col("value"), kind).alias(key) for key, measure in measures.items()]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_dict(df: DataFrame, measures: dict[str, Measure], columns=None) -> dict[str, dict]:
-    """``column_table`` as a driver dict: one small entry per column."""
+def column_dict(df: DataFrame, measures: dict[str, Measure], columns=None, constants=None) -> dict[str, dict]:
+    """``column_table`` as a driver dict: one small entry per column, counts zero over an empty table."""
     columns = list(columns if columns is not None else df.columns)
     if not columns:
         return {}
-    table = column_table(df, measures, columns)
-    return {row["column"]: row.asDict() for row in table.collect()}
+    table = column_table(df, measures, columns, constants)
+    nothing = {f.name: 0 if isinstance(f.dataType, T.LongType) else None for f in table.schema}
+    found = {row["column"]: row.asDict() for row in table.collect()}
+    return {c: found.get(c, {**nothing, "column": c}) for c in columns}
 
 
-def col(name: str) -> Column:
-    """Column by exact name; dots and the like in the name are not taken as field access."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def rows(v: Column, kind: T.DataType) -> Column:
+    return F.count(F.lit(1))
 
 
-def is_missing(df: DataFrame, name: str) -> Column:
-    c = col(name)
-    if df.schema[name].dataType.typeName() in ("double", "float"):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+def non_null(v: Column, kind: T.DataType) -> Column:
+    return F.count(v)
+
+
+def estimate(v: Column, kind: T.DataType) -> Column:
+    return F.approx_count_distinct(v)
 
 
 def share(flag: Column) -> Column:
@@ -61,10 +69,13 @@ def share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    return cell(df, name).isNull()
+
+
 def null_percent(df: DataFrame, columns=None) -> DataFrame:
     """``(column, null_pct)``: percent of missing values, 0 to 100."""
-    measures = {"null_pct": lambda d, c: F.coalesce(share(is_missing(d, c)) * 100, F.lit(0.0))}
-    return column_table(df, measures, columns).drop("ordinal")
+    return column_table(df, {"null_pct": lambda v, kind: share(v.isNull()) * 100}, columns).drop("ordinal")
 
 
 def missing_overall(df: DataFrame) -> DataFrame:
@@ -72,13 +83,9 @@ def missing_overall(df: DataFrame) -> DataFrame:
     return null_percent(df).agg(F.avg("null_pct").alias("missing_overall_pct"))
 
 
-def basic_stats(df: DataFrame, columns=None, rsd: float = 0.02) -> dict[str, dict]:
-    """Rows, non-nulls, estimated distincts and an is-varying flag per column."""
-    return column_dict(df, {
-        "rows": lambda d, c: F.count(F.lit(1)),
-        "non_null": lambda d, c: F.count_if(~is_missing(d, c)),
-        "estimate": lambda d, c: F.approx_count_distinct(col(c), rsd),
-    }, columns)
+def basic_stats(df: DataFrame, columns=None) -> dict[str, dict]:
+    """Rows, non-nulls and estimated distinct values per column."""
+    return column_dict(df, {"rows": rows, "non_null": non_null, "estimate": estimate}, columns)
 
 
 def coverage(stats: dict) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from limpid.operators.columns import col
+from limpid.operators.cells import col
 
 POSITION = "_pos"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from limpid.functions import dates
 from limpid.operators.clean import tolerant_date
-from limpid.operators.columns import col
+from limpid.operators.cells import col
 from limpid.operators.frequency import top_values, value_counts
 
 DOMAIN_SCHEMA = "field string, type string, low string, high string, value string, n long, rank int"

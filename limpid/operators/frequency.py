@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from limpid.functions.text import strip
-
-
-FLOATS = ("float", "double")
-WHOLES = ("byte", "short", "integer", "long")
-
-
-def cell(df: DataFrame, name: str) -> Column:
-    """A column by exact name, NaN read as missing."""
-    c = F.col("`" + name.replace("`", "``") + "`")
-    if df.schema[name].dataType.typeName() in FLOATS:
-        return F.nullif(c, F.lit(float("nan")).cast(df.schema[name].dataType))
-    return c
+from limpid.operators.cells import FLOATS, WHOLES, cell_sql, kind_of, quoted, sql_text
 
 
 def melt(df: DataFrame, columns=None, order_by: str | None = None) -> DataFrame:
     """``(column, value[, pos])``: all columns as text, one row per cell."""
     columns = list(columns if columns is not None else df.columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), cell(df, c).cast("string").alias("value")) for c in columns])
-    keep = [F.col(order_by).alias("pos")] if order_by else []
-    return df.select(F.inline(pairs), *keep)
+    cells = ", ".join(f"{sql_text(c)}, string({cell_sql(df, c)})" for c in columns)
+    keep = [f"{quoted(order_by)} as pos"] if order_by else []
+    return df.selectExpr(f"stack({len(columns)}, {cells}) as (column, value)", *keep)
 
 
 def value_counts(df: DataFrame, columns=None, order_by: str | None = None) -> DataFrame:
@@ -91,17 +80,16 @@ def modes(df: DataFrame, columns) -> dict:
     columns = list(columns)
     if not columns:
         return {}
-    fields = []
+    slots = ("text", "string"), ("whole", "long"), ("fraction", "double")
+    cells = []
     for c in columns:
-        kind = df.schema[c].dataType.typeName()
-        slot = "whole" if kind in WHOLES else "fraction" if kind in FLOATS else "text"
-        fields.append(F.struct(F.lit(c).alias("column"), *[
-            (cell(df, c) if name == slot else F.lit(None)).cast(dtype).alias(name)
-            for name, dtype in (("text", "string"), ("whole", "long"), ("fraction", "double"))]))
-    keys = ["column", "text", "whole", "fraction"]
-    counted = (df.select(F.inline(F.array(*fields)))
+        kind = kind_of(df, c)
+        mine = "whole" if kind in WHOLES else "fraction" if kind in FLOATS else "text"
+        cells.append(sql_text(c))
+        cells += [f"cast({cell_sql(df, c) if slot == mine else 'null'} as {kind})" for slot, kind in slots]
+    counted = (df.selectExpr(f"stack({len(columns)}, {', '.join(cells)}) as (column, text, whole, fraction)")
                .where("text is not null or whole is not null or fraction is not null")
-               .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+               .groupBy("column", "text", "whole", "fraction").agg(F.count(F.lit(1)).alias("n")))
     best_first = Window.partitionBy("column").orderBy(F.col("n").desc(), "text", "whole", "fraction")
     best = counted.withColumn("rank", F.row_number().over(best_first)).where("rank = 1").collect()
     found = {}

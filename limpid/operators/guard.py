@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from limpid import vocab
 from limpid.functions import numbers
-from limpid.operators.columns import cardinalities, col, column_dict, is_missing
+from limpid.operators.cells import cell
+from limpid.operators.columns import cardinalities, column_dict, estimate, non_null, rows
 
 HEALTH_SCHEMA = "chart_id string, score double, code string, severity string, message string"
 
@@ -34,28 +35,22 @@ def measure_charts(df: DataFrame, charts: list[dict]) -> dict:
     if not used:
         return {"columns": {}, "sums": {}, "cardinality": {}}
 
-    def number(d, c):
-        kind = d.schema[c].dataType
-        if numbers.is_numeric(kind) or kind.typeName() in ("string", "boolean"):
-            return numbers.as_number(col(c), kind, "plain")
-        return F.lit(None).cast("double")
-
     columns = column_dict(df, {
-        "rows": lambda d, c: F.count(F.lit(1)),
-        "non_null": lambda d, c: F.count_if(~is_missing(d, c)),
-        "estimate": lambda d, c: F.approx_count_distinct(col(c), 0.02),
-        "bools": lambda d, c: F.count_if(F.lower(col(c).cast("string")).isin(*vocab.BOOL_WIDE)),
-        "numbers": lambda d, c: F.count(number(d, c)),
-        "low": lambda d, c: F.min(number(d, c)),
-        "high": lambda d, c: F.max(number(d, c)),
-        "total": lambda d, c: F.coalesce(F.sum(number(d, c)), F.lit(0.0)),
+        "rows": rows,
+        "non_null": non_null,
+        "estimate": estimate,
+        "bools": lambda v, kind: F.count_if(F.lower(v.cast("string")).isin(*vocab.BOOL_WIDE)),
+        "numbers": lambda v, kind: F.count(numbers.number_or_null(v, kind)),
+        "low": lambda v, kind: F.min(numbers.number_or_null(v, kind)),
+        "high": lambda v, kind: F.max(numbers.number_or_null(v, kind)),
+        "total": lambda v, kind: F.coalesce(F.sum(numbers.number_or_null(v, kind)), F.lit(0.0)),
     }, used)
     # sum over the groups of a dimension = sum over the rows that have one
     pairs = sorted({(fs["dim"], fs["y"]) for c, fs in zip(charts, fields)
                     if c.get("type") == "bar" and fs["dim"] in columns and fs["y"] in columns})
     sums = {}
     if pairs:
-        row = df.agg(*[F.coalesce(F.sum(F.when(~is_missing(df, d), number(df, y))), F.lit(0.0)).alias(f"s{i}")
+        row = df.agg(*[F.coalesce(F.sum(F.when(cell(df, d).isNotNull(), numbers.number_or_null(cell(df, y), df.schema[y].dataType))), F.lit(0.0)).alias(f"s{i}")
                        for i, (d, y) in enumerate(pairs)]).first()
         sums = {p: row[f"s{i}"] for i, p in enumerate(pairs)}
     dims = {fs["dim"]: columns[fs["dim"]] for fs in fields if fs["dim"] in columns}
@@ -104,12 +99,12 @@ def _issues(chart: dict, facts: dict, roles: dict, min_non_null: float, tol: flo
 def validate_charts(df: DataFrame, charts: list[dict], roles: dict[str, str], min_non_null: float = 0.6,
                     tol: float = 0.02) -> DataFrame:
     """``(chart_id, score, code, severity, message)``: one row per issue, or one without code per good chart."""
-    rows = []
+    found = []
     for chart_id, score, issues in _health(df, charts, roles, min_non_null, tol):
         for code, message in issues or [(None, None)]:
             severity = None if code is None else "error" if code in ERRORS else "warn"
-            rows.append((chart_id, score, code, severity, message))
-    return df.sparkSession.createDataFrame(rows, HEALTH_SCHEMA)
+            found.append((chart_id, score, code, severity, message))
+    return df.sparkSession.createDataFrame(found, HEALTH_SCHEMA)
 
 
 def _health(df, charts, roles, min_non_null, tol):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limpid import vocab
 from limpid.functions import numbers
 from limpid.operators.charts import metric
-from limpid.operators.columns import col
+from limpid.operators.cells import col
 
 UNKNOWN = "—"
 

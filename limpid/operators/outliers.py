@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from limpid import vocab
 from limpid.functions import numbers
-from limpid.operators.columns import col, column_dict
-from limpid.operators.frequency import cell
+from limpid.operators.cells import cell, col
+from limpid.operators.columns import column_dict
 from limpid.operators.quantiles import exact_quantiles, tukey_fences
 from limpid.storage import materialize
 
@@ -25,9 +25,8 @@ def numeric_features(df: DataFrame, exclude=()) -> list[str]:
     """Numeric columns with at least two distinct values, without flags and scores of an earlier run."""
     reserved = set(vocab.OUTLIER_COLUMNS) | set(exclude) | {"_pos"}
     names = [f.name for f in df.schema if numbers.is_numeric(f.dataType) and f.name not in reserved]
-    seen = column_dict(df, {"low": lambda d, c: F.min(cell(d, c)).cast("double"),
-                            "high": lambda d, c: F.max(cell(d, c)).cast("double")}, names)
-    return [c for c in names if seen[c]["low"] is not None and seen[c]["low"] < seen[c]["high"]]
+    seen = column_dict(df, {"varies": lambda v, kind: F.min(v) < F.max(v)}, names)
+    return [c for c in names if seen[c]["varies"]]
 
 
 def standardized(df: DataFrame, features) -> dict[str, Column]:

@@ -10,7 +10,8 @@ from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.functions.text import example_text, percent_text, strip
 from limpid.operators import frequency
-from limpid.operators.columns import col, column_dict, column_table, is_missing, share
+from limpid.operators.cells import col
+from limpid.operators.columns import column_dict, column_table, is_missing, non_null, rows, share
 from limpid.operators.quantiles import exact_quantiles
 from limpid.storage import materialize
 
@@ -37,50 +38,46 @@ def numeric_summary(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     cuts = exact_quantiles(df, exprs, QUANTILES)
     data = df.select(*[e.cast("double").alias(n) for n, e in exprs.items()])
 
-    def outliers(d, c):
-        _, q1, q3, _ = cuts[c]
-        if q1 is None:
-            return F.lit(0).cast("long")
-        return F.count_if(numbers.outside_fences(col(c), F.lit(q1), F.lit(q3)))
-
+    marks = ("at5", "at25", "at75", "at95")
+    constants = {mark: {c: cuts[c][i] for c in exprs} for i, mark in enumerate(marks)}
     measures = {
-        "n": lambda d, c: F.count(col(c)),
-        "min": lambda d, c: F.min(col(c)),
-        "p5": lambda d, c: F.max(F.lit(cuts[c][0]).cast("double")),
-        "q1": lambda d, c: F.max(F.lit(cuts[c][1]).cast("double")),
-        "mean": lambda d, c: F.avg(col(c)),
-        "q3": lambda d, c: F.max(F.lit(cuts[c][2]).cast("double")),
-        "p95": lambda d, c: F.max(F.lit(cuts[c][3]).cast("double")),
-        "max": lambda d, c: F.max(col(c)),
-        "std": lambda d, c: F.stddev_samp(col(c)),
-        "outliers": outliers,
+        "n": non_null,
+        "min": lambda v, kind: F.min(v),
+        "p5": lambda v, kind: F.max("at5"),
+        "q1": lambda v, kind: F.max("at25"),
+        "mean": lambda v, kind: F.avg(v),
+        "q3": lambda v, kind: F.max("at75"),
+        "p95": lambda v, kind: F.max("at95"),
+        "max": lambda v, kind: F.max(v),
+        "std": lambda v, kind: F.stddev_samp(v),
+        "outliers": lambda v, kind: F.count_if(numbers.outside_fences(v, F.col("at25"), F.col("at75"))),
     }
-    return column_table(data, measures, list(exprs)).drop("ordinal")
+    return column_table(data, measures, list(exprs), constants).drop("ordinal")
 
 
 def date_summary(df: DataFrame, columns) -> DataFrame:
     """``(column, rows, parsed, parsed_pct, min, max)`` over tolerant, day-first dates."""
-    def day(d, c):
-        return dates.as_date(col(c), d.schema[c].dataType, dates.DAY_FIRST)
-
-    measures = {
-        "rows": lambda d, c: F.count(F.lit(1)),
-        "parsed": lambda d, c: F.count(day(d, c)),
-        "parsed_pct": lambda d, c: percent_text(F.count(day(d, c)), F.count(F.lit(1))),
-        "min": lambda d, c: dates.iso_text(F.min(day(d, c))),
-        "max": lambda d, c: dates.iso_text(F.max(day(d, c))),
-    }
-    return column_table(df, measures, columns).drop("ordinal")
+    def day(v, kind):
+        return dates.date_or_null(v, kind, dates.DAY_FIRST)
+
+    seen = column_table(df, {
+        "rows": rows,
+        "parsed": lambda v, kind: F.count(day(v, kind)),
+        "first": lambda v, kind: F.min(day(v, kind)),
+        "last": lambda v, kind: F.max(day(v, kind)),
+    }, columns)
+    return seen.select("column", "rows", "parsed", percent_text(F.col("parsed"), F.col("rows")).alias("parsed_pct"),
+                       dates.iso_text(F.col("first")).alias("min"), dates.iso_text(F.col("last")).alias("max"))
 
 
 def bool_summary(df: DataFrame, columns) -> DataFrame:
     """``(column, true_count, false_count)`` by boolean word."""
-    def word(c):
-        return F.lower(strip(col(c).cast("string")))
+    def word(v):
+        return F.lower(strip(v.cast("string")))
 
     measures = {
-        "true_count": lambda d, c: F.count_if(word(c).isin(*vocab.COUNT_TRUE)),
-        "false_count": lambda d, c: F.count_if(word(c).isin(*vocab.COUNT_FALSE)),
+        "true_count": lambda v, kind: F.count_if(word(v).isin(*vocab.COUNT_TRUE)),
+        "false_count": lambda v, kind: F.count_if(word(v).isin(*vocab.COUNT_FALSE)),
     }
     return column_table(df, measures, columns).drop("ordinal")
 
@@ -144,8 +141,7 @@ def profile(df: DataFrame, roles: dict[str, str], order_by: str | None = None) -
     columns = [c for c in df.columns if c != order_by or order_by in roles]
     of = {kind: [c for c in columns if roles.get(c) in kinds] for kind, kinds in (
         ("numeric", NUMERIC_ROLES), ("date", (vocab.DATE,)), ("bool", (vocab.BOOL,)))}
-    missing = column_dict(df, {"rows": lambda d, c: F.count(F.lit(1)),
-                               "nulls": lambda d, c: F.count_if(is_missing(d, c))}, columns)
+    missing = column_dict(df, {"rows": rows, "nulls": lambda v, kind: F.count_if(v.isNull())}, columns)
     numeric = _by_column(numeric_summary(df, {c: numeric_expr(df, c, roles[c]) for c in of["numeric"]})) \
         if of["numeric"] else {}
     dated = _by_column(date_summary(df, of["date"])) if of["date"] else {}
@@ -161,7 +157,7 @@ def profile(df: DataFrame, roles: dict[str, str], order_by: str | None = None) -
         shown = shown.withColumn("first_pos", -F.col("n"))
     samples = {r["column"]: r["examples"] for r in examples(shown).collect()}
 
-    rows = []
+    lines = []
     for c in columns:
         n, nulls, role = missing[c]["rows"], missing[c]["nulls"], roles.get(c, vocab.TEXT)
         details, alerts = NO_VALUE, []
@@ -192,10 +188,10 @@ def profile(df: DataFrame, roles: dict[str, str], order_by: str | None = None) -
             if role != vocab.MONEY:
                 s = lengths[c]
                 details += f" · len(min/med/max)={s['min_len']}/{s['median_len']}/{s['max_len']}"
-        rows.append((c, df.schema[c].dataType.simpleString(), role, uniques.get(c, 0),
+        lines.append((c, df.schema[c].dataType.simpleString(), role, uniques.get(c, 0),
                      _percent(uniques.get(c, 0), n), nulls, _percent(nulls, n), details,
                      samples.get(c, []), alerts))
-    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return df.sparkSession.createDataFrame(lines, PROFILE_SCHEMA)
 
 
 def profile_text(table: DataFrame) -> DataFrame:
@@ -216,23 +212,17 @@ def compact_profile(df: DataFrame, order_by: str | None = None, k: int = 5) -> D
     Missing values count as one distinct value.
     """
     columns = [c for c in df.columns if c != order_by]
-    kind = {f.name: f.dataType for f in df.schema}
-
-    def number(c, parse):
-        return (F.lit(None).cast("double") if dates.is_temporal(kind[c])
-                else numbers.as_number(col(c), kind[c], parse))
 
     def ends(fn):
-        return lambda d, c: F.when(
-            F.lit(numbers.is_numeric(kind[c]))
-            | (F.coalesce(F.count(number(c, "auto")) / F.count(col(c)), F.lit(0.0)) > 0.8),
-            fn(number(c, "plain")))
+        return lambda v, kind: F.when(
+            F.lit(numbers.is_numeric(kind)) | (F.count(numbers.number_or_null(v, kind, "auto")) > 0.8 * F.count(v)),
+            fn(numbers.number_or_null(v, kind)))
 
     table = column_table(df, {
-        "dtype": lambda d, c: F.max(F.lit(kind[c].simpleString())),
-        "rows": lambda d, c: F.count(F.lit(1)),
-        "non_null": lambda d, c: F.count_if(~is_missing(d, c)),
-        "null_pct": lambda d, c: share(is_missing(d, c)) * 100,
+        "dtype": lambda v, kind: F.max(F.lit(kind.simpleString())),
+        "rows": rows,
+        "non_null": non_null,
+        "null_pct": lambda v, kind: share(v.isNull()) * 100,
         "min": ends(F.min),
         "max": ends(F.max),
     }, columns)
@@ -257,13 +247,13 @@ def quality_summary(df: DataFrame, rows_before: int | None = None) -> DataFrame:
     """One row: rows, columns, missing percent, duplicates dropped, and outliers when they are flagged."""
     flagged = "is_outlier" in df.columns and isinstance(df.schema["is_outlier"].dataType, T.BooleanType)
     shares = [share(is_missing(df, c)) for c in df.columns]
-    rows = F.count(F.lit(1))
-    before = F.lit(rows_before).cast("long") if rows_before is not None else rows
+    after = F.count(F.lit(1))
+    before = F.lit(rows_before).cast("long") if rows_before is not None else after
     return df.agg(
-        rows.alias("rows"),
+        after.alias("rows"),
         F.max(F.lit(len(df.columns))).alias("cols"),
         (reduce(Column.__add__, shares) / len(shares) * 100).alias("missing_overall_pct"),
-        (before - rows).alias("dropped_duplicates"),
+        (before - after).alias("dropped_duplicates"),
         (F.count_if(col("is_outlier")) if flagged else F.lit(0).cast("long")).alias("outliers_count"),
         (F.coalesce(F.avg(col("is_outlier").cast("double")), F.lit(0.0)) if flagged
          else F.lit(0.0)).alias("outliers_ratio"))
@@ -271,7 +261,6 @@ def quality_summary(df: DataFrame, rows_before: int | None = None) -> DataFrame:
 
 def missing_by_column(df: DataFrame, k: int | None = None) -> DataFrame:
     """``(column, null_pct)`` rounded to two places, most missing first, ties in column order."""
-    table = column_table(df, {"null_pct": lambda d, c: F.round(F.coalesce(share(is_missing(d, c)) * 100,
-                                                                          F.lit(0.0)), 2)})
+    table = column_table(df, {"null_pct": lambda v, kind: F.round(share(v.isNull()) * 100, 2)})
     ranked = table.orderBy(F.desc("null_pct"), "ordinal")
     return (ranked.limit(k) if k else ranked).select("column", "null_pct")

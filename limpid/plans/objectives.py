@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from limpid import vocab
 from limpid.functions import numbers
 from limpid.operators import frequency
-from limpid.operators.columns import basic_stats, cardinalities, col, column_dict, coverage
-from limpid.operators.frequency import cell
+from limpid.operators.cells import cell
+from limpid.operators.columns import basic_stats, cardinalities, column_dict, coverage, non_null, rows
 from limpid.plans.semantics import single_value
 
 
@@ -55,12 +55,12 @@ def choose_objectives(df: DataFrame, roles: dict[str, str]):
     """``(date, metric, dims, units)`` for the roles of the semantic vocabulary."""
     stats = basic_stats(df)
     counted = cardinalities(df, stats=stats)
-    rows = max((s["rows"] for s in stats.values()), default=0)
-    text_count = {c: counted[c] + (stats[c]["non_null"] < rows) for c in df.columns}
+    n = max((s["rows"] for s in stats.values()), default=0)
+    text_count = {c: counted[c] + (stats[c]["non_null"] < n) for c in df.columns}
     known = {c: r for c, r in roles.items() if c in stats}
 
     def is_id(c):
-        return any(w in c.lower() for w in vocab.ID_WORDS) or (rows >= 20 and text_count[c] >= 0.98 * rows)
+        return any(w in c.lower() for w in vocab.ID_WORDS) or (n >= 20 and text_count[c] >= 0.98 * n)
 
     def of(role):
         return [c for c, r in known.items() if r == role]
@@ -70,8 +70,8 @@ def choose_objectives(df: DataFrame, roles: dict[str, str]):
     counts = [c for c in of(vocab.NUMBER_METRIC) if not is_id(c)]
     metric = best_covered(money, stats)
     if metric is None and counts:
-        metric = ([c for c in counts if text_count[c] < 0.9 * rows] or counts)[0]
-    most = min(50, max(2, rows // 4))
+        metric = ([c for c in counts if text_count[c] < 0.9 * n] or counts)[0]
+    most = min(50, max(2, n // 4))
     dims = [c for c in of(vocab.CATEGORY) if 2 <= text_count[c] <= most]
     dims = dims or of(vocab.BOOL)[:1] or of(vocab.CATEGORY)[:1]
     if len(dims) > 1:
@@ -86,16 +86,13 @@ def discover_amount(df: DataFrame, roles: dict[str, str]) -> tuple[DataFrame, st
 
     Returns the table (with the derived column when one was made), the column and how it was derived.
     """
-    def number(d, c):
-        kind = d.schema[c].dataType
-        if kind.typeName() in ("string", "boolean") or numbers.is_numeric(kind):
-            return numbers.as_number(cell(d, c), kind, "auto")
-        return F.lit(None).cast("double")
+    def number(c):
+        return numbers.number_or_null(cell(df, c), df.schema[c].dataType, "auto")
 
     stats = column_dict(df, {
-        "rows": lambda d, c: F.count(F.lit(1)),
-        "non_null": lambda d, c: F.count(cell(d, c)),
-        "numbers": lambda d, c: F.count(number(d, c)),
+        "rows": rows,
+        "non_null": non_null,
+        "numbers": lambda v, kind: F.count(numbers.number_or_null(v, kind, "auto")),
     })
     money = [c for c, r in roles.items() if r == vocab.MONEY_METRIC and c in stats and stats[c]["non_null"]]
     if money:
@@ -104,9 +101,9 @@ def discover_amount(df: DataFrame, roles: dict[str, str]) -> tuple[DataFrame, st
     quantity = next(iter(named([c.lower() for c in df.columns], vocab.BUSINESS_QUANTITY_NAME)), None)
     price = next(iter(named([c.lower() for c in df.columns], vocab.BUSINESS_UNIT_PRICE_NAME)), None)
     if quantity in df.columns and price in df.columns:
-        product = number(df, quantity) * number(df, price)
-        rows = stats[quantity]["rows"]
-        if df.select(product.alias("p")).agg(F.count("p")).first()[0] >= max(10, rows // 10):
+        product = number(quantity) * number(price)
+        known = df.select(product.alias("p")).agg(F.count("p")).first()[0]
+        if known >= max(10, stats[quantity]["rows"] // 10):
             name = "__importe_total__"
             return df.withColumn(name, product), name, {name: f"{quantity} * {price}"}
     strong = [c for c in df.columns if stats[c]["rows"] and stats[c]["numbers"] / stats[c]["rows"] > 0.8]

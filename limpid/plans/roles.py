@@ -9,50 +9,30 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.functions.text import is_bool_token, strip
-from limpid.operators.columns import col, column_dict, column_table, share
-from limpid.operators.frequency import cell
+from limpid.operators.columns import column_dict, column_table, non_null, share
 
 
-def _text(df: DataFrame, name: str) -> Column:
+def _text(v: Column) -> Column:
     """Values as the text that role rules look at."""
-    return strip(cell(df, name).cast("string"))
+    return strip(v.cast("string"))
 
 
-def _kind(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
+def date_match(v: Column, kind: T.DataType) -> Column:
+    return F.when(v.isNotNull(), dates.date_or_null(v, kind).isNotNull())
 
 
-def bool_match(df: DataFrame, name: str) -> Column:
-    return is_bool_token(_text(df, name))
-
-
-def money_match(df: DataFrame, name: str) -> Column:
-    return numbers.looks_money(_text(df, name))
-
-
-def date_match(df: DataFrame, name: str) -> Column:
-    kind = _kind(df, name)
-    if dates.is_temporal(kind):
-        return col(name).isNotNull()
-    if not isinstance(kind, T.StringType):
-        return F.when(col(name).isNotNull(), F.lit(False))
-    return F.when(col(name).isNotNull(), dates.parse_date(col(name)).isNotNull())
-
-
-def number_match(df: DataFrame, name: str) -> Column:
-    value = cell(df, name)
-    if numbers.is_numeric(_kind(df, name)):
-        return F.when(value.isNotNull(), F.lit(True))
-    return F.when(value.isNotNull(), numbers.relaxed_number(_text(df, name)).isNotNull())
+def number_match(v: Column, kind: T.DataType) -> Column:
+    known = F.lit(True) if numbers.is_numeric(kind) else numbers.relaxed_number(_text(v)).isNotNull()
+    return F.when(v.isNotNull(), known)
 
 
 EVIDENCE = {
-    "non_null": lambda d, c: F.count(cell(d, c)),
-    "bool_share": lambda d, c: share(bool_match(d, c)),
-    "money_share": lambda d, c: share(money_match(d, c)),
-    "date_share": lambda d, c: share(date_match(d, c)),
-    "number_share": lambda d, c: share(number_match(d, c)),
-    "temporal": lambda d, c: F.max(F.lit(dates.is_temporal(_kind(d, c)))),
+    "non_null": non_null,
+    "bool_share": lambda v, kind: share(is_bool_token(_text(v))),
+    "money_share": lambda v, kind: share(numbers.looks_money(_text(v))),
+    "date_share": lambda v, kind: share(date_match(v, kind)),
+    "number_share": lambda v, kind: share(number_match(v, kind)),
+    "temporal": lambda v, kind: F.max(F.lit(dates.is_temporal(kind))),
 }
 
 
@@ -70,7 +50,8 @@ def type_roles(df: DataFrame, columns=None) -> DataFrame:
 
 def infer_types(df: DataFrame, date_columns=()) -> dict[str, str]:
     """Role per column; columns that were normalised as dates are dates whatever is left in them."""
-    roles = {r["column"]: r["role"] for r in type_roles(df).orderBy("ordinal").collect()}
+    found = {r["column"]: r["role"] for r in type_roles(df).collect()}
+    roles = {c: found.get(c, vocab.TEXT) for c in df.columns}
     return {**roles, **{c: vocab.DATE for c in date_columns if c in roles}}
 
 
@@ -132,17 +113,14 @@ def profile_roles(df: DataFrame, type_roles: dict[str, str] | None = None) -> di
         return {c: _sharpen(named[c], type_roles.get(c, vocab.TEXT)) for c in df.columns}
     open_columns = [c for c in df.columns if named[c] is None]
     seen = column_dict(df, {
-        "dates": lambda d, c: share(dates.as_date(cell(d, c), _kind(d, c), dates.DAY_FIRST).isNotNull()
-                                    if dates.is_temporal(_kind(d, c)) or isinstance(_kind(d, c), T.StringType)
-                                    else F.lit(False)),
-        "nulls": lambda d, c: share(cell(d, c).isNull()),
-        "numbers": lambda d, c: share(number_match(d, c)),
-        "bools": lambda d, c: share(bool_match(d, c)),
+        "non_null": non_null,
+        "dates": lambda v, kind: F.count(dates.date_or_null(v, kind, dates.DAY_FIRST)),
+        "numbers": lambda v, kind: share(number_match(v, kind)),
+        "bools": lambda v, kind: share(is_bool_token(_text(v))),
     }, open_columns)
     for c, s in seen.items():
-        filled = 1 - (s["nulls"] or 0)
-        named[c] = (vocab.TEXT if not filled or s["numbers"] is None
-                    else vocab.DATE if s["dates"] >= 0.7 * filled
+        named[c] = (vocab.TEXT if not s["non_null"]
+                    else vocab.DATE if s["dates"] >= 0.7 * s["non_null"]
                     else vocab.NUMBER if s["numbers"] >= 0.8
                     else vocab.BOOL if s["bools"] >= 0.9 else vocab.TEXT)
     return {c: named[c] for c in df.columns}

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.functions.text import is_bool_token
-from limpid.operators.columns import cardinalities, col, column_dict, share
-from limpid.operators.frequency import cell
+from limpid.operators.cells import col
+from limpid.operators.columns import cardinalities, column_dict, estimate, non_null, rows, share
 from limpid.plans.roles import domain
 
 W_NAME, W_VALUE, W_CONSISTENCY = 0.45, 0.45, 0.10
@@ -40,8 +40,8 @@ def _term_table(spark) -> DataFrame:
         words = re.findall(r"\b\w\w+\b", " ".join(terms).lower())
         counts[role] = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
     docs = Counter(g for grams in counts.values() for g in grams)
-    rows = [(g, role, float(tf), docs[g]) for role, grams in counts.items() for g, tf in grams.items()]
-    return spark.createDataFrame(rows, "gram string, role string, tf double, docs int")
+    listed = [(g, role, float(tf), docs[g]) for role, grams in counts.items() for g, tf in grams.items()]
+    return spark.createDataFrame(listed, "gram string, role string, tf double, docs int")
 
 
 def _idf(docs: Column) -> Column:
@@ -83,34 +83,22 @@ def name_similarity(names: DataFrame, column: str = "column") -> DataFrame:
 
 # ---- value evidence ---------------------------------------------------------------------------
 
-def _raw(df: DataFrame, c: str) -> Column:
-    return cell(df, c).cast("string")
-
-
-def _number(df: DataFrame, c: str) -> Column:
-    kind = df.schema[c].dataType
-    return cell(df, c).cast("double") if numbers.is_numeric(kind) else numbers.auto_decimal(_raw(df, c))
-
-
-def _day(df: DataFrame, c: str) -> Column:
-    kind = df.schema[c].dataType
-    if numbers.is_numeric(kind) or isinstance(kind, T.BooleanType):
-        return F.lit(None).cast("date")
-    return dates.as_date(col(c), kind, dates.DAY_FIRST)
+def _number(v: Column, kind: T.DataType) -> Column:
+    return v.cast("double") if numbers.is_numeric(kind) else numbers.auto_decimal(v.cast("string"))
 
 
 VALUE_EVIDENCE = {
-    "rows": lambda d, c: F.count(F.lit(1)),
-    "non_null": lambda d, c: F.count(cell(d, c)),
-    "estimate": lambda d, c: F.approx_count_distinct(cell(d, c), 0.02),
-    "days": lambda d, c: F.count(_day(d, c)),
-    "money": lambda d, c: share(numbers.names_currency(_raw(d, c))),
-    "bools": lambda d, c: share(is_bool_token(_raw(d, c), vocab.BOOL_WIDE)),
-    "numbers": lambda d, c: F.coalesce(F.count(_number(d, c)) / F.nullif(F.count(cell(d, c)), F.lit(0)), F.lit(0.0)),
-    "percents": lambda d, c: share(numbers.is_percent(_raw(d, c))),
-    "latitudes": lambda d, c: share(numbers.in_latitude(_number(d, c))),
-    "longitudes": lambda d, c: share(numbers.in_longitude(_number(d, c))),
-    "codes": lambda d, c: share(numbers.looks_code(_raw(d, c))),
+    "rows": rows,
+    "non_null": non_null,
+    "estimate": estimate,
+    "days": lambda v, kind: F.count(dates.date_or_null(v, kind, dates.DAY_FIRST)),
+    "money": lambda v, kind: share(numbers.names_currency(v.cast("string"))),
+    "bools": lambda v, kind: share(is_bool_token(v.cast("string"), vocab.BOOL_WIDE)),
+    "numbers": lambda v, kind: F.coalesce(F.count(_number(v, kind)) / F.nullif(F.count(v), F.lit(0)), F.lit(0.0)),
+    "percents": lambda v, kind: share(numbers.is_percent(v.cast("string"))),
+    "latitudes": lambda v, kind: share(numbers.in_latitude(_number(v, kind))),
+    "longitudes": lambda v, kind: share(numbers.in_longitude(_number(v, kind))),
+    "codes": lambda v, kind: share(numbers.looks_code(v.cast("string"))),
 }
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from limpid import vocab
 from limpid.functions import numbers
-from limpid.operators.columns import basic_stats, cardinalities, col
+from limpid.operators.cells import col
+from limpid.operators.columns import basic_stats, cardinalities
 from limpid.plans.objectives import (best_covered, choose_objectives, discover_amount, metric_aggregate, named,
                                      pick_dimension)
 from limpid.plans.roles import business_domain, name_roles

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from limpid.functions.numbers import plain_number
 from limpid.functions.text import na_to_null
-from limpid.operators.columns import col, column_dict
+from limpid.operators.cells import col
+from limpid.operators.columns import column_dict, non_null
 from limpid.operators.dedup import POSITION
 from limpid.sources.headers import header_names
 
@@ -79,10 +80,10 @@ def infer_types(table: DataFrame, columns=None) -> DataFrame:
     """Text columns typed from their values: boolean words, whole numbers, numbers, else text. One pass."""
     columns = [c for c in (columns or table.columns) if isinstance(table.schema[c].dataType, T.StringType)]
     seen = column_dict(table, {
-        "non_null": lambda d, c: F.count(col(c)),
-        "bools": lambda d, c: F.count_if(F.lower(col(c)).isin("true", "false")),
-        "wholes": lambda d, c: F.count_if(col(c).rlike(WHOLE)),
-        "numbers": lambda d, c: F.count(plain_number(col(c))),
+        "non_null": non_null,
+        "bools": lambda v, kind: F.count_if(F.lower(v).isin("true", "false")),
+        "wholes": lambda v, kind: F.count_if(v.rlike(WHOLE)),
+        "numbers": lambda v, kind: F.count(plain_number(v)),
     }, columns)
     typed = {}
     for c, s in seen.items():

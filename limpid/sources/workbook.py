@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from limpid.functions.text import na_to_null
-from limpid.operators.columns import col
+from limpid.operators.cells import col
 from limpid.operators.dedup import POSITION
 from limpid.sources.delimited import infer_types
 from limpid.sources.headers import header_names
