@@ -160,14 +160,13 @@ def _(t: Tables):
     return outliers.tukey_rows(t.lineitem, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("tukey_outliers_money", f"""
-    with m as (select o_orderkey, {money_sql('monto')} * {money_sql('monto')} as v from dirty_orders),
+@query("tukey_outliers_unit_price", """
+    with m as (select l_orderkey, l_linenumber, l_extendedprice / l_quantity as v from lineitem),
     q as (select quantile_cont(v, 0.25) as a, quantile_cont(v, 0.75) as b from m)
-    select o_orderkey, round(v, 2) as v from m, q where v < a - 1.5 * (b - a) or v > b + 1.5 * (b - a)""")
+    select l_orderkey, l_linenumber, round(v, 4) as v from m, q where v < a - 1.5 * (b - a) or v > b + 1.5 * (b - a)""")
 def _(t: Tables):
-    from limpid.functions.numbers import money
-    squared = t.dirty_orders.select("o_orderkey", (money(F.col("monto")) * money(F.col("monto"))).alias("v"))
-    return outliers.tukey_rows(squared, "v").withColumn("v", F.round("v", 2))
+    unit = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+    return outliers.tukey_rows(unit, "v").withColumn("v", F.round("v", 4))
 
 
 @query("outlier_prep", """
@@ -196,7 +195,7 @@ def _(t: Tables):
 
 
 @query("isolation_forest_summary", """
-    select count(*) as total, round(0.05, 3) as ratio from orders""")
+    select count(*) as total, cast(0.05 as double) as ratio from orders""")
 def _(t: Tables):
     flagged, _ = outliers.isolation_forest(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), order_by="o_orderkey")
     return outliers.outlier_summary(flagged).select("total", F.round("ratio", 3).alias("ratio"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from limpid.operators.cells import cell, cell_sql, col, sql_text, sql_value
+from limpid.operators.cells import cell, cell_sql, sql_text, sql_value
 from limpid.operators.frequency import value_counts
 
 # a measure turns the values of a column, and their type, into an aggregate

@@ -133,9 +133,13 @@ def fit_forest(df: DataFrame, scaled: dict[str, Column], row_key: Column, n_rows
 
 
 def forest_score(trees: list, tree_rows: int):
-    """Arrow function: features of a row to the anomaly score ``2 ** (-mean depth / c)``."""
+    """Arrow function: features of a row to the anomaly score ``2 ** (-mean depth / c)``.
+
+    A leaf is its own child, so all rows of a batch take the same number of steps down every tree.
+    """
     packed = [(t["feature"], t["split"], t["below"], t["above"], t["depth"]) for t in trees]
     scale = max(path_normalizer(tree_rows), 1e-12)
+    steps = math.ceil(math.log2(max(2, tree_rows)))
 
     @F.pandas_udf("double")
     def score(features):
@@ -145,25 +149,31 @@ def forest_score(trees: list, tree_rows: int):
         if len(features) == 0:
             return pd.Series([], dtype="float64")
         points = np.stack(features.to_numpy())
-        rows = np.arange(len(points))
-        total = np.zeros(len(points))
+        first = np.arange(len(points)) * points.shape[1]
+        points = np.ascontiguousarray(points).ravel()
+        total = np.zeros(len(first))
         for feature, split, below, above, depth in packed:
-            feature, below, above = (np.asarray(a, dtype=np.int64) for a in (feature, below, above))
-            split, depth = np.asarray(split), np.asarray(depth)
-            at = np.zeros(len(points), dtype=np.int64)
-            while True:
-                asked = feature[at]
-                inner = asked >= 0
-                if not inner.any():
-                    break
-                goes_left = points[rows, np.maximum(asked, 0)] <= split[at]
-                at = np.where(inner, np.where(goes_left, below[at], above[at]), at)
-            total += depth[at]
+            asked = np.asarray(feature)
+            leaf = asked < 0
+            itself = np.arange(len(asked))
+            child = np.stack([np.where(leaf, itself, below), np.where(leaf, itself, above)], axis=1).ravel()
+            asked, split = np.where(leaf, 0, asked), np.asarray(split)
+            at = np.zeros(len(first), dtype=np.int64)
+            for _ in range(steps):
+                right = points.take(first + asked.take(at)) > split.take(at)
+                at = child.take(2 * at + right)
+            total += np.asarray(depth).take(at)
         return pd.Series(np.power(2.0, -total / len(packed) / scale))
 
     return score
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer partitions than the cluster has cores, dealt out to all of them before costly work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def isolation_forest(df: DataFrame, contamination: float = vocab.CONTAMINATION, seed: int = vocab.SEED,
                      order_by: str | None = None, n_trees: int = vocab.N_TREES) -> tuple[DataFrame, dict]:
     """``df`` with ``is_outlier``, ``outlier_score`` and ``outlier_method``, and a summary.
@@ -186,6 +196,7 @@ def isolation_forest(df: DataFrame, contamination: float = vocab.CONTAMINATION,
     tree_rows = min(vocab.TREE_ROWS, n_rows)
     trees = fit_forest(df, scaled, key, n_rows, n_trees, vocab.TREE_ROWS, seed)
     anomaly = forest_score(trees, tree_rows)(F.array(*scaled.values()))
+    df = spread(df)
     scores = materialize(df.select((-anomaly).alias("normality")), "scores")
     offset = exact_quantiles(scores, {"normality": F.col("normality")}, [contamination])["normality"][0]
     flagged = (df.withColumn("outlier_score", anomaly + F.lit(offset))

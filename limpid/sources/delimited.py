@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from limpid.functions.numbers import plain_number
@@ -35,19 +37,19 @@ def read_csv(spark: SparkSession, path, encoding: str = "auto", sep: str = ",",
     names = header_names([(h or "").lstrip("\ufeff") for h in header])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
 
-    def scan(where, enc):
-        table = spark.read.options(**options, encoding=enc, header=True, enforceSchema=True).schema(schema).csv(where)
+    def scan(enc, only=None, exclude=None):
+        table = spark.read.options(**options, encoding=enc, header=True, enforceSchema=True).schema(schema).csv(path)
+        file = F.col("_metadata.file_path")
+        if only:
+            table = table.where(file.isin(*only))
+        elif exclude:
+            table = table.where(~file.isin(*exclude))
         return table.select(*map(col, names), *([row_position(table).alias(POSITION)] if position else []))
 
-    if encoding == "auto":
-        latin = undecodable_files(spark, path)
-        table = scan(path, "UTF-8")
-        if latin:
-            rest = sorted(set(table.inputFiles()) - set(latin))
-            table = scan(latin, "ISO-8859-1")
-            table = table.unionByName(scan(rest, "UTF-8")) if rest else table
-    else:
-        table = scan(path, encoding)
+    latin = undecodable_files(spark, path) if encoding == "auto" else []
+    table = scan(first, exclude=latin)
+    if latin:  # the file filters prune the listing, so no file is read twice
+        table = table.unionByName(scan("ISO-8859-1", only=latin))
     table = table.withColumns({n: na_to_null(col(n)) for n in names})
     return infer_types(table, names) if infer else table
 
@@ -55,7 +57,7 @@ def read_csv(spark: SparkSession, path, encoding: str = "auto", sep: str = ",",
 def undecodable_files(spark: SparkSession, path) -> list[str]:
     """Files that hold bytes which are no UTF-8: one name per file leaves the executors."""
     lines = spark.read.text(path)
-    bad = lines.where(F.col("value").contains("\ufffd")).select(F.col("_metadata.file_path").alias("file")).distinct()
+    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("file")).distinct()
     return sorted(r["file"] for r in bad.collect())
 
 
@@ -65,7 +67,7 @@ def row_position(table: DataFrame) -> Column:
     A row starts at or after its split's first byte plus the rows before it in the split, so split offset
     plus row number never reaches the next split; a task's row number is the low part of the row id.
     """
-    files = sorted(table.inputFiles())
+    files = sorted(map(_plain_path, table.inputFiles()))
     if len(files) > MAX_FILES:
         raise ValueError(f"row positions over {len(files)} files; read them in parts of {MAX_FILES} or use a key")
     row = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
@@ -73,7 +75,13 @@ def row_position(table: DataFrame) -> Column:
         return row
     ranks = {name: i for i, name in enumerate(files)}
     rank = F.create_map(*[F.lit(v) for kv in ranks.items() for v in kv])
-    return F.try_element_at(rank, F.col("_metadata.file_path")).cast("long") * FILE_SPAN + row
+    name = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    return F.try_element_at(rank, name).cast("long") * FILE_SPAN + row
+
+
+def _plain_path(uri: str) -> str:
+    """Local paths are listed with one slash but named with three by the rows."""
+    return re.sub("^file:/+", "file:/", uri)
 
 
 def infer_types(table: DataFrame, columns=None) -> DataFrame:

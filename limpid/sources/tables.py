@@ -40,7 +40,8 @@ def training_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header and UTF-8; one file per task, never gathered into one."""
-    df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    df.write.mode(mode).options(header=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False,
+                                ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_profile(profile: DataFrame, path: str, mode: str = "errorifexists") -> None:
