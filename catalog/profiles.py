@@ -75,7 +75,7 @@ def _dates_sql(c):
 
 @query("profile_date", _dates_sql("fecha") + " union all " + _dates_sql("fecha_iso"))
 def _(t: Tables):
-    return profile.date_summary(t.dirty_orders, ("fecha", "fecha_iso"))
+    return profile.date_summary(frequency.value_counts(t.dirty_orders, ("fecha", "fecha_iso")))
 
 
 @query("profile_bool", " union all ".join(f"""select '{c}' as "column",
@@ -83,13 +83,13 @@ def _(t: Tables):
     count(*) filter (lower(cast({c} as varchar)) in ('no', 'false', '0', 'f', 'n')) as false_count from {s}"""
                                           for c, s in (("pagado", "dirty_orders"), ("activo", "dirty_orders"))))
 def _(t: Tables):
-    return profile.bool_summary(t.dirty_orders, ("pagado", "activo"))
+    return profile.bool_summary(frequency.value_counts(t.dirty_orders, ("pagado", "activo")))
 
 
 @query("profile_bool_labels", " union all ".join(f"""select '{c}' as "column", count(*) filter ({c} = 1) as true_count,
     count(*) filter ({c} = 0) as false_count from labels""" for c in ("quality", "toxic")))
 def _(t: Tables):
-    return profile.bool_summary(t.labels, ("quality", "toxic"))
+    return profile.bool_summary(frequency.value_counts(t.labels, ("quality", "toxic")))
 
 
 @query("profile_currency", """
@@ -163,10 +163,10 @@ def _(t: Tables):
 @query("tukey_outliers_unit_price", """
     with m as (select l_orderkey, l_linenumber, l_extendedprice / l_quantity as v from lineitem),
     q as (select quantile_cont(v, 0.25) as a, quantile_cont(v, 0.75) as b from m)
-    select l_orderkey, l_linenumber, round(v, 4) as v from m, q where v < a - 1.5 * (b - a) or v > b + 1.5 * (b - a)""")
+    select l_orderkey, l_linenumber, v from m, q where v < a - 1.5 * (b - a) or v > b + 1.5 * (b - a)""")
 def _(t: Tables):
     unit = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
-    return outliers.tukey_rows(unit, "v").withColumn("v", F.round("v", 4))
+    return outliers.tukey_rows(unit, "v")
 
 
 @query("outlier_prep", """

@@ -43,11 +43,12 @@ def in_range(d: Column) -> Column:
 def parse_date(c: Column, formats=vocab.DATE_FORMATS) -> Column:
     """The date written in ``c`` in the first of ``formats`` whose shape fits; null when none does."""
     text = strip(c)
+    first_is_digit = (text >= "0") & (text < ":")  # spares most text the pattern matches
     iso = None
     for name in formats:
         shape, rewrite = FORMATS[name]
         iso = (F if iso is None else iso).when(text.rlike(shape), rewrite(text))
-    return in_range(iso.try_cast("date"))
+    return in_range(F.when(first_is_digit, iso).try_cast("date"))
 
 
 def as_date(c: Column, dtype: T.DataType, formats=vocab.DATE_FORMATS) -> Column:

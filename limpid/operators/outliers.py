@@ -16,7 +16,7 @@ from limpid.functions import numbers
 from limpid.operators.cells import cell, col
 from limpid.operators.columns import column_dict
 from limpid.operators.quantiles import exact_quantiles, tukey_fences
-from limpid.storage import materialize
+from limpid.storage import materialize, spread
 
 GRAIN = 1 << 20  # resolution of the sampling hash
 
@@ -168,12 +168,6 @@ def forest_score(trees: list, tree_rows: int):
     return score
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table with fewer partitions than the cluster has cores, dealt out to all of them before costly work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def isolation_forest(df: DataFrame, contamination: float = vocab.CONTAMINATION, seed: int = vocab.SEED,
                      order_by: str | None = None, n_trees: int = vocab.N_TREES) -> tuple[DataFrame, dict]:
     """``df`` with ``is_outlier``, ``outlier_score`` and ``outlier_method``, and a summary.

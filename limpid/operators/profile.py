@@ -11,7 +11,7 @@ from limpid.functions import dates, numbers
 from limpid.functions.text import example_text, percent_text, strip
 from limpid.operators import frequency
 from limpid.operators.cells import col
-from limpid.operators.columns import column_dict, column_table, is_missing, non_null, rows, share
+from limpid.operators.columns import column_table, is_missing, non_null, rows, share
 from limpid.operators.quantiles import exact_quantiles
 from limpid.storage import materialize
 
@@ -55,31 +55,25 @@ def numeric_summary(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     return column_table(data, measures, list(exprs), constants).drop("ordinal")
 
 
-def date_summary(df: DataFrame, columns) -> DataFrame:
-    """``(column, rows, parsed, parsed_pct, min, max)`` over tolerant, day-first dates."""
-    def day(v, kind):
-        return dates.date_or_null(v, kind, dates.DAY_FIRST)
-
-    seen = column_table(df, {
-        "rows": rows,
-        "parsed": lambda v, kind: F.count(day(v, kind)),
-        "first": lambda v, kind: F.min(day(v, kind)),
-        "last": lambda v, kind: F.max(day(v, kind)),
-    }, columns)
+def date_summary(freq: DataFrame) -> DataFrame:
+    """``(column, rows, parsed, parsed_pct, min, max)`` over tolerant, day-first dates of a frequency table."""
+    parsed = freq.withColumn("day", dates.parse_date(F.col("value"), dates.DAY_FIRST))
+    seen = parsed.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("day").isNotNull(), F.col("n"))), F.lit(0)).alias("parsed"),
+        F.min("day").alias("first"), F.max("day").alias("last"))
     return seen.select("column", "rows", "parsed", percent_text(F.col("parsed"), F.col("rows")).alias("parsed_pct"),
                        dates.iso_text(F.col("first")).alias("min"), dates.iso_text(F.col("last")).alias("max"))
 
 
-def bool_summary(df: DataFrame, columns) -> DataFrame:
-    """``(column, true_count, false_count)`` by boolean word."""
-    def word(v):
-        return F.lower(strip(v.cast("string")))
+def bool_summary(freq: DataFrame) -> DataFrame:
+    """``(column, true_count, false_count)`` by boolean word of a frequency table."""
+    word = F.lower(strip(F.col("value")))
 
-    measures = {
-        "true_count": lambda v, kind: F.count_if(word(v).isin(*vocab.COUNT_TRUE)),
-        "false_count": lambda v, kind: F.count_if(word(v).isin(*vocab.COUNT_FALSE)),
-    }
-    return column_table(df, measures, columns).drop("ordinal")
+    def rows_with(words):
+        return F.coalesce(F.sum(F.when(word.isin(*words), F.col("n"))), F.lit(0))
+
+    return freq.groupBy("column").agg(rows_with(vocab.COUNT_TRUE).alias("true_count"),
+                                      rows_with(vocab.COUNT_FALSE).alias("false_count"))
 
 
 def top3_text(freq: DataFrame) -> DataFrame:
@@ -134,22 +128,24 @@ def _percent(part: int, total: int) -> str:
 def profile(df: DataFrame, roles: dict[str, str], order_by: str | None = None) -> DataFrame:
     """One row per column of ``df``, in column order; ``roles`` uses the profile role names.
 
-    The table is read for a fused aggregate, for quantiles of the numeric columns and for one frequency
-    table that is written once and serves distinct values, duplicates, top values, lengths and examples.
-    Only per-column results reach the driver.
+    The table is read for one frequency table, which is written once and serves everything but the numeric
+    details, and for the quantiles and moments of the numeric columns. Only per-column results reach the driver.
     """
     columns = [c for c in df.columns if c != order_by or order_by in roles]
     of = {kind: [c for c in columns if roles.get(c) in kinds] for kind, kinds in (
         ("numeric", NUMERIC_ROLES), ("date", (vocab.DATE,)), ("bool", (vocab.BOOL,)))}
-    missing = column_dict(df, {"rows": rows, "nulls": lambda v, kind: F.count_if(v.isNull())}, columns)
     numeric = _by_column(numeric_summary(df, {c: numeric_expr(df, c, roles[c]) for c in of["numeric"]})) \
         if of["numeric"] else {}
-    dated = _by_column(date_summary(df, of["date"])) if of["date"] else {}
-    bools = _by_column(bool_summary(df, of["bool"])) if of["bool"] else {}
-
     raw = materialize(frequency.value_counts(df, columns, order_by), "frequency")
-    uniques = {r["column"]: r["uniques"] for r in frequency.distinct_counts(raw).collect()}
-    repeated = {r["column"]: r["duplicates"] for r in frequency.duplicate_members(raw).collect()}
+
+    def only(kind):
+        return raw.where(F.col("column").isin(*of[kind]))
+
+    counts = _by_column(raw.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count("value").alias("uniques"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated")))
+    dated = _by_column(date_summary(only("date"))) if of["date"] else {}
+    bools = _by_column(bool_summary(only("bool"))) if of["bool"] else {}
     shown = materialize(frequency.stripped(raw), "values")
     tops = {r["column"]: r["top3"] for r in top3_text(shown).collect()}
     lengths = _by_column(length_summary(shown))
@@ -159,12 +155,13 @@ def profile(df: DataFrame, roles: dict[str, str], order_by: str | None = None) -
 
     lines = []
     for c in columns:
-        n, nulls, role = missing[c]["rows"], missing[c]["nulls"], roles.get(c, vocab.TEXT)
+        seen = counts.get(c, {"rows": 0, "nulls": 0, "uniques": 0, "repeated": 0})
+        n, nulls, uniques, role = seen["rows"], seen["nulls"], seen["uniques"], roles.get(c, vocab.TEXT)
         details, alerts = NO_VALUE, []
         if n and nulls == n:
             alerts.append("100% nulos")
-        if role == vocab.ID and repeated.get(c):
-            alerts.append(f"duplicados={repeated[c]}")
+        if role == vocab.ID and seen["repeated"]:
+            alerts.append(f"duplicados={seen['repeated']}")
         if role in NUMERIC_ROLES:
             s = numeric.get(c)
             if s and s["n"]:
@@ -174,22 +171,21 @@ def profile(df: DataFrame, roles: dict[str, str], order_by: str | None = None) -
                 if s["outliers"]:
                     alerts.append(f"outliers_Tukey={s['outliers']}")
         elif role == vocab.DATE:
-            s = dated[c]
+            s = dated.get(c, {"parsed": 0})
             details = (f"parseadas={s['parsed_pct']}, min={s['min']}, max={s['max']}"
                        if s["parsed"] else "parseadas=0%")
             if s["parsed"] < LOW_PARSE_SHARE * max(1, n):
                 alerts.append("baja_lectura_fechas")
         elif role == vocab.BOOL:
-            pairs = [(bools[c][f"{w}_count"], w) for w in ("true", "false")]
-            seen = [f"{w}({k})" for k, w in sorted(pairs, key=lambda p: -p[0]) if k]
-            details = " · ".join(seen) or NO_VALUE
+            pairs = [(bools.get(c, {}).get(f"{w}_count", 0), w) for w in ("true", "false")]
+            details = " · ".join(f"{w}({k})" for k, w in sorted(pairs, key=lambda p: -p[0]) if k) or NO_VALUE
         elif c in tops:
             details = f"top3={tops[c]}"
             if role != vocab.MONEY:
                 s = lengths[c]
                 details += f" · len(min/med/max)={s['min_len']}/{s['median_len']}/{s['max_len']}"
-        lines.append((c, df.schema[c].dataType.simpleString(), role, uniques.get(c, 0),
-                     _percent(uniques.get(c, 0), n), nulls, _percent(nulls, n), details,
+        lines.append((c, df.schema[c].dataType.simpleString(), role, uniques,
+                     _percent(uniques, n), nulls, _percent(nulls, n), details,
                      samples.get(c, []), alerts))
     return df.sparkSession.createDataFrame(lines, PROFILE_SCHEMA)
 

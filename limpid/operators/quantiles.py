@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles with bounded memory.
 
-Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. That is fine up to
-some number of cells; past it the same answer is found by narrowing. A quantile sketch brackets the wanted
+Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. That is fine for a
+small table; past ``CELL_LIMIT`` values the same answer is found by narrowing. A quantile sketch brackets the wanted
 order statistic, one aggregate counts the rows below and inside the bracket, and the bracket shrinks by
 three orders of magnitude per round until ``percentile`` can finish inside it.
 """
@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-CELL_LIMIT = 20_000_000
+CELL_LIMIT = 200_000
 ACCURACY = 10_000
 
 
@@ -73,46 +73,56 @@ def _inside(c: str, low, high) -> Column:
 
 
 def _finish(data: DataFrame, brackets: dict) -> dict:
-    keys = list(brackets)
+    """The wanted ranks, read off the few rows left in every bracket."""
+    shared = _by_bracket(brackets)
     row = data.agg(*[
-        F.percentile(_inside(c, low, high), F.lit((r - below) / max(1, inside - 1))).alias(f"v{i}")
-        for i, (c, r) in enumerate(keys) for low, high, below, inside in [brackets[c, r]]
+        F.percentile(_inside(c, low, high), F.array(*[F.lit((r - below) / max(1, inside - 1)) for r in ranks])).alias(f"v{i}")
+        for i, ((c, low, high, below, inside), ranks) in enumerate(shared.items())
     ]).first()
-    return {key: row[f"v{i}"] for i, key in enumerate(keys)}
+    return {(c, r): v for i, ((c, *_), ranks) in enumerate(shared.items()) for r, v in zip(ranks, row[f"v{i}"])}
+
+
+def _by_bracket(brackets: dict) -> dict:
+    """``{(column, low, high, below, inside): [ranks]}``: ranks that share a bracket share its sketch."""
+    shared = {}
+    for (c, r), bracket in brackets.items():
+        shared.setdefault((c, *bracket), []).append(r)
+    return shared
 
 
 def _narrow(data: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dict]:
-    keys = list(brackets)
+    """One round: sketch every bracket around its ranks, count exactly at the sketched values, cut."""
     slack = 2.0 / accuracy
+    shared = _by_bracket(brackets)
     asks = []
-    for i, (c, r) in enumerate(keys):
-        low, high, below, inside = brackets[c, r]
-        at = (r - below) / max(1, inside - 1)
-        both = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-        asks.append(F.approx_percentile(_inside(c, low, high), both, F.lit(accuracy)).alias(f"s{i}"))
+    for i, ((c, low, high, below, inside), ranks) in enumerate(shared.items()):
+        at = [(r - below) / max(1, inside - 1) for r in ranks]
+        spots = [F.lit(min(1.0, max(0.0, a + side))) for a in at for side in (-slack, slack)]
+        asks.append(F.approx_percentile(_inside(c, low, high), F.array(*spots), F.lit(accuracy)).alias(f"s{i}"))
     sketch = data.agg(*asks).first()
-    checks = []
-    for i, (c, _) in enumerate(keys):
-        a, b = sketch[f"s{i}"]
-        checks += [F.count_if(F.col(c) < a).alias(f"lt_a{i}"), F.count_if(F.col(c) <= a).alias(f"le_a{i}"),
-                   F.count_if(F.col(c) < b).alias(f"lt_b{i}"), F.count_if(F.col(c) <= b).alias(f"le_b{i}")]
-    seen = data.agg(*checks).first()
-    solved, open_brackets = {}, {}
-    for i, (c, r) in enumerate(keys):
+    marks = {}  # (column, rank) -> the two sketched values around it
+    for i, ((c, *_), ranks) in enumerate(shared.items()):
+        values = sketch[f"s{i}"]
+        marks.update({(c, r): (values[2 * k], values[2 * k + 1]) for k, r in enumerate(ranks)})
+    places = sorted({(c, v) for (c, _), pair in marks.items() for v in pair})
+    seen = data.agg(*[f(F.col(c), v).alias(f"{tag}{i}") for i, (c, v) in enumerate(places)
+                      for tag, f in (("lt", lambda x, v: F.count_if(x < v)), ("le", lambda x, v: F.count_if(x <= v)))]).first()
+    below_of = {place: seen[f"lt{i}"] for i, place in enumerate(places)}
+    upto = {place: seen[f"le{i}"] for i, place in enumerate(places)}
+    solved, left = {}, {}
+    for (c, r), (a, b) in marks.items():
         low, high, below, inside = brackets[c, r]
-        a, b = sketch[f"s{i}"]
-        lt_a, le_a, lt_b, le_b = (seen[f"{k}{i}"] for k in ("lt_a", "le_a", "lt_b", "le_b"))
-        if lt_a <= r < le_a:
+        if below_of[c, a] <= r < upto[c, a]:
             solved[c, r] = a
-        elif lt_b <= r < le_b:
+        elif below_of[c, b] <= r < upto[c, b]:
             solved[c, r] = b
-        elif r < lt_a:
-            open_brackets[c, r] = (low, a, below, lt_a - below)
-        elif r >= le_b:
-            open_brackets[c, r] = (b, high, le_b, below + inside - le_b)
+        elif r < below_of[c, a]:
+            left[c, r] = (low, a, below, below_of[c, a] - below)
+        elif r >= upto[c, b]:
+            left[c, r] = (b, high, upto[c, b], below + inside - upto[c, b])
         else:
-            open_brackets[c, r] = (a, b, le_a, lt_b - le_a)
-    return solved, open_brackets
+            left[c, r] = (a, b, upto[c, a], below_of[c, b] - upto[c, a])
+    return solved, left
 
 
 def tukey_fences(df: DataFrame, exprs: dict[str, Column]) -> dict[str, tuple]:

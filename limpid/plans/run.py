@@ -15,7 +15,7 @@ from limpid.plans.dashboard import dashboard_data, dashboard_kpis
 from limpid.plans.roles import infer_types, profile_roles
 from limpid.plans.spec import auto_spec, safe_spec
 from limpid.sources.tables import write_charts, write_csv, write_profile, write_spec
-from limpid.storage import materialize
+from limpid.storage import materialize, spread
 
 
 @dataclass
@@ -48,18 +48,20 @@ def run(df: DataFrame, rules: dict | None = None, source_name: str | None = None
         min_success_ratio: float = PARSE_SHARE, min_non_null: float = 0.6, tol: float = 0.02) -> Run:
     """Everything from a raw table to checked chart data.
 
-    ``order_by`` names the column that gives row order (``_pos`` of a scan, or a key). The cleaned and flagged
-    table is written once to the shared folder, and every later step reads only the columns it needs from it.
+    ``order_by`` names the column that gives row order (``_pos`` of a scan, or a key). The table is written to the
+    shared folder three times: with dates in place, cleaned, and flagged. Every step in between reads only the
+    columns it needs from the last copy.
     """
     order_by = order_by or ("_pos" if "_pos" in df.columns else None)
     dated, date_columns = normalize_dates(df, min_success_ratio)
+    dated = materialize(spread(dated), "dated")  # raw text is parsed once, the dozen passes below read columns
     data_columns = [c for c in dated.columns if c != "_pos"]
     roles = {c: r for c, r in infer_types(dated, date_columns).items() if c in data_columns}
     table = profile(dated, profile_roles(dated.select(*data_columns), roles), order_by)
 
     tidy, summary = clean(dated, rules, order_by)
     tidy = materialize(tidy, "clean")
-    rows_before, rows_after = df.count(), tidy.count()
+    rows_before, rows_after = dated.count(), tidy.count()
     summary["dropped_duplicates"] = rows_before - rows_after
     flagged, found = outliers.isolation_forest(tidy, contamination, seed, order_by)
     flagged = materialize(flagged.drop("_pos"), "flagged")
