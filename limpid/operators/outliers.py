@@ -142,25 +142,23 @@ def forest_score(trees: list, tree_rows: int):
     steps = math.ceil(math.log2(max(2, tree_rows)))
 
     @F.pandas_udf("double")
-    def score(features):
+    def score(*features):
         import numpy as np
         import pandas as pd
 
-        if len(features) == 0:
-            return pd.Series([], dtype="float64")
-        points = np.stack(features.to_numpy())
-        first = np.arange(len(points)) * points.shape[1]
-        points = np.ascontiguousarray(points).ravel()
-        total = np.zeros(len(first))
+        n = len(features[0])
+        points = np.concatenate([f.to_numpy() for f in features])  # feature f of row i at f * n + i
+        rows = np.arange(n)
+        total = np.zeros(n)
         for feature, split, below, above, depth in packed:
             asked = np.asarray(feature)
             leaf = asked < 0
             itself = np.arange(len(asked))
             child = np.stack([np.where(leaf, itself, below), np.where(leaf, itself, above)], axis=1).ravel()
-            asked, split = np.where(leaf, 0, asked), np.asarray(split)
-            at = np.zeros(len(first), dtype=np.int64)
+            start, split = np.where(leaf, 0, asked) * n, np.asarray(split)
+            at = np.zeros(n, dtype=np.int64)
             for _ in range(steps):
-                right = points.take(first + asked.take(at)) > split.take(at)
+                right = points.take(rows + start.take(at)) > split.take(at)
                 at = child.take(2 * at + right)
             total += np.asarray(depth).take(at)
         return pd.Series(np.power(2.0, -total / len(packed) / scale))
@@ -189,7 +187,7 @@ def isolation_forest(df: DataFrame, contamination: float = vocab.CONTAMINATION,
     key = col(order_by) if order_by else F.monotonically_increasing_id()
     tree_rows = min(vocab.TREE_ROWS, n_rows)
     trees = fit_forest(df, scaled, key, n_rows, n_trees, vocab.TREE_ROWS, seed)
-    anomaly = forest_score(trees, tree_rows)(F.array(*scaled.values()))
+    anomaly = forest_score(trees, tree_rows)(*scaled.values())
     df = spread(df)
     scores = materialize(df.select((-anomaly).alias("normality")), "scores")
     offset = exact_quantiles(scores, {"normality": F.col("normality")}, [contamination])["normality"][0]

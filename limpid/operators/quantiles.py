@@ -32,7 +32,7 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs, cell_limit:
 
     spots = {c: [p * (n - 1) for p in probs] for c, n in counts.items() if n}
     ranks = {(c, r) for c, ps in spots.items() for p in ps for r in (math.floor(p), math.ceil(p))}
-    values = _order_statistics(data, sorted(ranks), cell_limit, accuracy)
+    values = _order_statistics(data, sorted(ranks), counts, cell_limit, accuracy)
     result = {}
     for i, n in enumerate(names):
         c = f"x{i}"
@@ -46,13 +46,12 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs, cell_limit:
     return result
 
 
-def _order_statistics(data: DataFrame, ranks, cell_limit: int, accuracy: int) -> dict:
+def _order_statistics(data: DataFrame, ranks, totals: dict, cell_limit: int, accuracy: int) -> dict:
     """Value at each zero-based ``(column, rank)``.
 
     A bracket is an open interval ``(low, high)`` with the rows at or below ``low`` and the rows inside.
     Its ends are data values that were ruled out, so every round makes progress whatever the skew.
     """
-    totals = data.agg(*[F.count(c).alias(c) for c in {c for c, _ in ranks}]).first()
     brackets = {(c, r): (None, None, 0, totals[c]) for c, r in ranks}
     solved = {}
     while brackets:
