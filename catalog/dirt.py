@@ -77,6 +77,7 @@ VIEWS = {
     "headers": ("part", {
         "p_partkey": "p_partkey",
         "p_brand": "p_brand",
+        "tabla": "cast(floor(p_partkey / 20) as bigint)",
         "header": "case p_partkey % 12 when 0 then ' Order ID ' when 1 then 'Fecha' when 2 then 'unit_price'"
                   " when 3 then 'Total  Monto' when 4 then 'is_active' when 5 then 'categoria-tipo'"
                   " when 6 then 'cantidad qty' when 7 then 'GEO lat' when 8 then 'salary (%)' when 9 then 'stock/bodega'"

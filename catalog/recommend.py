@@ -77,15 +77,17 @@ def _domain(rules):
 
 
 @query("domain_rules", f"""
-    with x as (select p_brand, lower(string_agg(header, ' ' order by p_partkey)) as h from headers group by 1)
-    select p_brand, {_domain(vocab.DOMAIN_RULES)} as domain, {_domain(vocab.BUSINESS_DOMAIN_RULES)} as business_domain from x
-    union all select 'part ' || p_partkey, {_domain(vocab.DOMAIN_RULES)}, {_domain(vocab.BUSINESS_DOMAIN_RULES)}
+    with x as (select tabla, lower(string_agg(header, ' ' order by p_partkey)) as h from headers group by 1)
+    select 'table ' || tabla as name, {_domain(vocab.DOMAIN_RULES)} as domain, {_domain(vocab.BUSINESS_DOMAIN_RULES)} as business_domain from x
+    union all select 'column ' || p_partkey, {_domain(vocab.DOMAIN_RULES)}, {_domain(vocab.BUSINESS_DOMAIN_RULES)}
     from (select p_partkey, lower(header) as h from headers)""")
 def _(t: Tables):
     names = F.array_sort(F.collect_list(F.struct("p_partkey", "header")))["header"]
-    tables = t.headers.groupBy("p_brand").agg(F.array_join(names, " ").alias("h"))
-    each = t.headers.select(F.concat(F.lit("part "), F.col("p_partkey")).alias("p_brand"), F.col("header").alias("h"))
-    return tables.unionByName(each).select("p_brand", roles.domain(F.col("h")).alias("domain"),
+    # a table has 20 column names here, so its list stays small however many tables there are
+    tables = t.headers.groupBy("tabla").agg(F.array_join(names, " ").alias("h"))
+    each = t.headers.select(F.concat(F.lit("column "), F.col("p_partkey")).alias("name"), F.col("header").alias("h"))
+    named = tables.select(F.concat(F.lit("table "), F.col("tabla")).alias("name"), "h")
+    return named.unionByName(each).select("name", roles.domain(F.col("h")).alias("domain"),
                                            roles.business_domain(F.col("h")).alias("business_domain"))
 
 
@@ -376,9 +378,9 @@ def _(t: Tables):
 
 
 @query("header_text", """
-    select p_brand, string_agg(lower(header), ' | ' order by p_partkey) as header from headers group by 1""")
+    select tabla, string_agg(lower(header), ' | ' order by p_partkey) as header from headers group by 1""")
 def _(t: Tables):
-    return features.header_text(t.headers, "p_brand", "header", "p_partkey")
+    return features.header_text(t.headers, "tabla", "header", "p_partkey")
 
 
 @query("weak_labels", f"""
@@ -426,11 +428,11 @@ def _(t: Tables):
 
 @query("domain_classifier")
 def _(t: Tables):
-    found = t.headers.select("p_brand", "p_partkey", "header", roles.business_name_role(F.col("header")).alias("role"))
-    histogram = features.role_histogram(found, "p_brand").withColumnRenamed("p_brand", "dataset")
-    headers = features.header_text(found, "p_brand", "header", "p_partkey").withColumnRenamed("p_brand", "dataset")
-    lengths = found.groupBy("p_brand").agg((F.count_if(F.col("role") == "fecha") > F.count_if(F.col("role") == "id")).alias("dated"))
-    domains = lengths.select(F.col("p_brand").alias("dataset"), F.when(F.col("dated"), "sales").otherwise("inventory").alias("domain"))
+    found = t.headers.select(F.col("tabla").alias("dataset"), "p_partkey", "header", roles.business_name_role(F.col("header")).alias("role"))
+    histogram = features.role_histogram(found)
+    headers = features.header_text(found, "dataset", "header", "p_partkey")
+    dated = F.col("role_count_fecha") - F.col("role_count_id")
+    domains = histogram.select("dataset", F.when(dated > 0, "sales").when(dated < 0, "hr").otherwise("inventory").alias("domain"))
     data = models.domain_text(headers, histogram).join(domains, "dataset").cache()
     return models.predict_domain(models.train_domain(data), data).select("dataset", "domain", "predicted")
 

@@ -74,7 +74,7 @@ def train_domain(data: DataFrame, label: str = "domain") -> PipelineModel:
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
         HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 14),
         IDF(inputCol="tf", outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="target", handleInvalid="keep").setStringOrderType("alphabetAsc"),
+        StringIndexer(inputCol=label, outputCol="target", handleInvalid="error").setStringOrderType("alphabetAsc"),
         LogisticRegression(featuresCol="features", labelCol="target", maxIter=200, regParam=0.01),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=labels),
     ]).fit(data)
