@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limpid.llm import dedup, token_ids, warc
+from limpid.llm import dedup, fingerprint, language, near_dup, packing, pieces, recurrent, token_ids, url_rules, warc
 from limpid.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,46 @@ def write_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_ids.write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_ids.read_ids(spark, path)
+
+
+@query("op2_sentencepiece")
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Encodes every document, decodes the ids and says whether that gives the text again."""
+    return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_jaccard_join")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op4_recurrent_lm")
+def recurrent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return recurrent.score(table(spark, folder, "documents"))
+
+
+@query("op5_language_mixture")
+def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "languages")
+
+
+#: Given rules of the query: address prefix and verdict.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query("op6_url_rules")
+def judge_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op7_best_fit")
+def best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return packing.pack(packing.sized(docs), docs.count())
+
+
+@query("op9_fingerprint")
+def fingerprint_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.with_neighbours(table(spark, folder, "documents"))

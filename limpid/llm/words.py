@@ -1,6 +1,6 @@
-"""Words of whole texts, found and hashed in numpy over the bytes of an Arrow batch.
+r"""Words of whole texts, found and hashed in numpy over the bytes of an Arrow batch.
 
-Words are the runs of ``[^\\x20\\x09-\\x0D]``; A-Z count as a-z. A null text has no words.
+Words are the runs of ``[^\x20\x09-\x0D]``; A-Z count as a-z. A null text has no words.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 
 #: Texts are worked on in slices of about so many bytes, which bounds the memory of a task. One longer text is one slice.
 SLICE_BYTES = 4 << 20
@@ -67,9 +68,12 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of a slice of texts: byte ranges, hashes, and the range of words of each text."""
+    """The words of a slice of texts: byte ranges, hashes, and the range of words of each text.
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    ``space`` says which bytes part words.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = True, space: np.ndarray = SPACE):
         texts = pa.compute.fill_null(texts, "")
         wide = pa.types.is_large_string(texts.type)
         _, ends, data = texts.buffers()
@@ -79,7 +83,7 @@ class Words:
         self.raw, self.offsets = raw, offsets
         self.bytes = (LOWER if lower else PLAIN)[raw]
         inside = np.zeros(len(raw) + 1, bool)
-        np.logical_not(SPACE[raw], out=inside[:-1])
+        np.logical_not(space[raw], out=inside[:-1])
         first = inside[:-1].copy()
         first[1:] &= ~inside[:-2]
         breaks = offsets[1:-1][offsets[1:-1] < len(raw)]
