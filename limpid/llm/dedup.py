@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limpid.llm.skew import join_groups
+from limpid.llm.skew import join_groups, without
 from limpid.storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,4 +73,4 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``docs`` without the rows that are not kept; rows without a key stay."""
     lost = exact_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
     match = (F.col(key) == F.col("_key")) & (F.sha2(normalized(text), 256) == F.col("_sha"))
-    return docs.join(lost, match, "left_anti")
+    return without(docs, materialize(lost, "lost"), match)

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from limpid.llm import skew
 from limpid.llm.dedup import normalized
 from limpid.llm.graph import components
-from limpid.llm.skew import join_groups
 from limpid.llm.words import Words, parts
 from limpid.storage import materialize
 
@@ -36,8 +36,6 @@ NUMERATOR, DENOMINATOR = 9, 4
 RANGE_SHINGLES = 1 << 21
 #: A family of more shared shingles than this is not joined in one task.
 FAMILY_SHINGLES = 1 << 20
-#: Up to so many copies are left out by a broadcast list; more by a shuffle.
-BROADCAST_COPIES = 500_000
 LOW = np.uint64(0xFFFF)
 
 
@@ -55,6 +53,11 @@ BLOBS = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("kind", pa.str
 BLOBS_DDL = "range long, block long, kind string, data binary, more binary"
 
 
+def _blobs(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows) if rows else [()] * len(BLOBS)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, BLOBS.types)], schema=BLOBS)
+
+
 def _cut(bits: int):
     """Slices of documents to blobs. An item is a shingle hash of 48 bits and the row of its document in the slice.
 
@@ -78,7 +81,7 @@ def _cut(bits: int):
             for r, (a, b) in enumerate(zip(edges.tolist(), np.append(edges[1:], len(first)).tolist())):
                 if b > a:
                     out.append((r, block, "first", planes(first[a:b]), planes(times[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), BLOBS.types)], schema=BLOBS)
+            yield from _blobs(out).to_batches()
             block += 1
     return run
 
@@ -105,7 +108,7 @@ def _count(group: pa.Table) -> pa.Table:
             keep = often[a:b] > 1
             if keep.any():
                 out.append((0, block[i], "shared", planes(items[a:b][keep]), rank[a:b][keep].tobytes()))
-    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), BLOBS.types)], schema=BLOBS)
+    return _blobs(out)
 
 
 NODES = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("weight", pa.float64()), ("shared", pa.binary())])
@@ -391,11 +394,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     facts = materialize(rows.select("id", "sha", F.octet_length("text").alias("bytes")), "facts")
     total, bytes_ = facts.agg(F.count("*"), F.sum("bytes")).first()
     copies = materialize(facts.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1"), "copies")
-    members = materialize(join_groups(facts.drop("bytes"), copies, "sha", "rows", total).withColumn("rep", F.coalesce("rep", "id")).drop("rows"), "members")
+    members = materialize(skew.join_groups(facts.drop("bytes"), copies, "sha", "rows", total).withColumn("rep", F.coalesce("rep", "id")).drop("rows"), "members")
     spare = materialize(members.filter("id is not null and id <> rep").select("id", tag.alias("tag")).distinct(), "spare")
-    few = spare.count() <= BROADCAST_COPIES
-    single = rows.withColumn("tag", tag).join(F.broadcast(spare) if few else spare, ["id", "tag"], "left_anti")
-    if not few:  # a task that runs again must see its rows in the same order
+    single = skew.without(rows.withColumn("tag", tag), spare, ["id", "tag"])
+    if spare.count() > skew.FEW_KEYS:  # rows were shuffled, and a task that runs again must see them in the same order
         single = single.sortWithinPartitions("id", "tag")
     nodes = shared_sets(single, (bytes_ or 0) // 6)
     sets = nodes.filter("shared is not null and id is not null")
@@ -421,10 +423,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     out = out.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     alone = F.coalesce(F.col("n"), F.lit(0)) == 0
     return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-                      F.when(alone, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+                      F.when(alone | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest key; rows without a key stay."""
     lost = jaccard_components(docs, key, text).filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(lost, key, "left_anti")
+    return skew.without(docs, materialize(lost, "lost"), key)

@@ -33,8 +33,9 @@ KNOWN = 100_000
 #: Bounds of the fit: expected documents, in so many shards, and rounds over them.
 SAMPLE, SHARDS, ROUNDS = 2400, 6, 3
 WINDOW, LANES, RATE = 24, 16, 0.01
-#: Documents that are scored side by side, and positions between which only the state is carried.
-BESIDE, STRIDE = 512, 32
+#: Documents that are scored side by side, positions between which only the state is carried, and tokens that a task
+#: gathers first: long documents are few, so they are best scored together.
+BESIDE, STRIDE, GATHERED = 512, 32, 4_000_000
 
 
 def held_out(key: str | Column) -> Column:
@@ -58,12 +59,16 @@ class Network:
         self.w = weights
 
     @classmethod
-    def fresh(cls, seed: int = 1) -> "Network":
+    def fresh(cls, head: np.ndarray | None = None, rest: np.ndarray | None = None, seed: int = 1) -> "Network":
+        """Weights to start from. ``head`` and ``rest`` are counts of the head words and of the ending classes: the
+        biases then make a network that predicts by frequency alone, nearly, before it has learned."""
+        head = np.ones((HEAD // WITHIN, WITHIN)) if head is None else np.maximum(head, 0.5).reshape(-1, WITHIN)
+        rest = np.full(ENDINGS, float(WITHIN)) if rest is None else rest
         r = np.random.default_rng(seed)
         def a(*shape: int, scale: float) -> np.ndarray:
             return (r.standard_normal(shape) * scale).astype(np.float32)
-        return cls({"x": a(TYPES, 3 * HIDDEN, scale=0.1), "u": a(HIDDEN, 3 * HIDDEN, scale=HIDDEN ** -0.5), "c": a(HIDDEN, CLASSES, scale=0.1),
-                    "cb": np.zeros(CLASSES, np.float32), "i": a(HEAD // WITHIN, HIDDEN, WITHIN, scale=0.1), "ib": np.zeros((HEAD // WITHIN, WITHIN), np.float32)})
+        return cls({"x": a(TYPES, 3 * HIDDEN, scale=0.1), "u": a(HIDDEN, 3 * HIDDEN, scale=HIDDEN ** -0.5), "c": a(HIDDEN, CLASSES, scale=0.02),
+                    "cb": np.log(np.append(head.sum(1), rest)).astype(np.float32), "i": a(HEAD // WITHIN, HIDDEN, WITHIN, scale=0.02), "ib": np.log(head).astype(np.float32)})
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """(next state, and what its gradient needs) from states and word types."""
@@ -180,18 +185,18 @@ def score_types(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     for b in range(0, len(order), BESIDE):
         some = order[b:b + BESIDE]
         size = np.array([len(texts[i]) for i in some])
-        x = np.zeros((len(some), int(size[0])), np.int64) if len(size) else np.zeros((0, 0), np.int64)
-        for j, i in enumerate(some):
-            x[j, :size[j]] = texts[i]
+        flat = np.concatenate([texts[i] for i in some])
+        begin = np.cumsum(size) - size
         h = np.zeros((len(some), HIDDEN), np.float32)
-        for a in range(0, x.shape[1], STRIDE):
+        for a in range(0, int(size[0]), STRIDE):
             states, words, rows = [], [], []
-            for t in range(a, min(a + STRIDE, x.shape[1])):
+            for t in range(a, min(a + STRIDE, int(size[0]))):
                 live = int(np.searchsorted(-size, -t))  # longer ones come first
+                x = flat[begin[:live] + t]
                 states.append(h[:live])
-                words.append(x[:live, t])
+                words.append(x)
                 rows.append(np.arange(live))
-                h = network.step(h[:live], x[:live, t])[0]
+                h = network.step(h[:live], x)[0]
             value, _ = network.losses(np.concatenate(states), np.concatenate(words))
             out[some] += np.bincount(np.concatenate(rows), value, len(some))
     return out
@@ -248,9 +253,8 @@ def ending_masses(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.mapInArrow(run, "ending long, mass double").groupBy("ending").agg(F.sum("mass").alias("mass"))
 
 
-def fit_network(sample: DataFrame, lexicon: Lexicon, shards: int = SHARDS, rounds: int = ROUNDS) -> Network:
+def fit_network(sample: DataFrame, lexicon: Lexicon, network: Network, rounds: int = ROUNDS) -> Network:
     """Fits on rows of (shard, text): in each round every shard starts from the same weights, which are averaged after it."""
-    network = Network.fresh()
     staged = materialize(sample, "lm-sample")
     for _ in range(rounds):
         start = network.w
@@ -297,10 +301,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
         masses[r["ending"]] += r["mass"]
     head = Words(pa.array([r["word"] for r in top[:END]], pa.string()))
     np.subtract.at(masses, endings(head, np.arange(len(head))), np.array([r["n"] + 1 for r in top[:END]], float))
+    counts = np.zeros(HEAD)
+    counts[:len(head)] = [r["n"] for r in top[:END]]
+    counts[END] = n_texts
     lexicon = Lexicon([r["word"] for r in top], [r["n"] for r in top], masses, total, distinct)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     chosen = learn.filter(draw < F.lit(min(1.0, sample / max(n_texts, 1)) * (1 << 30)))
-    network = fit_network(chosen.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS)).alias("shard"), "text"), lexicon)
+    network = fit_network(chosen.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS)).alias("shard"), "text"), lexicon, Network.fresh(counts, masses), ROUNDS)
 
     shared = docs.sparkSession.sparkContext.broadcast((network.w, lexicon))  # of fixed size
 
@@ -308,22 +315,33 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
         weights, lexicon = shared.value
         network, row = Network(weights), TaskContext.get().partitionId() << 32
         unit = np.log10(lexicon.masses)
+        held, types, gathered = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            value = score_types(network, types) / np.log(10)
+            at = 0
+            for rows, ids, n, known, base, counted in held:
+                score = value[at:at + len(n)] + counted
+                at += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.nulls(len(n), pa.string()), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score)], schema=SCORED)
+
         for part in parts(batches):
             words = Words(part.column("text"))
             codes, at, kind, rank, count = lexicon.types(words)
             n = words.counts()
-            neural = score_types(network, with_ends(kind[codes], words.of)) / np.log(10)
+            types += with_ends(kind[codes].astype(np.int16), words.of)
             text = np.repeat(np.arange(len(n)), n)
             is_known, tail = rank >= 0, kind >= HEAD
             value = np.log10(count + 1)
             base = np.bincount(text, value[codes], len(n)) + (np.log10(n_texts + 1) if n_texts else 0.0)
             cost = np.where(tail, np.where(is_known, value, 0) - unit[np.maximum(kind - HEAD, 0)], 0.0)
-            part_score = neural + np.bincount(text, cost[codes], len(n))
+            counted = np.bincount(text, cost[codes], len(n))
             known = np.bincount(text, is_known[codes], len(n)).astype(np.int64) + (1 if n_texts else 0)
             ids = part.column("doc_id")
             rows = np.arange(row, row + len(n))
             row += len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.nulls(len(n), pa.string()), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(part_score)], schema=SCORED)
+            held.append((rows, ids, n, known, base, counted))
+            gathered += len(words)
             # Words that are not sent to all tasks: one row for each text and word, to meet its count.
             rare = ~is_known[codes]
             pair, times = np.unique(text[rare] * np.int64(len(at) + 1) + codes[rare], return_counts=True)
@@ -332,6 +350,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
                 names = words.strings(at)
                 zero = np.zeros(len(pair))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[which]), pa.nulls(len(pair), pa.int64()), names.take(pa.array(code)), pa.array(times), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], schema=SCORED)
+            if gathered > GATHERED:
+                yield from flush()
+                held, types, gathered = [], [], 0
+        yield from flush()
 
     scored = materialize(rows.mapInArrow(run, "row long, doc_id long, word string, n long, known long, base double, score double"), "scored")
     texts = scored.filter("word is null").drop("word")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A group is hot when it holds more than one in so many rows; so there are fewer hot groups than this.
 HOT_SHARE = 1000
+#: Up to so many keys of rows to leave out are broadcast; more are met by a shuffle of the rows.
+FEW_KEYS = 500_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -18,3 +20,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     is_hot = F.col(size) * HOT_SHARE > F.lit(total)
     hot, cold = F.broadcast(groups.filter(is_hot)), groups.filter(~is_hot)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
+
+
+def without(rows: DataFrame, lost: DataFrame, on: str | list[str] | Column) -> DataFrame:
+    """``rows`` that match none of ``lost``, a staged table of keys, which is broadcast if it is small."""
+    return rows.join(F.broadcast(lost) if lost.count() <= FEW_KEYS else lost, on, "left_anti")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Texts are worked on in slices of about so many bytes, which bounds the memory of a task. One longer text is one slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -47,7 +47,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
-    room = SLICE_BYTES * 2
+    room = SLICE_BYTES + 64
     while room < size:
         room *= 2
     up, down = _powers(room)
