@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from limpid.llm.skew import join_groups
 from limpid.storage import materialize
 
 #: A rule table up to this many rows is broadcast; a larger one is joined by a shuffle.
@@ -69,7 +70,7 @@ def match(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame
     """The surest rule that fits each row of (key, tokens), for rows that any rule fits: key, label, mined_rule.
 
     Rules are indexed under their rarest token. Of fitting rules the most confident wins, then the best supported, then
-    the first by its text. Rows with equal keys must have equal tokens.
+    the last by its text. Rows with equal keys must have equal tokens.
     """
     parts = rules.select("*", F.explode("items").alias("token"))
     often = parts.groupBy("token").agg(F.max("support").alias("often"))
@@ -98,10 +99,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     rule, says = given_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("key", "host", "path", rule.alias("rule"), says.alias("label"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
     rows = materialize(rows, "addresses")
-    # Addresses with the same tokens are judged once.
-    open_ = rows.filter(F.col("label").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
-    found = match(open_.withColumn("bag", F.concat_ws(" ", "tokens")), mine(rows, support, confidence), "bag")
-    judged = rows.withColumn("bag", F.when(F.col("label").isNull(), F.concat_ws(" ", "tokens"))).join(
-        found.withColumnRenamed("label", "mined"), "bag", "left")
+    # Addresses with the same tokens are judged once, and a common set of tokens is hot.
+    decided, left = rows.filter("label is not null"), rows.filter("label is null").withColumn("bag", F.concat_ws(" ", "tokens"))
+    bags = left.groupBy("bag").agg(F.first("tokens").alias("tokens"), F.count("*").alias("rows"))
+    found = match(bags, mine(rows, support, confidence), "bag").withColumnRenamed("label", "mined")
+    groups = materialize(bags.drop("tokens").join(found, "bag"), "judged")
+    judged = join_groups(left, groups, "bag", "rows", left.count()).unionByName(decided, allowMissingColumns=True)
     return judged.select(F.col("key").alias(key), "host", "path", "rule", "mined_rule",
                          F.coalesce("label", "mined", F.lit(default)).alias("verdict"))
