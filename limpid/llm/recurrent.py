@@ -28,7 +28,7 @@ CLASSES = HEAD // WITHIN + ENDINGS
 TYPES = HEAD + ENDINGS
 END = HEAD - 1
 HIDDEN = 32
-#: So many frequent words are sent to all tasks with their counts; counts of others are joined.
+#: At most so many frequent words are sent to all tasks with their counts; counts of others are joined.
 KNOWN = 100_000
 #: Bounds of the fit: expected documents, in so many shards, and rounds over them.
 SAMPLE, SHARDS, ROUNDS = 2400, 6, 3
@@ -253,9 +253,27 @@ def ending_masses(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.mapInArrow(run, "ending long, mass double").groupBy("ending").agg(F.sum("mass").alias("mass"))
 
 
+def frequent(vocabulary: DataFrame, limit: int) -> list:
+    """The most frequent words, at most ``limit``, most frequent first.
+
+    Counts are told apart in eighths of a power of two, so what a task sends to find the limit does not grow; words as
+    frequent as that step are in together or not at all.
+    """
+    step = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for r in sorted(vocabulary.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return sorted(vocabulary.filter(step >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+
+
 def fit_network(sample: DataFrame, lexicon: Lexicon, network: Network, rounds: int = ROUNDS) -> Network:
     """Fits on rows of (shard, text): in each round every shard starts from the same weights, which are averaged after it."""
-    staged = materialize(sample, "lm-sample")
+    staged = materialize(sample, "lm-sample").repartition(SHARDS, "shard")
     for _ in range(rounds):
         start = network.w
 
@@ -295,7 +313,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     n_texts = learn.count()
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_texts, distinct + (1 if n_texts else 0)
-    top = vocabulary.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
+    top = frequent(vocabulary, KNOWN)
     masses = np.ones(ENDINGS)
     for r in ending_masses(vocabulary).collect():
         masses[r["ending"]] += r["mass"]
