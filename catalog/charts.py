@@ -26,7 +26,7 @@ def pie(dim, value=None, aggregate="count", limit=8):
 
 
 def heat(x, y, value=None, aggregate="count", month=False):
-    return {"id": "heat", "type": "heatmap", "encoding": {
+    return {"id": "heat", "type": "heatmap", "grid": 1000, "encoding": {
         "x": {"field": x, **({"timeUnit": "month"} if month else {})}, "y": {"field": y},
         "value": {"field": value or "__row__", "aggregate": aggregate}}}
 
@@ -130,6 +130,32 @@ def _(t: Tables):
     return drawn(t.lineitem, heat("l_returnflag", "l_linenumber", "l_discount", "mean"), "x", "y", "value")
 
 
+@query("chart_heatmap_wide", """
+    select cast(l_orderkey as varchar) as x, l_returnflag as y, round(sum(l_quantity), 2) as value from lineitem group by 1, 2""")
+def _(t: Tables):
+    # as many labels as orders, so only the pairs that occur
+    wide = {**heat("l_orderkey", "l_returnflag", "l_quantity", "sum"), "grid": None}
+    return charts.run_chart(t.lineitem, wide).select("x", "y", F.round("value", 2).alias("value"))
+
+
+@query("chart_line_month_count_field", """
+    with c as (select date_trunc('month', o_orderdate) as m, count(*) as n from orders group by 1),
+    s as (select unnest(generate_series((select min(m) from c), (select max(m) from c), interval 1 month)) as m)
+    select strftime(s.m, '%Y-%m') as x, cast(coalesce(n, 0) as double) as value from s left join c on c.m = s.m""")
+def _(t: Tables):
+    return drawn(t.orders, line("o_orderdate", "o_totalprice", "count"))
+
+
+@query("filter_domain_wide", """
+    with c as (select cast(o_custkey as varchar) as value, count(*) as n from orders group by 1),
+    r as (select *, cast(row_number() over (order by n desc, value) as int) as rank from c)
+    select 'o_custkey' as field, value, n, rank from r where rank <= 1200""")
+def _(t: Tables):
+    from limpid.operators.filters import filter_domain
+    found = filter_domain(t.orders, [{"field": "o_custkey", "type": "categorical", "max_values": 1200}])
+    return found.select("field", "value", "n", "rank")
+
+
 @query("chart_histogram", """
     with e as (select min(o_totalprice) as low, max(o_totalprice) as high, (max(o_totalprice) - min(o_totalprice)) / 20 as w from orders),
     c as (select least(cast(floor((o_totalprice - low) / w) as bigint), 19) as bin, count(*) as n from orders, e group by 1),
@@ -234,6 +260,19 @@ def _(t: Tables):
             .groupBy("currency", "prefix").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("chart_prefix", """
+    select 'mes' as chart_id, min(upper(c)) || ' ' as prefix from (select o_orderstatus as c from orders where o_orderstatus = 'O') having count(*) > 0
+    union all select 'top', min(upper(c)) || ' ' from (select o_orderstatus as c from orders where o_orderstatus = 'O') having count(*) > 0""")
+def _(t: Tables):
+    from limpid.plans.dashboard import chart_prefixes
+    open_orders = t.orders.where("o_orderstatus = 'O'").withColumnRenamed("o_orderstatus", "moneda")
+    shown = [{**line("o_orderdate", "o_totalprice", "sum"), "id": "mes"},
+             {"id": "top", "type": "bar", "encoding": {"x": {"field": "o_orderpriority"}, "y": {"field": "o_totalprice", "aggregate": "sum"}}},
+             {"id": "n", "type": "bar", "encoding": {"x": {"field": "o_orderpriority"}, "y": {"field": "__row__", "aggregate": "count"}}}]
+    spec = {"charts": shown, "dashboards": [{"charts": [c["id"] for c in shown]}]}
+    return chart_prefixes(open_orders, spec)
+
+
 @query("currency_single", """
     select case when count(distinct upper(o_orderstatus)) = 1 then max(upper(o_orderstatus)) end as currency,
     case when count(distinct upper(o_orderstatus)) = 1 then max(upper(o_orderstatus)) || ' ' else '' end as prefix from orders""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import Tables, query
 from limpid import vocab
 from limpid.operators import profile, steps
-from limpid.plans import spec
+from limpid.plans import roles, spec
 from limpid.sources import delimited, runlog, tables, workbook
 from limpid.storage import scratch_path
 
@@ -36,13 +36,34 @@ def _(t: Tables):
     return delimited.read_csv(t.spark, folder)
 
 
+@query("csv_mixed_headers", """
+    select o_orderkey as clave, o_custkey as cliente, case when o_orderkey % 2 = 0 then o_orderstatus end as estado from orders""")
+def _(t: Tables):
+    # files of one folder with other columns in another order
+    folder = scratch_path(t.spark, "csv")
+    named = t.orders.selectExpr("o_orderkey as clave", "o_custkey as cliente", "o_orderstatus as estado")
+    tables.write_csv(named.where("clave % 2 = 0"), folder)
+    tables.write_csv(named.where("clave % 2 = 1").select("cliente", "clave"), folder, "append")
+    return delimited.read_csv(t.spark, folder, encoding="UTF-8")
+
+
+@query("load_parquet", """
+    select o_orderstatus as estado_final, min(o_orderkey) as clave, count(*) as filas from orders group by 1""")
+def _(t: Tables):
+    # a parquet folder by its suffix, with clean names and row positions: the first row of each status by position
+    folder = scratch_path(t.spark, "tabla") + ".parquet"
+    t.orders.selectExpr("o_orderkey as Clave", "o_orderstatus as `Estado Final`").repartitionByRange(4, "Clave").sortWithinPartitions("Clave").write.parquet(folder)
+    table = tables.load_table(t.spark, folder, position=True)
+    return table.groupBy("estado_final").agg(F.min_by("clave", "_pos").alias("clave"), F.count(F.lit(1)).alias("filas"))
+
+
 @query("csv_row_order", "select o_orderkey, row_number() over (order by o_orderkey) - 1 as place from orders")
 def _(t: Tables):
     folder = scratch_path(t.spark, "csv")
     tables.write_csv(t.orders.select("o_orderkey", "o_orderpriority").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey"), folder)
     table = delimited.read_csv(t.spark, folder, encoding="UTF-8", position=True)
     # place = rows of earlier files + rank in the file, without one global window
-    by_file = table.withColumn("file", F.floor(F.col("_pos") / delimited.FILE_SPAN))
+    by_file = table.withColumn("file", F.col("_pos.file"))
     from pyspark.sql import Window
     ranked = by_file.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("_pos")))
     sizes = by_file.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
@@ -90,12 +111,14 @@ def _(t: Tables):
     select lower(o_orderpriority) as label, count(*) as rows from orders group by 1""")
 def _(t: Tables):
     folder = scratch_path(t.spark, "training")
-    for part in ("1-urgent", "2-high", "3-medium", "4-not specified", "5-low"):
-        one = t.orders.where(F.lower("o_orderpriority") == part).select("o_orderkey", "o_totalprice")
-        one.coalesce(1).write.option("header", True).csv(f"{folder}/{part}__orders.csv")
-    label = F.split(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "__")[0]
+    labelled = t.orders.select("o_orderkey", "o_totalprice", F.concat("o_orderpriority", F.lit("__orders")).alias("part"))
+    labelled.write.option("header", True).partitionBy("part").csv(folder)
     rows = t.spark.read.option("header", True).option("recursiveFileLookup", True).csv(folder)
-    return rows.select(F.url_decode(label).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    plain = F.regexp_replace(F.url_decode("path"), "^file:/+", "file:/")
+    files = tables.training_files(t.spark, folder).select("label", plain.alias("path"))
+    met = sizes.withColumn("path", plain).join(files, "path")
+    return met.groupBy(F.url_decode("label").alias("label")).agg(F.sum("n").alias("rows"))
 
 
 @query("profile_csv", """
@@ -110,12 +133,14 @@ def _(t: Tables):
 
 @query("spec_json")
 def _(t: Tables):
+    # the spec that the statistics of the table lead to, written and read back
     folder = scratch_path(t.spark, "spec")
-    found = spec.safe_spec(t.orders, {"o_orderdate": vocab.DATE}, "Categorías")
+    df = t.orders.drop("o_comment")
+    _, found = spec.auto_spec(df, roles.infer_types(df), "Órdenes")
     tables.write_spec(t.spark, found, folder)
     back = tables.read_spec(t.spark, folder)
     assert back == found
-    return t.spark.createDataFrame([(c["id"], c["title"]) for c in back["charts"]], "id string, title string")
+    return t.spark.createDataFrame([(c["id"], c["type"], c["title"]) for c in back["charts"]], "id string, type string, title string")
 
 
 @query("chart_json", "select 'top' as chart_id, o_orderstatus as x, cast(count(*) as double) as value from orders group by 2")
@@ -154,6 +179,19 @@ def _(t: Tables):
     return runlog.read_log(t.spark, folder, 50).select("type", "stage", "status", "duration_ms", "rows")
 
 
+@query("runlog_fields", """
+    select event_id as rows, case when event_id % 2 = 0 then 'c' || (event_id % 5) end as col, event_id % 7 as n from run_events""")
+def _(t: Tables):
+    # fields of single events that no schema names
+    folder = scratch_path(t.spark, "log")
+    extra = F.struct(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string"))).alias("col"),
+                     (F.col("event_id") % 7).alias("n"))
+    t.run_events.select(F.to_json(F.struct("type", F.col("event_id").alias("rows"), extra.alias("columns_used"))).alias("value")).write.text(folder)
+    log = runlog.read_log(t.spark, folder)
+    return log.select("rows", F.try_variant_get("fields", "$.columns_used.col", "string").alias("col"),
+                      F.try_variant_get("fields", "$.columns_used.n", "long").alias("n"))
+
+
 @query("runlog_append", """
     select type, count(*) * 2 as n, count(*) * 2 as stamped from run_events group by 1""")
 def _(t: Tables):

@@ -411,7 +411,7 @@ TRAINING = ("customer", "orders", "part", "lineitem", "events", "labels")
 def _training(t: Tables):
     from functools import reduce
     parts = []
-    for name in TRAINING[:4]:
+    for name in TRAINING:
         table = getattr(t, name)
         found = semantics.infer_semantics(table).roles
         labels = t.spark.createDataFrame(list(found.items()), "column string, role string")
@@ -422,7 +422,7 @@ def _training(t: Tables):
 @query("role_classifier")
 def _(t: Tables):
     data = _training(t).cache()
-    model, _ = models.train_roles(data, trees=20)
+    model, _ = models.train_roles(data)
     return models.predict_roles(model, data).select("dataset", "column", "role", "predicted", "confidence")
 
 
@@ -441,4 +441,4 @@ def _(t: Tables):
 def _(t: Tables):
     schemas = {name: semantics.infer_semantics(getattr(t, name)) for name in TRAINING}
     data = features.schema_table(t.spark, schemas).cache()
-    return models.rank_charts(models.train_charts(data, trees=20), data)
+    return models.rank_charts(models.train_charts(data), data)

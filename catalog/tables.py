@@ -48,6 +48,16 @@ def _(t: Tables):
                                  activo={"strategy": "unknown"}))
 
 
+@query("impute_text_fill", """
+    select o_orderkey, case when o_orderkey % 4 = 0 then 'N/D' when o_orderkey % 3 = 0 then 'true' else 'false' end as par,
+    coalesce(prioridad, 'N/D') as prioridad from dirty_orders""")
+def _(t: Tables):
+    # a text fill makes a boolean column text
+    flag = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 3 == 0)
+    df = t.dirty_orders.select("o_orderkey", flag.alias("par"), "prioridad")
+    return clean.impute(df, {"impute": {"default": {"text": "value", "value": "N/D"}}})[0]
+
+
 @query("impute_default", f"""
     select o_orderkey, round(coalesce(precio, (select avg(precio) from dirty_orders)), 4) as precio, cliente,
     coalesce(prioridad, {_mode('prioridad')}) as prioridad, coalesce(activo, {_mode('activo')}) as activo from dirty_orders""")
@@ -133,10 +143,10 @@ def _(t: Tables):
 
 
 @query("cardinality", " union all ".join(
-    f"select '{c}' as \"column\", count(distinct {c}) as uniques from orders" for c in COUNTED if c != "o_custkey"))
+    f"select '{c}' as \"column\", count(distinct {c}) as uniques from orders" for c in COUNTED))
 def _(t: Tables):
     from limpid.operators.columns import cardinalities
-    found = cardinalities(t.orders, [c for c in COUNTED if c != "o_custkey"])
+    found = cardinalities(t.orders, COUNTED)
     return t.spark.createDataFrame(list(found.items()), "column string, uniques long")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.functions.text import is_bool_token
-from limpid.operators.columns import cardinalities, column_dict, estimate, non_null, rows, share
+from limpid.operators.columns import cardinalities, column_dict, non_null, rows, share
 
 NAME_FEATURES = ("name_len", "has_id", "has_pct", "has_amt", "digits_ratio", "underscores")
 VALUE_FEATURES = ("nunique_ratio", "is_num_ratio", "money_ratio", "bool_ratio", "date_ratio", "mean_len")
@@ -43,7 +43,6 @@ def _ratio(part: Column, v: Column) -> Column:
 VALUE_MEASURES = {
     "rows": rows,
     "non_null": non_null,
-    "estimate": estimate,
     "is_num_ratio": lambda v, kind: _ratio(_number(v, kind), v),
     "money_ratio": lambda v, kind: F.coalesce(share(v.cast("string").rlike(vocab.MONEY_FEATURE_PATTERN)), F.lit(0.0)),
     "bool_ratio": lambda v, kind: F.coalesce(share(is_bool_token(v.cast("string"), vocab.BOOL_WIDE)), F.lit(0.0)),
@@ -56,7 +55,7 @@ VALUE_MEASURES = {
 def column_features(df: DataFrame, dataset: str = "") -> DataFrame:
     """``(dataset, column, *name features, *value features)`` over all values of every column."""
     facts = column_dict(df, VALUE_MEASURES)
-    counted = cardinalities(df, stats=facts)
+    counted = cardinalities(df, list(facts))
     spark = df.sparkSession
     values = [(dataset, c, counted[c] / max(1, s["non_null"]), *(float(s[k]) for k in VALUE_FEATURES[1:]))
             for c, s in facts.items()]

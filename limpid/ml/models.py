@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (HashingTF, IDF, IndexToString, NGram, RegexTokenizer, SQLTransformer, StringIndexer,
+from pyspark.ml.feature import (CountVectorizer, IDF, IndexToString, NGram, RegexTokenizer, SQLTransformer, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -28,7 +28,7 @@ def balanced(data: DataFrame, label: str) -> DataFrame:
 def _forest(features, label: str, trees: int, labels, seed: int) -> Pipeline:
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="target", handleInvalid="skip").setStringOrderType("alphabetAsc"),
+        StringIndexer(inputCol=label, outputCol="target", handleInvalid="keep").setStringOrderType("alphabetAsc"),
         RandomForestClassifier(featuresCol="features", labelCol="target", weightCol="weight", numTrees=trees,
                                seed=seed, maxDepth=8),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=labels),
@@ -40,7 +40,8 @@ def _labels(data: DataFrame, label: str) -> list[str]:
 
 
 def train_roles(data: DataFrame, label: str = "role", trees: int = 400, seed: int = vocab.SEED):
-    """Role classifier on column features: ``(model, accuracy on a held-out fifth)``."""
+    """Role classifier on column features: ``(model, accuracy on a held-out fifth)``; a held-out row of a class that
+    training has not seen is a miss."""
     train, held_out = data.randomSplit([0.8, 0.2], seed)
     model = _forest(ROLE_FEATURES, label, trees, _labels(train, label), seed).fit(balanced(train, label))
     scored = model.transform(held_out.withColumn("weight", F.lit(1.0)))
@@ -72,7 +73,7 @@ def train_domain(data: DataFrame, label: str = "domain") -> PipelineModel:
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
         NGram(inputCol="words", outputCol="pairs", n=2),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 14),
+        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=1 << 18),
         IDF(inputCol="tf", outputCol="features"),
         StringIndexer(inputCol=label, outputCol="target", handleInvalid="error").setStringOrderType("alphabetAsc"),
         LogisticRegression(featuresCol="features", labelCol="target", maxIter=200, regParam=0.01),
@@ -98,6 +99,6 @@ def rank_charts(model: PipelineModel, data: DataFrame, k: int = 4) -> DataFrame:
     ready = data.withColumn("weight", F.lit(1.0))
     for stage in [model.stages[0], model.stages[2]]:
         ready = stage.transform(ready)
-    pairs = F.zip_with(vector_to_array("probability"), F.array(*map(F.lit, labels)),
+    pairs = F.zip_with(F.slice(vector_to_array("probability"), 1, len(labels)), F.array(*map(F.lit, labels)),
                        lambda p, name: F.struct((-p).alias("p"), name.alias("name")))
     return ready.select("dataset", F.slice(F.array_sort(pairs), 1, k)["name"].alias("types"))

@@ -22,8 +22,9 @@ def metric(df: DataFrame, field: str) -> Column:
     return numbers.as_number(col(field), df.schema[field].dataType, "money")
 
 
-def is_metric(df: DataFrame, field: str | None) -> bool:
-    return bool(field) and field != vocab.ROW_FIELD and field in df.columns
+def is_metric(df: DataFrame, field: str | None, aggregate: str) -> bool:
+    """Whether a chart aggregates values of a column; a count is of rows, whatever field it names."""
+    return bool(field) and field != vocab.ROW_FIELD and field in df.columns and aggregate != "count"
 
 
 def aggregate_of(name: str, value: Column) -> Column:
@@ -37,7 +38,7 @@ def by_month(df: DataFrame, date_field: str, value_field: str | None = None, agg
     A metric leaves out months without a value; counting rows fills the months in between with zero.
     """
     month = dates.month_start(tolerant_date(df, date_field)).alias("month")
-    if is_metric(df, value_field):
+    if is_metric(df, value_field, aggregate):
         value = metric(df, value_field)
         per_month = (df.select(month, value.alias("v")).where("month is not null").groupBy("month")
                      .agg((F.sum("v") if aggregate == "sum" else F.avg("v")).alias("value"))
@@ -55,7 +56,7 @@ def by_month(df: DataFrame, date_field: str, value_field: str | None = None, agg
 
 def by_dimension(df: DataFrame, dim: str, value_field: str | None, aggregate: str) -> DataFrame:
     """``(x, value)`` per value of ``dim``. Null is a group only when rows are counted."""
-    if is_metric(df, value_field):
+    if is_metric(df, value_field, aggregate):
         return (df.select(col(dim).alias("x"), metric(df, value_field).alias("v")).where("x is not null")
                 .groupBy("x").agg(aggregate_of(aggregate, F.col("v")).alias("value")))
     return df.select(col(dim).alias("x")).groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("value"))
@@ -111,14 +112,14 @@ def histogram(df: DataFrame, field: str, bins: int = 20) -> DataFrame:
 
 
 def heatmap(df: DataFrame, dim_x: str, dim_y: str, value_field: str | None = None, aggregate: str = "count",
-            x_month: bool = False) -> DataFrame:
-    """``(x, y, value)``: every pair of an x and a y label, zero where no row has both.
+            x_month: bool = False, grid: int | None = None) -> DataFrame:
+    """``(x, y, value)`` per pair of labels that some row has; a pair that is absent stands for zero.
 
-    The x labels become pivot columns, so Spark's own limit on pivot values bounds them.
+    ``grid`` asks for all pairs, made from the grouped result, and is the most labels an axis may have then.
     """
     x = dates.month_label(tolerant_date(df, dim_x)) if x_month else col(dim_x).cast("string")
     y = col(dim_y).cast("string")
-    if is_metric(df, value_field):
+    if is_metric(df, value_field, aggregate):
         data = df.select(x.alias("x"), y.alias("y"), metric(df, value_field).alias("v"))
         data = data.where("x is not null and y is not null")
         if aggregate == "sum":
@@ -128,12 +129,18 @@ def heatmap(df: DataFrame, dim_x: str, dim_y: str, value_field: str | None = Non
     else:
         data = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null")
         cell = F.count(F.lit(1))
-    wide = data.groupBy("y").pivot("x").agg(cell)
-    if len(wide.columns) == 1:
-        return df.sparkSession.createDataFrame([], "x string, y string, value double")
-    labels = F.array(*[F.struct(F.lit(c).alias("x"), F.coalesce(col(c).cast("double"), F.lit(0.0)).alias("value"))
-                       for c in wide.columns[1:]])
-    return wide.select("y", F.inline(labels)).select("x", "y", "value")
+    cells = data.groupBy("y", "x").agg(F.coalesce(cell.cast("double"), F.lit(0.0)).alias("value"))
+    return _full_grid(cells, grid) if grid else cells.select("x", "y", "value")
+
+
+def _full_grid(cells: DataFrame, limit: int) -> DataFrame:
+    """All pairs of the labels in ``cells``; more than ``limit`` labels on an axis are an error."""
+    xs, ys = (cells.select(axis).distinct().limit(limit + 1) for axis in ("x", "y"))
+    labels = [r["x"] for r in xs.collect()]
+    if max(len(labels), ys.count()) > limit:
+        raise ValueError(f"more than {limit} labels on an axis of a full heatmap")
+    pairs = ys.select("y", F.explode(F.lit(labels) if labels else F.array().cast("array<string>")).alias("x"))
+    return pairs.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def null_meta(df: DataFrame) -> DataFrame:
@@ -159,8 +166,9 @@ def chart_fields(chart: dict) -> list[str]:
     return [f for f in found if isinstance(f, str) and f]
 
 
-def _aggregate(channel: dict, default: str = "count") -> str:
-    return (channel.get("aggregate") or default).lower()
+def _aggregate(channel: dict, default: str | None = None) -> str:
+    """The aggregate a channel names; without one, the mean of its field, or a count where it has none."""
+    return (channel.get("aggregate") or default or ("mean" if channel.get("field") else "count")).lower()
 
 
 def _line(df, chart):
@@ -192,7 +200,7 @@ def _heatmap(df, chart):
     x, y, value = (_channel(chart, k) for k in ("x", "y", "value"))
     if x.get("field") in df.columns and y.get("field") in df.columns:
         months = (x.get("timeUnit") or "").lower() in ("month", "ms")
-        return heatmap(df, x["field"], y["field"], value.get("field"), _aggregate(value, "sum"), months)
+        return heatmap(df, x["field"], y["field"], value.get("field"), _aggregate(value, "sum"), months, chart.get("grid"))
 
 
 BUILDERS = {"line": _line, "bar": _bar, "pie": _pie, "histogram": _histogram, "heatmap": _heatmap}

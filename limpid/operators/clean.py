@@ -155,11 +155,18 @@ def _filled(df: DataFrame, name: str, fill) -> Column:
     value = cell(df, name)
     if isinstance(fill, float) and isinstance(kind, T.IntegralType):
         return F.coalesce(value.cast("double"), F.lit(fill))
-    if isinstance(fill, str) and numbers.is_numeric(kind):  # a text fill turns a numeric column into text
-        return F.coalesce(value.cast("string"), F.lit(fill))
+    if isinstance(fill, str) and not isinstance(kind, T.StringType) and not _reads_as(df, fill, kind):
+        return F.coalesce(value.cast("string"), F.lit(fill))  # such a fill turns the column into text
     return F.coalesce(value, F.lit(fill).cast(kind))
 
 
+def _reads_as(df: DataFrame, fill: str, kind: T.DataType) -> bool:
+    """Whether a text fill is a value of a boolean or temporal column; numbers given as text stay text."""
+    if numbers.is_numeric(kind):
+        return False
+    return df.sparkSession.range(1).select(F.lit(fill).try_cast(kind).isNotNull()).first()[0]
+
+
 # ---- duplicates and the whole clean -----------------------------------------------------------
 
 def dedup_keys(df: DataFrame, rules: dict | None) -> list[str]:

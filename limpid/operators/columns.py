@@ -78,11 +78,6 @@ def null_percent(df: DataFrame, columns=None) -> DataFrame:
     return column_table(df, {"null_pct": lambda v, kind: share(v.isNull()) * 100}, columns).drop("ordinal")
 
 
-def missing_overall(df: DataFrame) -> DataFrame:
-    """One row: the mean over columns of the percent of missing values."""
-    return null_percent(df).agg(F.avg("null_pct").alias("missing_overall_pct"))
-
-
 def basic_stats(df: DataFrame, columns=None) -> dict[str, dict]:
     """Rows, non-nulls and estimated distinct values per column."""
     return column_dict(df, {"rows": rows, "non_null": non_null, "estimate": estimate}, columns)
@@ -92,8 +87,18 @@ def coverage(stats: dict) -> float:
     return stats["non_null"] / stats["rows"] if stats["rows"] else 0.0
 
 
-def cardinalities(df: DataFrame, columns=None, low: int = 50, near_unique: float = 0.5, stats=None) -> dict[str, int]:
-    """Distinct non-null values per column, exact wherever a small-domain or near-unique rule looks at it.
+def cardinalities(df: DataFrame, columns=None) -> dict[str, int]:
+    """Distinct non-null values per column, exact."""
+    columns = list(columns if columns is not None else df.columns)
+    if not columns:
+        return {}
+    counted = value_counts(df, columns).where(F.col("value").isNotNull()).groupBy("column").count()
+    return {**{c: 0 for c in columns}, **{r["column"]: r["count"] for r in counted.collect()}}
+
+
+def screened_cardinalities(df: DataFrame, columns=None, low: int = 50, near_unique: float = 0.5, stats=None) -> dict[str, int]:
+    """Distinct non-null values per column, for rules that only compare: exact wherever a small-domain or near-unique
+    rule looks, elsewhere an estimate that lies on the same side of both limits.
 
     The estimate is a screen. With at most ``low`` distinct values it cannot exceed ``low`` plus rounding:
     no more than ``low`` registers are set, which is the sketch's linear-counting range. So a column whose
@@ -105,9 +110,4 @@ def cardinalities(df: DataFrame, columns=None, low: int = 50, near_unique: float
         c for c, s in stats.items()
         if s["estimate"] <= low * 1.25 + 2 or s["estimate"] >= near_unique * s["rows"]
     ]
-    found = {c: s["estimate"] for c, s in stats.items()}
-    if exact:
-        counted = value_counts(df, exact).where(F.col("value").isNotNull()).groupBy("column").count()
-        found.update({c: 0 for c in exact})
-        found.update({r["column"]: r["count"] for r in counted.collect()})
-    return found
+    return {**{c: s["estimate"] for c, s in stats.items()}, **cardinalities(df, exact)}

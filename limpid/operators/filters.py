@@ -22,8 +22,8 @@ def filter_domain(df: DataFrame, filters: list[dict]) -> DataFrame:
     choices = {f["field"]: int(f.get("max_values", 50)) for f in known if f.get("type") == "categorical"}
     parts = []
     if ranges:
-        ends = df.agg(*[fn(tolerant_date(df, c)).alias(f"{tag}{i}") for i, c in enumerate(ranges)
-                        for tag, fn in (("a", F.min), ("b", F.max))])
+        days = [tolerant_date(df, c) for c in ranges]
+        ends = df.agg(*[fn(day).alias(f"{tag}{i}") for i, day in enumerate(days) for tag, fn in (("a", F.min), ("b", F.max))])
         rows = [F.struct(F.lit(c).alias("field"), F.lit("date_range").alias("type"),
                          dates.iso_text(F.col(f"a{i}")).alias("low"), dates.iso_text(F.col(f"b{i}")).alias("high"))
                 for i, c in enumerate(ranges)]

@@ -8,6 +8,10 @@ from limpid.functions.text import strip
 from limpid.operators.cells import FLOATS, WHOLES, cell_sql, kind_of, quoted, sql_text
 
 
+BUCKETS = 64  # parts of a column that are ranked apart first
+PUSHED_RANK = 1000  # Spark's default for rank filters before a shuffle
+
+
 def melt(df: DataFrame, columns=None, order_by: str | None = None) -> DataFrame:
     """``(column, value[, pos])``: all columns as text, one row per cell."""
     columns = list(columns if columns is not None else df.columns)
@@ -39,9 +43,16 @@ def stripped(freq: DataFrame) -> DataFrame:
 def top_values(freq: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` most frequent values of each column, ties by value.
 
-    The rank filter is applied before the shuffle too, so each task sends at most ``k`` rows per column.
+    Spark applies the rank filter before the shuffle too, so each task sends at most ``k`` rows per column, but only
+    up to ``PUSHED_RANK``. For a larger ``k`` a first rank within hash buckets leaves ``BUCKETS * k`` rows at most, so
+    no task sorts all values of a column.
     """
-    by_count = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
+    best_first = F.col("n").desc(), F.col("value")
+    if k > PUSHED_RANK:
+        bucket = F.pmod(F.xxhash64("value"), F.lit(BUCKETS))
+        freq = (freq.withColumn("rank", F.row_number().over(Window.partitionBy("column", bucket).orderBy(*best_first)))
+                .where(F.col("rank") <= k))
+    by_count = Window.partitionBy("column").orderBy(*best_first)
     return freq.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= k)
 
 
@@ -75,25 +86,27 @@ def entropy(freq: DataFrame) -> DataFrame:
 def modes(df: DataFrame, columns) -> dict:
     """Most frequent non-null value per column, the smallest on ties, in the column's own type.
 
-    Text, whole numbers and fractions travel in separate key fields, so that each is compared as itself.
+    Text, whole numbers, fractions and decimals travel in separate key fields, so that each is compared as itself.
     """
     columns = list(columns)
     if not columns:
         return {}
-    slots = ("text", "string"), ("whole", "long"), ("fraction", "double")
+    scale = max((df.schema[c].dataType.scale for c in columns if kind_of(df, c) == "decimal"), default=0)
+    slots = ("text", "string"), ("whole", "long"), ("fraction", "double"), ("exact", f"decimal(38,{scale})")
+    names = [slot for slot, _ in slots]
     cells = []
     for c in columns:
         kind = kind_of(df, c)
-        mine = "whole" if kind in WHOLES else "fraction" if kind in FLOATS else "text"
+        mine = "whole" if kind in WHOLES else "fraction" if kind in FLOATS else "exact" if kind == "decimal" else "text"
         cells.append(sql_text(c))
         cells += [f"cast({cell_sql(df, c) if slot == mine else 'null'} as {kind})" for slot, kind in slots]
-    counted = (df.selectExpr(f"stack({len(columns)}, {', '.join(cells)}) as (column, text, whole, fraction)")
-               .where("text is not null or whole is not null or fraction is not null")
-               .groupBy("column", "text", "whole", "fraction").agg(F.count(F.lit(1)).alias("n")))
-    best_first = Window.partitionBy("column").orderBy(F.col("n").desc(), "text", "whole", "fraction")
+    counted = (df.selectExpr(f"stack({len(columns)}, {', '.join(cells)}) as (column, {', '.join(names)})")
+               .where(" or ".join(f"{n} is not null" for n in names))
+               .groupBy("column", *names).agg(F.count(F.lit(1)).alias("n")))
+    best_first = Window.partitionBy("column").orderBy(F.col("n").desc(), *names)
     best = counted.withColumn("rank", F.row_number().over(best_first)).where("rank = 1").collect()
     found = {}
     for row in best:
-        values = [row["text"], row["whole"], row["fraction"]]
+        values = [row[n] for n in names]
         found[row["column"]] = next(v for v in values if v is not None)
     return found

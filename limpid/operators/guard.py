@@ -54,7 +54,7 @@ def measure_charts(df: DataFrame, charts: list[dict]) -> dict:
                        for i, (d, y) in enumerate(pairs)]).first()
         sums = {p: row[f"s{i}"] for i, p in enumerate(pairs)}
     dims = {fs["dim"]: columns[fs["dim"]] for fs in fields if fs["dim"] in columns}
-    counted = cardinalities(df, list(dims), MAX_CATEGORIES, stats=dims) if dims else {}
+    counted = cardinalities(df, list(dims))
     for c, s in dims.items():
         if s["non_null"] < s["rows"]:
             counted[c] += 1  # missing counts as one more category
@@ -71,28 +71,28 @@ def _issues(chart: dict, facts: dict, roles: dict, min_non_null: float, tol: flo
 
     for c in filter(None, (fields["x"], fields["y"], fields["category"])):
         if cover(c) < min_non_null:
-            found.append(("low_coverage", f"Cobertura baja en '{c}' ({cover(c):.0%})."))
+            found.append(("low_coverage", f"solo {cover(c):.0%} de '{c}' tiene valor"))
     dim, y, kind = fields["dim"], fields["y"], chart.get("type", "")
     if dim in columns:
         s, groups = columns[dim], facts["cardinality"][dim]
         if groups > MAX_CATEGORIES:
-            found.append(("too_many_categories", f"'{dim}' con {groups} categorías; recortar Top-N."))
+            found.append(("too_many_categories", f"{groups} grupos en '{dim}': conviene mostrar solo los mayores"))
         if s["rows"] and groups >= UNIQUE_SHARE * s["rows"]:
-            found.append(("id_dim", f"'{dim}' parece ID; evitar como dimensión."))
+            found.append(("id_dim", f"'{dim}' casi no repite valores y no sirve para agrupar"))
         if s["non_null"] and s["bools"] > BOOL_SHARE * s["non_null"]:
-            found.append(("bool_dim", f"'{dim}' es booleana; usar solo si no hay mejores dims."))
+            found.append(("bool_dim", f"'{dim}' solo distingue sí y no"))
     x = fields["x_given"]
     if kind == "line" and roles.get(x, "") != vocab.DATE:
-        found.append(("line_without_date", f"Línea con X='{x}' que no es fecha."))
+        found.append(("line_without_date", f"el eje '{x}' de la línea no es temporal"))
     if kind in ("bar", "pie", "histogram") and y:
         s = columns.get(y)
         if s is None or (s["numbers"] and s["low"] == s["high"]):
-            found.append(("constant_metric", f"Métrica '{y}' es constante."))
+            found.append(("constant_metric", f"'{y}' no varía"))
     if kind == "bar" and (dim, y) in facts["sums"]:
         part, total = facts["sums"][dim, y], columns[y]["total"]
         agree = math.isfinite(part) and math.isfinite(total) and total and abs(part - total) <= tol * abs(total)
         if total != 0 and not agree:
-            found.append(("sum_mismatch", "La suma por categoría no cuadra con el total."))
+            found.append(("sum_mismatch", "los grupos no suman lo mismo que la tabla"))
     return found
 
 
@@ -130,4 +130,4 @@ def validate_dashboard(df: DataFrame, spec: dict, roles: dict[str, str], min_non
     blocking = score < BLOCKING_SCORE or any(code in ERRORS for _, _, issues in health for code, _ in issues)
     return {"score": score, "blocking": blocking,
             "charts": {chart_id: {"score": s, "issues": issues} for chart_id, s, issues in health},
-            "messages": ["Dashboard con problemas. Se sugiere usar layout seguro."] if blocking else []}
+            "messages": ["hay gráficos poco fiables: mejor el diseño básico"] if blocking else []}

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from limpid import vocab
@@ -16,7 +18,7 @@ from limpid.functions import numbers
 from limpid.operators.cells import cell, col
 from limpid.operators.columns import column_dict
 from limpid.operators.quantiles import exact_quantiles, tukey_fences
-from limpid.storage import materialize, spread
+from limpid.storage import materialize
 
 GRAIN = 1 << 20  # resolution of the sampling hash
 
@@ -62,7 +64,7 @@ def sample_for_trees(df: DataFrame, scaled: dict[str, Column], row_key: Column,
     pool = (df.select(features.alias("features"), row_key.alias("key"))
             .where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(GRAIN)) < int(pool_share * GRAIN)
                    if pool_share < 1 else F.lit(True)))
-    kept = pool.count() if pool_share < 1 else n_rows
+    kept = n_rows * pool_share  # expected; the draw for each tree has slack for the difference
     deal = min(1.0, 1.5 * tree_rows / max(1, kept))
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
 
@@ -137,30 +139,28 @@ def forest_score(trees: list, tree_rows: int):
 
     A leaf is its own child, so all rows of a batch take the same number of steps down every tree.
     """
-    packed = [(t["feature"], t["split"], t["below"], t["above"], t["depth"]) for t in trees]
+    packed = []
+    for t in trees:
+        asked = np.asarray(t["feature"])
+        leaf, itself = asked < 0, np.arange(len(asked))
+        child = np.stack([np.where(leaf, itself, t["below"]), np.where(leaf, itself, t["above"])], axis=1).ravel()
+        packed.append((np.where(leaf, 0, asked), np.asarray(t["split"]), child, np.asarray(t["depth"])))
     scale = max(path_normalizer(tree_rows), 1e-12)
     steps = math.ceil(math.log2(max(2, tree_rows)))
 
     @F.pandas_udf("double")
     def score(*features):
-        import numpy as np
-        import pandas as pd
-
         n = len(features[0])
         points = np.concatenate([f.to_numpy() for f in features])  # feature f of row i at f * n + i
         rows = np.arange(n)
         total = np.zeros(n)
-        for feature, split, below, above, depth in packed:
-            asked = np.asarray(feature)
-            leaf = asked < 0
-            itself = np.arange(len(asked))
-            child = np.stack([np.where(leaf, itself, below), np.where(leaf, itself, above)], axis=1).ravel()
-            start, split = np.where(leaf, 0, asked) * n, np.asarray(split)
+        for asked, split, child, depth in packed:
+            start = asked * n
             at = np.zeros(n, dtype=np.int64)
             for _ in range(steps):
                 right = points.take(rows + start.take(at)) > split.take(at)
                 at = child.take(2 * at + right)
-            total += np.asarray(depth).take(at)
+            total += depth.take(at)
         return pd.Series(np.power(2.0, -total / len(packed) / scale))
 
     return score
@@ -171,8 +171,8 @@ def isolation_forest(df: DataFrame, contamination: float = vocab.CONTAMINATION,
     """``df`` with ``is_outlier``, ``outlier_score`` and ``outlier_method``, and a summary.
 
     ``order_by`` names a column that identifies rows and makes the draw repeatable; without it rows are told
-    apart by their place in the scan. The threshold is the contamination quantile of the scores, so one narrow
-    score column is written to the shared folder; the full rows are not copied.
+    apart by their place in the scan. Rows are scored once and written with their score to the shared folder; the
+    threshold, the contamination quantile of the scores, only shifts the stored score.
     """
     df = df.drop(*[c for c in vocab.OUTLIER_COLUMNS if c in df.columns])
     n_rows = df.count()
@@ -188,10 +188,9 @@ def isolation_forest(df: DataFrame, contamination: float = vocab.CONTAMINATION,
     tree_rows = min(vocab.TREE_ROWS, n_rows)
     trees = fit_forest(df, scaled, key, n_rows, n_trees, vocab.TREE_ROWS, seed)
     anomaly = forest_score(trees, tree_rows)(*scaled.values())
-    df = spread(df)
-    scores = materialize(df.select((-anomaly).alias("normality")), "scores")
-    offset = exact_quantiles(scores, {"normality": F.col("normality")}, [contamination])["normality"][0]
-    flagged = (df.withColumn("outlier_score", anomaly + F.lit(offset))
+    scored = materialize(df.withColumn("outlier_score", anomaly), "scored")
+    offset = exact_quantiles(scored, {"normality": -F.col("outlier_score")}, [contamination])["normality"][0]
+    flagged = (scored.withColumn("outlier_score", F.col("outlier_score") + F.lit(offset))
                .withColumn("is_outlier", F.col("outlier_score") > 0)
                .withColumn("outlier_method", method))
     return flagged.select(*map(col, df.columns), *vocab.OUTLIER_COLUMNS), summary

@@ -1,9 +1,9 @@
 """Exact, linearly interpolated quantiles with bounded memory.
 
-Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. That is fine for a
-small table; past ``CELL_LIMIT`` values the same answer is found by narrowing. A quantile sketch brackets the wanted
-order statistic, one aggregate counts the rows below and inside the bracket, and the bracket shrinks by
-three orders of magnitude per round until ``percentile`` can finish inside it.
+Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer. Here a quantile sketch brackets
+the wanted order statistic, one aggregate counts the rows below and inside the bracket, and the bracket shrinks by
+three orders of magnitude per round until so few values are left in it that they can be sorted. Every table size takes
+the same steps, and an answer is made of values at ranks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-CELL_LIMIT = 200_000
+CELL_LIMIT = 200_000  # values inside all brackets that are sorted in one buffer
 ACCURACY = 10_000
 
 
@@ -24,15 +24,14 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs, cell_limit:
         return {}
     names = list(exprs)
     data = df.select(*[exprs[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
-    counts = data.agg(*[F.count(c).alias(c) for c in data.columns]).first().asDict()
-    if sum(counts.values()) <= cell_limit:
-        row = data.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in data.columns]).first()
-        found = {c: row[c] for c in data.columns}
-        return {n: list(found[f"x{i}"] or [None] * len(probs)) for i, n in enumerate(names)}
-
+    # The shares do not depend on the number of rows, so the first sketch and the count are one pass.
+    first = data.agg(*[F.count(c).alias(f"n_{c}") for c in data.columns],
+                     *[F.approx_percentile(c, F.array(*_sides(probs, accuracy)), F.lit(accuracy)).alias(f"s_{c}") for c in data.columns]).first()
+    counts = {c: first[f"n_{c}"] for c in data.columns}
     spots = {c: [p * (n - 1) for p in probs] for c, n in counts.items() if n}
-    ranks = {(c, r) for c, ps in spots.items() for p in ps for r in (math.floor(p), math.ceil(p))}
-    values = _order_statistics(data, sorted(ranks), counts, cell_limit, accuracy)
+    marks = {(c, r): tuple(first[f"s_{c}"][2 * k:2 * k + 2]) for c, ps in spots.items()
+             for k, p in enumerate(ps) for r in (math.floor(p), math.ceil(p))}
+    values = _order_statistics(data, marks, counts, cell_limit, accuracy)
     result = {}
     for i, n in enumerate(names):
         c = f"x{i}"
@@ -46,18 +45,25 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs, cell_limit:
     return result
 
 
-def _order_statistics(data: DataFrame, ranks, totals: dict, cell_limit: int, accuracy: int) -> dict:
-    """Value at each zero-based ``(column, rank)``.
+def _sides(shares, accuracy: int) -> list[Column]:
+    """A share on either side of each, as far apart as the sketch may err."""
+    slack = 2.0 / accuracy
+    return [F.lit(min(1.0, max(0.0, a + side))) for a in shares for side in (-slack, slack)]
+
+
+def _order_statistics(data: DataFrame, marks: dict, totals: dict, cell_limit: int, accuracy: int) -> dict:
+    """Value at each zero-based ``(column, rank)`` of ``marks``, which has two sketched values around it.
 
     A bracket is an open interval ``(low, high)`` with the rows at or below ``low`` and the rows inside.
     Its ends are data values that were ruled out, so every round makes progress whatever the skew.
     """
-    brackets = {(c, r): (None, None, 0, totals[c]) for c, r in ranks}
-    solved = {}
+    if not marks:
+        return {}
+    solved, brackets = _cut(data, {(c, r): (None, None, 0, totals[c]) for c, r in marks}, marks)
     while brackets:
         if sum({(k[0], b): b[3] for k, b in brackets.items()}.values()) <= cell_limit:
             return {**solved, **_finish(data, brackets)}
-        found, brackets = _narrow(data, brackets, accuracy)
+        found, brackets = _cut(data, brackets, _sketch(data, brackets, accuracy))
         solved.update(found)
     return solved
 
@@ -74,10 +80,13 @@ def _inside(c: str, low, high) -> Column:
 def _finish(data: DataFrame, brackets: dict) -> dict:
     """The wanted ranks, read off the few rows left in every bracket."""
     shared = _by_bracket(brackets)
-    row = data.agg(*[
-        F.percentile(_inside(c, low, high), F.array(*[F.lit((r - below) / max(1, inside - 1)) for r in ranks])).alias(f"v{i}")
-        for i, ((c, low, high, below, inside), ranks) in enumerate(shared.items())
-    ]).first()
+
+    def at_ranks(values, below, ranks):
+        return F.transform(F.lit([r - below for r in ranks]), lambda r: F.get(values, r.cast("int")))
+
+    lists = data.agg(*[F.sort_array(F.collect_list(_inside(c, low, high))).alias(f"l{i}") for i, (c, low, high, _, _) in enumerate(shared)])
+    row = lists.select(*[at_ranks(F.col(f"l{i}"), below, ranks).alias(f"v{i}")
+                         for i, ((_, _, _, below, _), ranks) in enumerate(shared.items())]).first()
     return {(c, r): v for i, ((c, *_), ranks) in enumerate(shared.items()) for r, v in zip(ranks, row[f"v{i}"])}
 
 
@@ -89,20 +98,23 @@ def _by_bracket(brackets: dict) -> dict:
     return shared
 
 
-def _narrow(data: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dict]:
-    """One round: sketch every bracket around its ranks, count exactly at the sketched values, cut."""
-    slack = 2.0 / accuracy
+def _sketch(data: DataFrame, brackets: dict, accuracy: int) -> dict:
+    """Two sketched values around every wanted rank, from the rows inside its bracket."""
     shared = _by_bracket(brackets)
     asks = []
     for i, ((c, low, high, below, inside), ranks) in enumerate(shared.items()):
         at = [(r - below) / max(1, inside - 1) for r in ranks]
-        spots = [F.lit(min(1.0, max(0.0, a + side))) for a in at for side in (-slack, slack)]
-        asks.append(F.approx_percentile(_inside(c, low, high), F.array(*spots), F.lit(accuracy)).alias(f"s{i}"))
+        asks.append(F.approx_percentile(_inside(c, low, high), F.array(*_sides(at, accuracy)), F.lit(accuracy)).alias(f"s{i}"))
     sketch = data.agg(*asks).first()
     marks = {}  # (column, rank) -> the two sketched values around it
     for i, ((c, *_), ranks) in enumerate(shared.items()):
         values = sketch[f"s{i}"]
         marks.update({(c, r): (values[2 * k], values[2 * k + 1]) for k, r in enumerate(ranks)})
+    return marks
+
+
+def _cut(data: DataFrame, brackets: dict, marks: dict) -> tuple[dict, dict]:
+    """Exact counts at the sketched values decide ranks, or leave smaller brackets."""
     places = sorted({(c, v) for (c, _), pair in marks.items() for v in pair})
     seen = data.agg(*[f(F.col(c), v).alias(f"{tag}{i}") for i, (c, v) in enumerate(places)
                       for tag, f in (("lt", lambda x, v: F.count_if(x < v)), ("le", lambda x, v: F.count_if(x <= v)))]).first()

@@ -30,15 +30,16 @@ def _stages(status_of) -> Column:
 
 
 def upgrade_steps(steps: Column, current: Column | None = None) -> Column:
-    """Array of ``{name, status}`` mapped onto the fixed stage list.
+    """Array of ``{name, status}`` mapped onto the fixed stage list; entries may say ``step`` or ``title`` for ``name``.
 
     A stage that is not listed is pending; the pending current stage is running; the last entry of a
     repeated stage counts.
     """
     current = stage_title(current) if current is not None else F.lit(None).cast("string")
+    entries = F.from_json(F.to_json(steps), "array<struct<name string, step string, title string, status string>>")
 
     def status_of(stage):
-        listed = F.filter(steps, lambda s: stage_title(s["name"]) == stage)
+        listed = F.filter(entries, lambda s: stage_title(F.coalesce(s["name"], s["step"], s["title"])) == stage)
         known = F.coalesce(normalize_status(F.try_element_at(listed, F.lit(-1))["status"]), F.lit("pending"))
         missing = F.coalesce(F.size(listed), F.lit(0)) <= 0
         status = F.when(missing, F.lit("pending")).otherwise(known)

@@ -10,7 +10,7 @@ from limpid import vocab
 from limpid.functions import numbers
 from limpid.operators import frequency
 from limpid.operators.cells import cell
-from limpid.operators.columns import basic_stats, cardinalities, column_dict, coverage, non_null, rows
+from limpid.operators.columns import basic_stats, screened_cardinalities, column_dict, coverage, non_null, rows
 from limpid.plans.semantics import single_value
 
 
@@ -54,7 +54,7 @@ def dimension_scores(df: DataFrame, dims, metric: str | None = None) -> DataFram
 def choose_objectives(df: DataFrame, roles: dict[str, str]):
     """``(date, metric, dims, units)`` for the roles of the semantic vocabulary."""
     stats = basic_stats(df)
-    counted = cardinalities(df, stats=stats)
+    counted = screened_cardinalities(df, stats=stats)
     n = max((s["rows"] for s in stats.values()), default=0)
     text_count = {c: counted[c] + (stats[c]["non_null"] < n) for c in df.columns}
     known = {c: r for c, r in roles.items() if c in stats}

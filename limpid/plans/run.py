@@ -15,7 +15,7 @@ from limpid.plans.dashboard import dashboard_data, dashboard_kpis
 from limpid.plans.roles import infer_types, profile_roles
 from limpid.plans.spec import auto_spec, safe_spec
 from limpid.sources.tables import write_charts, write_csv, write_profile, write_spec
-from limpid.storage import materialize, spread
+from limpid.storage import materialize
 
 
 @dataclass
@@ -54,7 +54,7 @@ def run(df: DataFrame, rules: dict | None = None, source_name: str | None = None
     """
     order_by = order_by or ("_pos" if "_pos" in df.columns else None)
     dated, date_columns = normalize_dates(df, min_success_ratio)
-    dated = materialize(spread(dated), "dated")  # raw text is parsed once, the dozen passes below read columns
+    dated = materialize(dated, "dated")  # raw text is parsed once, the dozen passes below read columns
     data_columns = [c for c in dated.columns if c != "_pos"]
     roles = {c: r for c, r in infer_types(dated, date_columns).items() if c in data_columns}
     table = profile(dated, profile_roles(dated.select(*data_columns), roles), order_by)

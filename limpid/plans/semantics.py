@@ -6,14 +6,17 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.functions.text import is_bool_token
+from limpid.ml import features, models
 from limpid.operators.cells import col
-from limpid.operators.columns import cardinalities, column_dict, estimate, non_null, rows, share
+from limpid.operators.columns import screened_cardinalities, column_dict, estimate, non_null, rows, share
 from limpid.plans.roles import domain
+from limpid.sources.headers import normalize_headers
 
 W_NAME, W_VALUE, W_CONSISTENCY = 0.45, 0.45, 0.10
 WORD = r"(?U)\b\w\w+\b"
@@ -105,7 +108,7 @@ VALUE_EVIDENCE = {
 def semantic_evidence(df: DataFrame) -> dict[str, dict]:
     """Per column: value shares, exact-where-it-matters cardinality, and name similarities."""
     facts = column_dict(df, VALUE_EVIDENCE)
-    counted = cardinalities(df, stats=facts)
+    counted = screened_cardinalities(df, stats=facts)
     names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
     for c, s in facts.items():
         s["nunique"] = counted[c] + (s["non_null"] < s["rows"])
@@ -141,8 +144,9 @@ def role_scores(name: str, s: dict) -> dict[str, float]:
     }
 
 
-def _decide(facts: dict[str, dict]) -> tuple[dict[str, str], dict[str, float]]:
-    roles, confidence = {}, {}
+def _decide(facts: dict[str, dict]) -> tuple[dict[str, str], dict[str, float], str | None]:
+    """Roles, confidence, and the lone coordinate column that was given another role."""
+    roles, confidence, lone = {}, {}, None
     for c, s in facts.items():
         scores = role_scores(c, s)
         best = max(scores, key=scores.get)
@@ -152,9 +156,9 @@ def _decide(facts: dict[str, dict]) -> tuple[dict[str, str], dict[str, float]]:
         roles[c] = best
     places = {kind: [c for c, r in roles.items() if r == kind] for kind in (vocab.LAT, vocab.LON)}
     if bool(places[vocab.LAT]) != bool(places[vocab.LON]):  # half a coordinate is no place
-        c = (places[vocab.LAT] or places[vocab.LON])[-1]
+        lone = c = (places[vocab.LAT] or places[vocab.LON])[-1]
         roles[c] = vocab.NUMBER_METRIC if facts[c]["numbers"] > 0.7 else vocab.CATEGORY
-    return roles, confidence
+    return roles, confidence, lone
 
 
 def _cover(s: dict) -> float:
@@ -169,20 +173,25 @@ def single_value(df: DataFrame, name: str = "moneda") -> str | None:
 
 
 def currency_of(df: DataFrame, money_column: str) -> str | None:
-    """Currency that the first values of a money column name, by symbol or code."""
-    seen = df.select(col(money_column).cast("string").alias("v")).where("v is not null").limit(200)
+    """Currency that values of a money column name, by symbol or code, the first of the list where several are."""
+    seen = df.select(col(money_column).cast("string").alias("v"))
     hits = seen.agg(*[F.bool_or(F.col("v").rlike(p)).alias(f"c{i}")
                       for i, (_, p) in enumerate(vocab.CURRENCY_IN_TEXT)]).first()
     return next((code for i, (code, _) in enumerate(vocab.CURRENCY_IN_TEXT) if hits[f"c{i}"]), None)
 
 
-def infer_semantics(df: DataFrame) -> Schema:
-    """Roles, confidence, main date and metric, dimensions, currency and domain of a table."""
+def infer_semantics(df: DataFrame, domain_model: PipelineModel | None = None) -> Schema:
+    """Roles, confidence, main date and metric, dimensions, currency and domain of a table.
+
+    Names are those of the normalised header. The domain is that of ``domain_model``, or of the name rules without one.
+    """
+    df = normalize_headers(df, "semantic")
     facts = semantic_evidence(df)
-    roles, confidence = _decide(facts)
+    roles, confidence, lone = _decide(facts)
     by_role = {}
     for c, r in roles.items():
-        by_role.setdefault(r, []).append(c)
+        if c != lone:  # half a coordinate is neither a metric nor a dimension
+            by_role.setdefault(r, []).append(c)
     money, counts = by_role.get(vocab.MONEY_METRIC, []), by_role.get(vocab.NUMBER_METRIC, [])
     categories, days = by_role.get(vocab.CATEGORY, []), by_role.get(vocab.DATE, [])
 
@@ -213,6 +222,12 @@ def infer_semantics(df: DataFrame) -> Schema:
     currency = (single_value(df) if "moneda" in df.columns else currency_of(df, money[0]) if money else None)
     if currency:
         units["currency"] = currency
-    header = df.sparkSession.range(1).select(domain(F.lit(" ".join(df.columns))).alias("d")).first()["d"]
+    if domain_model is None:
+        header = df.sparkSession.range(1).select(domain(F.lit(" ".join(df.columns))).alias("d")).first()["d"]
+    else:
+        listed = df.sparkSession.createDataFrame([("", i, c, roles[c]) for i, c in enumerate(df.columns)],
+                                                 "dataset string, ordinal int, column string, role string")
+        text = models.domain_text(features.header_text(listed), features.role_histogram(listed))
+        header = models.predict_domain(domain_model, text).first()["predicted"]
     return Schema(roles, max(days, key=lambda c: _cover(facts[c])) if days else None, metric, dims[:3], units,
                   header, confidence, derived)

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from limpid import vocab
 from limpid.functions import numbers
+from limpid.ml.models import rank_charts
 from limpid.operators.cells import col
-from limpid.operators.columns import basic_stats, cardinalities
+from limpid.operators.columns import basic_stats, cardinalities, screened_cardinalities
 from limpid.plans.objectives import (best_covered, choose_objectives, discover_amount, metric_aggregate, named,
                                      pick_dimension)
 from limpid.plans.roles import business_domain, name_roles
 
 AMOUNT_COLUMN = "_importe_calc"
+GRID_LABELS = 1000  # most labels on an axis of a heatmap that shows all pairs
 
 
 # ---- building blocks --------------------------------------------------------------------------
@@ -94,7 +96,7 @@ def auto_spec(df: DataFrame, roles: dict[str, str], source_name: str | None = No
     worded = (vocab.TEXT, vocab.CATEGORY, vocab.BOOL)
     candidates = [c for c in columns if c not in dates and (
         roles.get(c) in worded or not numbers.is_numeric(df.schema[c].dataType))]
-    counted = cardinalities(df, stats={c: stats[c] for c in candidates}) if candidates else {}
+    counted = screened_cardinalities(df, stats={c: stats[c] for c in candidates}) if candidates else {}
 
     def rank(c):
         preferred = any(w in c.lower() for w in vocab.DIM_PRIORITY)
@@ -118,6 +120,7 @@ def auto_spec(df: DataFrame, roles: dict[str, str], source_name: str | None = No
     if date and len(dims) >= 2:
         charts.append(_chart("heatmap_month_dim", "heatmap", f"Mes × {dims[1]}", "Mes", dims[1],
                              x=_month(date), y={"field": dims[1]}, value=_value(metric)))
+        charts[-1]["grid"] = GRID_LABELS
     elif dims:
         charts.append(_chart("pie_dim", "pie", f"Participación por {dims[0]}", limit=9,
                              category={"field": dims[0]}, value=_value(metric)))
@@ -148,7 +151,7 @@ def business_spec(df: DataFrame, roles: dict[str, str] | None = None,
     date = next((c for c in columns if roles.get(c) == vocab.DATE), None) or first(vocab.BUSINESS_DATE_NAME)
     df, amount, derived = discover_amount(df, roles)
     fitting = [c for c in columns if any(re.search(p, c.strip().lower()) for p, _ in vocab.BUSINESS_DIMS.values())]
-    counted = cardinalities(df, fitting) if fitting else {}
+    counted = screened_cardinalities(df, fitting) if fitting else {}
     dim = {kind: pick_dimension(fitting, pattern, most, counted)
            for kind, (pattern, most) in vocab.BUSINESS_DIMS.items()}
 
@@ -243,7 +246,9 @@ def safe_spec(df: DataFrame, roles: dict[str, str], title: str = "Dashboard") ->
                  charts)
 
 
-def chart_types(date: str | None, metric: str | None) -> list[str]:
-    """Chart types by rule, used while no trained recommender is given."""
+def chart_types(date: str | None, metric: str | None, model=None, table: DataFrame | None = None) -> list[str]:
+    """Chart types: the likeliest ones of a trained recommender for the one row of a schema table, or by rule."""
+    if model is not None:
+        return list(rank_charts(model, table).first()["types"])
     types = ["line_time"] if date and metric else []
     return types + ["bar_top"] + ([] if metric else ["hist"])

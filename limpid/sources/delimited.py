@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import csv
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -14,74 +15,65 @@ from limpid.operators.dedup import POSITION
 from limpid.sources.headers import header_names
 
 WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
-MAX_FILES = 2000  # files whose ranks fit in one expression
-FILE_SPAN = 1 << 43  # bytes one file may span in a row position
+LONG_WHOLE = r"^\s*[+-]?\d{1,38}\s*$"
 
 
 def read_csv(spark: SparkSession, path, encoding: str = "auto", sep: str = ",", infer: bool = True,
              position: bool = False, multiline: bool = False) -> DataFrame:
-    """A delimited file or folder with a header line, as a typed table with clean column names.
+    """A delimited file or folder, every file with a header line, as a typed table with clean column names.
 
-    ``encoding="auto"`` reads UTF-8 and falls back to ISO-8859-1 for the files in which bytes do not decode;
-    naming an encoding saves that pass. ``position`` adds the row order of the files as ``_pos``.
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    Columns of different files are matched by name; a file that lacks a column has nulls there. ``encoding="auto"``
+    reads UTF-8 and falls back to ISO-8859-1 for the files in which bytes do not decode. ``position`` adds the row
+    order of the files as ``_pos``. ``multiline`` allows line breaks inside quotes, at the price of one task per file.
     """
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE",
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    first = encoding if encoding != "auto" else "UTF-8"
-    header = spark.read.options(**options, encoding=first, header=False).csv(path).first()
-    if header is None:
+    kinds = file_kinds(spark, path, encoding, sep)
+    if not kinds:
         raise ValueError(f"no rows in {path}")
-    if encoding == "auto" and any("\ufffd" in (h or "") for h in header):
-        header = spark.read.options(**options, encoding="ISO-8859-1", header=False).csv(path).first()
-    names = header_names([(h or "").lstrip("\ufeff") for h in header])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
 
-    def scan(enc, only=None, exclude=None):
+    def scan(names, enc, only):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         table = spark.read.options(**options, encoding=enc, header=True, enforceSchema=True).schema(schema).csv(path)
-        file = F.col("_metadata.file_path")
-        if only:
-            table = table.where(file.isin(*only))
-        elif exclude:
-            table = table.where(~file.isin(*exclude))
-        return table.select(*map(col, names), *([row_position(table).alias(POSITION)] if position else []))
-
-    latin = undecodable_files(spark, path) if encoding == "auto" else []
-    table = scan(first, exclude=latin)
-    if latin:  # the file filters prune the listing, so no file is read twice
-        table = table.unionByName(scan("ISO-8859-1", only=latin))
+        if only:  # a file filter prunes the listing, so no file is read twice
+            table = table.where(F.col("_metadata.file_path").isin(*only))
+        return table.select(*map(col, names), *([row_position().alias(POSITION)] if position else []))
+
+    scans = [scan(names, enc, files if len(kinds) > 1 else None) for (names, enc), files in kinds.items()]
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    names = [c for c in table.columns if c != POSITION]
+    table = table.select(*map(col, names), *([POSITION] if position else []))
     table = table.withColumns({n: na_to_null(col(n)) for n in names})
     return infer_types(table, names) if infer else table
 
 
-def undecodable_files(spark: SparkSession, path) -> list[str]:
-    """Files that hold bytes which are no UTF-8: one name per file leaves the executors."""
-    lines = spark.read.text(path)
-    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("file")).distinct()
-    return sorted(r["file"] for r in bad.collect())
+def file_kinds(spark: SparkSession, path, encoding: str, sep: str) -> dict[tuple, list[str]]:
+    """``{(column names, encoding): files}`` from one pass that gives each file's first line and whether it decodes.
 
-
-def row_position(table: DataFrame) -> Column:
-    """Rank of the file by name, then the place of the row in it, as one number.
+    One row per file reaches the driver, as many as Spark's own file listing has.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"))
+    found = lines.groupBy("file").agg(F.min_by(F.col("value").cast("binary"), F.struct("start", "line")).alias("header"),
+                                      F.bool_and(F.is_valid_utf8("value")).alias("decodes"))
+    kinds: dict[tuple, list[str]] = {}
+    for row in found.orderBy("file").collect():
+        enc = encoding if encoding != "auto" else "UTF-8" if row["decodes"] else "ISO-8859-1"
+        text = bytes(row["header"]).decode(enc, errors="replace").lstrip("\ufeff")
+        names = header_names(next(csv.reader([text], delimiter=sep), []))
+        kinds.setdefault((tuple(names), enc), []).append(row["file"])
+    return kinds
+
+
+def row_position() -> Column:
+    """File, then the place of the row in it.
 
     A row starts at or after its split's first byte plus the rows before it in the split, so split offset
     plus row number never reaches the next split; a task's row number is the low part of the row id.
     """
-    files = sorted(map(_plain_path, table.inputFiles()))
-    if len(files) > MAX_FILES:
-        raise ValueError(f"row positions over {len(files)} files; read them in parts of {MAX_FILES} or use a key")
     row = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    if len(files) <= 1:
-        return row
-    ranks = {name: i for i, name in enumerate(files)}
-    rank = F.create_map(*[F.lit(v) for kv in ranks.items() for v in kv])
-    name = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
-    return F.try_element_at(rank, name).cast("long") * FILE_SPAN + row
-
-
-def _plain_path(uri: str) -> str:
-    """Local paths are listed with one slash but named with three by the rows."""
-    return re.sub("^file:/+", "file:/", uri)
+    return F.struct(F.col("_metadata.file_path").alias("file"), row.alias("row"))
 
 
 def infer_types(table: DataFrame, columns=None) -> DataFrame:
@@ -91,6 +83,7 @@ def infer_types(table: DataFrame, columns=None) -> DataFrame:
         "non_null": non_null,
         "bools": lambda v, kind: F.count_if(F.lower(v).isin("true", "false")),
         "wholes": lambda v, kind: F.count_if(v.rlike(WHOLE)),
+        "long_wholes": lambda v, kind: F.count_if(v.rlike(LONG_WHOLE)),
         "numbers": lambda v, kind: F.count(plain_number(v)),
     }, columns)
     typed = {}
@@ -101,6 +94,8 @@ def infer_types(table: DataFrame, columns=None) -> DataFrame:
             typed[c] = F.lower(col(c)).cast("boolean")
         elif s["wholes"] == s["non_null"]:
             typed[c] = F.trim(col(c)).try_cast("long")
+        elif s["long_wholes"] == s["non_null"]:  # more digits than a long or a double keeps
+            typed[c] = F.trim(col(c)).try_cast("decimal(38,0)")
         elif s["numbers"] == s["non_null"]:
             typed[c] = plain_number(col(c))
     return table.withColumns(typed) if typed else table

@@ -9,13 +9,17 @@ LOG_SCHEMA = ("type string, ts string, stage string, status string, duration_ms
 
 
 def parse_log(lines: Column, schema: str = LOG_SCHEMA) -> Column:
-    """Struct of the fields of one line; null for a blank or corrupt line."""
-    well_formed = F.try_parse_json(lines)
-    return F.when(well_formed.isNotNull() & lines.rlike(r"^\s*\{"), F.from_json(lines, schema))
+    """Struct of the fields of one line and the whole of it as ``fields``; null for a blank or corrupt line."""
+    whole = F.try_parse_json(lines)
+    known = F.from_json(lines, schema)
+    return F.when(whole.isNotNull() & lines.rlike(r"^\s*\{"), known.withField("fields", whole))
 
 
 def read_log(spark: SparkSession, path, limit: int | None = None, schema: str = LOG_SCHEMA) -> DataFrame:
-    """Events of a run log in file order, corrupt lines left out; ``limit`` keeps the last ones."""
+    """Events of a run log in file order, corrupt lines left out; ``limit`` keeps the last ones.
+
+    Besides the typed columns, ``fields`` is the event as it was written, a variant.
+    """
     lines = spark.read.text(path)
     events = (lines.select(parse_log(F.col("value"), schema).alias("event"),
                            F.col("_metadata.file_path").alias("file_path"),

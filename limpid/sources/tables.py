@@ -7,9 +7,11 @@ import posixpath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from limpid.operators.cells import col
+from limpid.operators.dedup import POSITION
 from limpid.operators.profile import profile_text
 from limpid.sources.delimited import read_csv
-from limpid.sources.headers import normalize_headers
+from limpid.sources.headers import header_names, normalize_headers
 from limpid.sources.workbook import read_workbooks
 
 # ---- fixed values: file suffixes --------------------------------------------------------------
@@ -25,17 +27,24 @@ def load_table(spark: SparkSession, path: str, position: bool = False) -> DataFr
     if suffix in WORKBOOKS:
         return read_workbooks(spark, path, position=position)
     if suffix == ".parquet":
-        return normalize_headers(spark.read.parquet(path))
+        table = spark.read.parquet(path)
+        if position:
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            return table.select(*[col(c).alias(n) for c, n in zip(table.columns, header_names(table.columns))], place.alias(POSITION))
+        return normalize_headers(table)
     raise ValueError(f"unsupported suffix {suffix!r}; expected one of {', '.join(SUFFIXES)}")
 
 
 def training_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, label)`` of the files under a folder named ``label__rest``; others are left out."""
+    """``(path, label)`` of the files under a folder that are named ``label__rest``, or stand in a folder named so.
+
+    Other files are left out. What precedes an equals sign in the name of a partition folder is no part of the label.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
              .select("path"))
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    return (files.withColumn("label", F.when(name.contains("__"), F.split(name, "__")[0]))
-            .where("label is not null"))
+    named = F.filter(F.split("path", "/"), lambda part: part.contains("__"))
+    name = F.regexp_replace(F.lower(F.try_element_at(named, F.lit(-1))), "^[^=]*=", "")
+    return files.withColumn("label", F.split(name, "__")[0]).where("label is not null")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -58,6 +58,12 @@ def sheet_reader(batch: int = 5000):
                      if x.get("numFmtId") in custom or x.get("numFmtId") in {"14", "15", "16", "17", "22"}}
         names = sorted(n for n in book.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", n))
         first = min(names, key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[-1]).group()))
+        if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(book.namelist()):  # the sheet that is listed first
+            sheet = next((e for e in ET.fromstring(book.read("xl/workbook.xml")).iter() if local(e.tag) == "sheet"), None)
+            key = next((v for k, v in (sheet.attrib if sheet is not None else {}).items() if local(k) == "id"), None)
+            target = {e.get("Id"): e.get("Target") for e in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}.get(key)
+            listed = f"xl/{target}" if target and not target.startswith("/") else (target or "")[1:]
+            first = listed if listed in book.namelist() else first
         with book.open(first) as stream:
             for _, row in ET.iterparse(stream):
                 if local(row.tag) != "row":
@@ -145,16 +151,29 @@ def workbook_rows(files: DataFrame) -> DataFrame:
 
 
 def workbook_table(files: DataFrame, names=None, infer: bool = True, position: bool = False) -> DataFrame:
-    """The workbooks as one table under the header of the first file by name."""
+    """The workbooks as one table, columns matched by the names in each file's own header.
+
+    ``names`` replaces the headers by one list for all files. Distinct headers, not files, reach the driver.
+    """
     rows = workbook_rows(files)
-    if names is None:
-        header = rows.where("row = 0").agg(F.min_by("cells", "path").alias("cells")).first()["cells"]
-        if header is None:
+    place = [F.struct("path", "row").alias(POSITION)] if position else []
+    if names is not None:
+        table = rows.where("row > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], *place)
+    else:
+        headers = rows.where("row = 0").groupBy("cells").agg(F.min("path").alias("path")).orderBy("path").collect()
+        if not headers:
             raise ValueError("no workbook rows")
-        names = header_names(["" if h is None else h for h in header])
-    table = rows.where("row > 0").select(
-        *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)],
-        *([F.struct("path", "row").alias(POSITION)] if position else []))
+        named = [(r["cells"], header_names(["" if h is None else h for h in r["cells"]])) for r in headers]
+        names = list(dict.fromkeys(n for _, found in named for n in found))
+        if len(named) == 1:
+            table = rows.where("row > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], *place)
+            table = table.withColumns({n: na_to_null(col(n)) for n in names})
+            return infer_types(table, names) if infer else table
+        known = files.sparkSession.createDataFrame(named, "header array<string>, names array<string>")
+        heads = rows.where("row = 0").select("path", F.col("cells").alias("header"))
+        heads = heads.join(known, heads["header"].eqNullSafe(known["header"])).select("path", "names")
+        table = rows.where("row > 0").join(heads, "path").select(
+            *[F.get("cells", (F.array_position("names", n) - 1).cast("int")).alias(n) for n in names], *place)
     table = table.withColumns({n: na_to_null(col(n)) for n in names})
     return infer_types(table, names) if infer else table
 

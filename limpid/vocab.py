@@ -58,15 +58,6 @@ CATEGORY, ID, LAT, LON, GEO = "categórica", "id", "geo_lat", "geo_lon", "geo"
 PROFILE_AMOUNT, PROFILE_CATEGORY = "monto", "categoría"
 ROLE_LABELS = (DATE, MONEY_METRIC, NUMBER_METRIC, CATEGORY, BOOL, ID, GEO, TEXT)
 
-# one role system, three vocabularies: the column-type names map to the semantic names
-TYPE_TO_SEMANTIC = {
-    DATE: DATE, MONEY: MONEY_METRIC, NUMBER: NUMBER_METRIC, BOOL: BOOL, TEXT: CATEGORY,
-}
-SEMANTIC_TO_TYPE = {
-    DATE: DATE, MONEY_METRIC: MONEY, NUMBER_METRIC: NUMBER, BOOL: BOOL, CATEGORY: TEXT,
-    ID: TEXT, LAT: NUMBER, LON: NUMBER, GEO: NUMBER, TEXT: TEXT,
-}
-
 # ---- fixed values: name rules of the profile roles, first match wins --------------------------
 PROFILE_NAME_RULES = (
     (DATE, ("fecha", "date", "fcha")),
@@ -124,8 +115,6 @@ DIM_PRIORITY = (
     "city", "region", "pais", "country", "metodo_pago", "medio_pago", "payment", "pago", "estado",
     "estatus", "status", "prioridad", "gerente", "canal", "tipo", "vendedor", "seller",
 )
-MONEY_WORDS = ("monto", "importe", "amount", "revenue", "ventas", "price", "precio", "total", "valor",
-               "salary", "sueldo", "pay", "wage")
 MEAN_WORDS = ("price", "precio", "rate", "ratio", "porcentaje", "percent", "avg", "average", "promedio", "unit")
 ID_WORDS = ("id", "codigo", "code", "uuid", "nro", "numero")
 FEATURE_AMOUNT_WORDS = ("monto", "importe", "amount", "revenue", "ventas", "price", "precio", "total",
@@ -152,7 +141,6 @@ SEMANTIC_UNIT_PRICE_NAME = r"(?i)(unit_price|precio_unitario|precio)"
 ROW_FIELD, COLUMN_FIELD, NULL_PCT_FIELD = "__row__", "__column__", "__null_pct__"
 META_FIELDS = (ROW_FIELD, COLUMN_FIELD, NULL_PCT_FIELD)
 REST_LABEL = "Otros"
-CHART_TYPES = ("line_time", "bar_top", "hist", "pie", "heatmap", "scatter")
 
 # ---- fixed values: outlier detection ----------------------------------------------------------
 OUTLIER_METHOD = "isolation_forest"
