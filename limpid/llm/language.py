@@ -204,8 +204,9 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
 
 
-def accept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learned language by at least ``least`` of its words."""
+def accept(docs: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in learned languages, the first of them with a share of at least
+    ``least``. Texts that ``predict`` calls unknown go; a mixture of learned languages stays."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text"
             shares, _ = mixtures(part.column(text), model)
             top = shares.max(1) if model.languages else np.zeros(len(part))
             plain = pa.compute.match_substring_regex(part.column(text), "[A-Za-z]").fill_null(False).to_numpy(zero_copy_only=False)
-            ok = top >= least
+            ok = (top > 0) & (top >= least)
             for i in np.flatnonzero(ok & ~plain):
                 ok[i] = any(map(str.isalpha, part.column(text)[int(i)].as_py()))
             yield part.filter(pa.array(ok)).select(names)
