@@ -9,7 +9,7 @@ from limpid.storage import scratch_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or not mainly in one learned language, go."""
+    """Documents of no learned language, such as those without a letter, go; mixtures of learned languages stay."""
     return language.accept(docs, language.fit(docs))
 
 
