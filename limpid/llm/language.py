@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limpid.llm.words import Words, parts
 
 UNKNOWN = "und"
-#: Trigrams are hashed to so many cells, the last of them never hit, so a model has a fixed size per language.
+#: Trigrams are hashed to so many cells, so a model has a fixed size per language.
 CELLS = 1 << 15
 #: Bound of the training sample: the expected number of documents of each language, chosen by a hash of the key.
 SAMPLE_PER_LANGUAGE = 2000
