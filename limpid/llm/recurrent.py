@@ -5,11 +5,14 @@ head, have classes of a few words each, chosen by the network as word within cla
 its ending, within which words are as likely as their counts say, one unseen word included. So the probabilities of all
 words and of one unseen word per ending class sum to one at every position.
 
-The network is fitted on a bounded sample, in tasks that work apart and are averaged after each round.
+The network is fitted on all training texts. They are dealt to shards, whose number grows with the tokens; in each round
+every shard goes through all its texts from the same weights, apart from the others, and the weights are averaged after it.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limpid.llm.words import Words, parts
+from limpid.llm.words import Words, mix, parts
 from limpid.storage import materialize
 
 #: Words of the head, in classes of WITHIN; the last place is the end of a text. ENDINGS classes hold all other words.
@@ -30,9 +33,10 @@ END = HEAD - 1
 HIDDEN = 32
 #: At most so many frequent words are sent to all tasks with their counts; counts of others are joined.
 KNOWN = 100_000
-#: Bounds of the fit: expected documents, in so many shards, and rounds over them.
-SAMPLE, SHARDS, ROUNDS = 2400, 6, 3
-WINDOW, LANES, RATE = 24, 16, 0.01
+#: Shards of the fit: at least, and so many where they have SHARD_LEAST tokens; from then on of SHARD_TOKENS. Rounds over all.
+SHARDS, SHARDS_WIDE, SHARD_LEAST, SHARD_TOKENS, ROUNDS = 6, 48, 100_000, 2_000_000, 3
+#: Lanes are LANES, or more in a shard that still has UPDATES windows then. Only longer texts than UNCUT tokens go on in another lane.
+WINDOW, LANES, LANES_WIDE, UPDATES, UNCUT, RATE = 24, 16, 256, 400, 4096, 0.01
 #: Documents that are scored side by side, positions between which only the state is carried, and tokens that a task
 #: gathers first: long documents are few, so they are best scored together.
 BESIDE, STRIDE, GATHERED = 512, 32, 4_000_000
@@ -117,57 +121,67 @@ class Network:
         return out, dh
 
 
+def in_lanes(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(types, -1 behind the end of a lane; where a state starts anew) by position and lane. Every token is in one lane."""
+    total = sum(map(len, texts))
+    n = int(np.clip(total // (WINDOW * UPDATES), LANES, LANES_WIDE))
+    most = max(-(-total // n), UNCUT)
+    pieces = [t[a:a + most] for t in texts for a in range(0, len(t), most)]
+    lanes, heap = [[] for _ in range(n)], [(0, i) for i in range(n)]
+    for t in sorted(pieces, key=len, reverse=True):
+        size, i = heap[0]
+        heapq.heapreplace(heap, (size + len(t), i))
+        lanes[i].append(t)
+    length = max(heap)[0]
+    x, fresh = np.full((length, n), -1, np.int16), np.zeros((length, n), bool)
+    for i, lane in enumerate(lanes):
+        at = 0
+        for t in lane:
+            x[at:at + len(t), i] = t
+            fresh[at, i] = True
+            at += len(t)
+    return x, fresh
+
+
 def train(network: Network, texts: list[np.ndarray], state: dict | None = None) -> dict:
     """One pass of truncated backpropagation over lists of word types, in lanes side by side, with Adam.
 
     A lane's state runs on from window to window and is cleared where a text begins. Returns the optimiser's state.
     """
-    lanes = [[] for _ in range(LANES)]
-    for t in sorted(texts, key=len, reverse=True):
-        min(lanes, key=lambda lane: sum(map(len, lane))).append(t)
-    length = max((sum(map(len, lane)) for lane in lanes), default=0)
-    x = np.full((LANES, length), -1, np.int64)
-    fresh = np.zeros((LANES, length), bool)
-    for i, lane in enumerate(lanes):
-        at = 0
-        for t in lane:
-            x[i, at:at + len(t)] = t
-            fresh[i, at] = True
-            at += len(t)
+    lanes, fresh = in_lanes(texts)
     w = network.w
     state = state or {"t": 0, "m": {k: np.zeros_like(v) for k, v in w.items()}, "v": {k: np.zeros_like(v) for k, v in w.items()}}
-    h = np.zeros((LANES, HIDDEN), np.float32)
-    for a in range(0, length, WINDOW):
+    h = np.zeros((lanes.shape[1], HIDDEN), np.float32)
+    for a in range(0, len(lanes), WINDOW):
+        live, x = lanes[a:a + WINDOW] >= 0, np.maximum(lanes[a:a + WINDOW], 0).astype(np.int64)
+        keep = ~fresh[a:a + WINDOW, :, None]
         grads = {k: np.zeros_like(v) for k, v in w.items()}
-        trace, n_seen = [], 0
-        for t in range(a, min(a + WINDOW, length)):
-            live = x[:, t] >= 0
-            start = np.where(fresh[:, t, None], np.float32(0), h)
-            new, *rest = network.step(start, np.maximum(x[:, t], 0))
-            h = np.where(live[:, None], new, start)
-            trace.append((start, live, t, *rest))
-            n_seen += int(live.sum())
-        if not n_seen:
-            break
-        states = np.concatenate([s[0][s[1]] for s in trace])
-        _, dh = network.losses(states, np.concatenate([x[s[1], s[2]] for s in trace]), grads)
-        ends = np.cumsum([s[1].sum() for s in trace])
-        carry = np.zeros((LANES, HIDDEN), np.float32)
-        for k in range(len(trace) - 1, -1, -1):
-            start, live, t, z, r, n, u = trace[k]
+        trace = []
+        for t in range(len(x)):
+            start = h * keep[t]
+            h, *rest = network.step(start, x[t])
+            trace.append((start, *rest))
+        starts = np.stack([s[0] for s in trace])
+        n_seen = int(live.sum())
+        # Behind the end of a lane there is no loss, so nothing flows back from there.
+        dh = np.zeros_like(starts)
+        dh[live] = network.losses(starts[live], x[live], grads)[1]
+        da, du = [], []
+        carry = np.zeros_like(h)
+        for t in range(len(x) - 1, -1, -1):
+            start, z, r, n, u = trace[t]
             # carry: gradient of the state after position t.
-            d = carry * live[:, None]
-            dn = d * (1 - z)
-            dz = d * (start - n)
+            dn = carry * (1 - z)
             da_n = dn * (1 - n * n)
-            dr = da_n * u
-            da = np.concatenate([dz * z * (1 - z), dr * r * (1 - r), da_n], 1)
-            np.add.at(grads["x"], x[live, t], da[live])
-            du = np.concatenate([da[:, :2 * HIDDEN], da_n * r], 1)
-            grads["u"] += start.T @ du
-            back = d * z + du @ w["u"].T + carry * ~live[:, None]
-            back[live] += dh[ends[k] - live.sum():ends[k]]
-            carry = np.where(fresh[:, t, None], np.float32(0), back)
+            gates = np.concatenate([carry * (start - n) * z * (1 - z), da_n * u * r * (1 - r)], 1)
+            da.append(np.concatenate([gates, da_n], 1))
+            du.append(np.concatenate([gates, da_n * r], 1))
+            carry = (carry * z + du[-1] @ w["u"].T + dh[t]) * keep[t]
+        kinds, of_kind = x[::-1].ravel(), np.concatenate(da)
+        order = np.argsort(kinds, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(kinds[order]) != 0))
+        grads["x"][kinds[order][first]] += np.add.reduceat(of_kind[order], first)
+        grads["u"] += starts[::-1].reshape(-1, HIDDEN).T @ np.concatenate(du)
         state["t"] += 1
         for k, g in grads.items():
             g /= n_seen / LANES
@@ -271,41 +285,83 @@ def frequent(vocabulary: DataFrame, limit: int) -> list:
     return sorted(vocabulary.filter(step >= least).collect(), key=lambda r: (-r["n"], r["word"]))
 
 
-def fit_network(sample: DataFrame, lexicon: Lexicon, network: Network, rounds: int = ROUNDS) -> Network:
-    """Fits on rows of (shard, text): in each round every shard starts from the same weights, which are averaged after it."""
-    staged = materialize(sample, "lm-sample").repartition(SHARDS, "shard")
+def shards_of(tokens: int) -> int:
+    return max(SHARDS, min(SHARDS_WIDE, tokens // SHARD_LEAST), -(-tokens // SHARD_TOKENS))
+
+
+def training_texts(learn: DataFrame, shared, shards: int) -> DataFrame:
+    """(shard, types) of every text, staged with the texts of a shard together. ``shared``: a broadcast Lexicon.
+
+    Texts are dealt by their place in the input, so no shard grows with the rows of a key.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 32
+        for part in parts(batches):
+            words = Words(part.column("text"))
+            codes, _, kind, _, _ = shared.value.types(words)
+            types = with_ends(kind[codes], words.of)
+            shard = mix(np.arange(row, row + len(types), dtype=np.uint64)) % np.uint64(shards)
+            row += len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array([t.astype(np.int16).tobytes() for t in types], pa.binary())], ["shard", "types"])
+    dealt = learn.select("text").mapInArrow(run, "shard long, types binary")
+    return materialize(dealt.repartition(shards, "shard").sortWithinPartitions("shard"), "lm-texts")
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    """The mean of pickled weights, each counted as often as it has tokens."""
+    total, out = sum(group.column("n").to_pylist()), None
+    for n, data in zip(group.column("n").to_pylist(), group.column("weights")):
+        mine = {k: n / total * v.astype(np.float64) for k, v in pickle.loads(data.as_buffer()).items()}
+        out = mine if out is None else {k: v + mine[k] for k, v in out.items()}
+    return pa.table({"n": [total], "weights": [pickle.dumps({k: v.astype(np.float32) for k, v in out.items()})]})
+
+
+def fit_network(texts: DataFrame, shards: int, network: Network, rounds: int = ROUNDS) -> tuple[Network, int]:
+    """Fits on rows of (shard, types), and returns the tokens of a round too.
+
+    In each round every shard starts from the same weights, which are averaged after it, in groups before they are sent
+    to the driver: about the square root of the number of shards.
+    """
+    total, groups = 0, math.isqrt(shards)
     for _ in range(rounds):
         start = network.w
 
-        def run(group: pa.Table) -> pa.Table:
-            mine = Network({k: v.copy() for k, v in start.items()})
-            texts = []
-            for batch in group.to_batches():
-                for part in parts([batch]):
-                    words = Words(part.column("text"))
-                    codes, _, kind, _, _ = lexicon.types(words)
-                    texts += with_ends(kind[codes], words.of)
-            train(mine, texts)
-            return pa.table({"n": [sum(map(len, texts))], "weights": [pickle.dumps(mine.w)]})
-
-        found = [(r["n"], pickle.loads(r["weights"])) for r in staged.groupBy("shard").applyInArrow(run, "n long, weights binary").collect()]
-        total = sum(n for n, _ in found)
-        if not total:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, held = None, []
+
+            def fitted() -> pa.RecordBatch:
+                mine = Network({k: v.copy() for k, v in start.items()})
+                train(mine, held)
+                return pa.RecordBatch.from_arrays([pa.array([current % groups]), pa.array([sum(map(len, held))]), pa.array([pickle.dumps(mine.w)], pa.binary())], ["part", "n", "weights"])
+
+            for batch in batches:
+                for shard, types in zip(batch.column("shard").to_pylist(), batch.column("types")):
+                    if shard != current and held:
+                        yield fitted()
+                        held = []
+                    current = shard
+                    held.append(np.frombuffer(types.as_py(), np.int16))
+            if held:
+                yield fitted()
+
+        means = texts.mapInArrow(run, "part long, n long, weights binary").groupBy("part").applyInArrow(_mean, "n long, weights binary").collect()
+        if not means:
             break
-        network = Network({k: (sum(n / total * w[k].astype(np.float64) for n, w in found)).astype(np.float32) for k in start})
-    return network
+        found = _mean(pa.table({"n": [r["n"] for r in means], "weights": [bytes(r["weights"]) for r in means]}))
+        total = found.column("n")[0].as_py()
+        network = Network(pickle.loads(found.column("weights")[0].as_py()))
+    return network, total
 
 
 SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.int64()),
                     ("base", pa.float64()), ("score", pa.float64())])
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     Learns from the rows that are not held out; a null text is empty and has the end of text as its only token. Without
     training rows every score is that of the only word there is, 0 for the base. Rows that repeat a key are scored apart.
-    ``sample`` bounds the expected number of texts that the network is fitted on; counts are of all.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     learn = rows.filter(~held_out("doc_id"))
@@ -323,15 +379,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     counts[:len(head)] = [r["n"] for r in top[:END]]
     counts[END] = n_texts
     lexicon = Lexicon([r["word"] for r in top], [r["n"] for r in top], masses, total, distinct)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    chosen = learn.filter(draw < F.lit(min(1.0, sample / max(n_texts, 1)) * (1 << 30)))
-    network = fit_network(chosen.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS)).alias("shard"), "text"), lexicon, Network.fresh(counts, masses), ROUNDS)
-
-    shared = docs.sparkSession.sparkContext.broadcast((network.w, lexicon))  # of fixed size
+    spark = docs.sparkSession.sparkContext
+    known_words, shards = spark.broadcast(lexicon), shards_of(total)  # of fixed size, like the weights
+    network, _ = fit_network(training_texts(learn, known_words, shards), shards, Network.fresh(counts, masses), ROUNDS)
+    shared = spark.broadcast(network.w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, lexicon = shared.value
-        network, row = Network(weights), TaskContext.get().partitionId() << 32
+        lexicon = known_words.value
+        network, row = Network(shared.value), TaskContext.get().partitionId() << 32
         unit = np.log10(lexicon.masses)
         held, types, gathered = [], [], 0
 

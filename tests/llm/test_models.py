@@ -116,6 +116,30 @@ def test_rare_words_meet_their_counts(corpus, monkeypatch):
         assert abs(r["base_score"] - want[r["doc_id"]][2]) < 1e-6 and r["n_known"] == want[r["doc_id"]][1]
 
 
+def test_network_is_fitted_on_all_training_texts(spark, monkeypatch):
+    """Far more texts than any fixed sample: each round passes every token of every training text."""
+    rows = [(i, f"a{i % 50} b{i % 70} c") for i in range(9000)]
+    seen, fit = [], recurrent.fit_network
+    def keep(*args):
+        seen.append(fit(*args))
+        return seen[-1]
+    monkeypatch.setattr(recurrent, "fit_network", keep)
+    monkeypatch.setattr(recurrent, "ROUNDS", 1)
+    got = recurrent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen[0][1] == 4 * sum(fold(i, 7) != 2 for i, _ in rows) == got[0]["train_tokens"]
+
+
+def test_lanes_hold_every_token_once():
+    texts = [np.full(n, i % 1000, np.int16) for i, n in enumerate([200_000, 5, 1, 9000, *[300] * 900])]
+    x, fresh = recurrent.in_lanes(texts)
+    assert (np.bincount(x[x >= 0].astype(int), minlength=904) == [len(t) for t in texts]).all()
+    assert x.size < 4 * sum(map(len, texts)) and fresh[0].all()
+
+
+def test_shards_grow_with_tokens():
+    assert recurrent.shards_of(0) == 6 and recurrent.shards_of(4 * 10**9) == 2000
+
+
 def test_probabilities_sum_to_one():
     network, r = recurrent.Network.fresh(), np.random.default_rng(0)
     h = np.tile(r.standard_normal((1, recurrent.HIDDEN)).astype(np.float32), (recurrent.TYPES, 1))
