@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from limpid.llm import skew
 from limpid.llm.dedup import normalized
 from limpid.llm.graph import components
-from limpid.llm.words import Words, parts
+from limpid.llm.words import Words, mix, parts
 from limpid.storage import materialize
 
 WIDTH = 5
@@ -62,7 +62,8 @@ def _cut(bits: int):
     """Slices of documents to blobs. An item is a shingle hash of 48 bits and the row of its document in the slice.
 
     ``first`` blobs have one item of each hash of the slice and the number of its documents, for one range each. What
-    further documents have of the same hash goes round the ranges as ``rest``, and keys and set sizes as ``meta``.
+    further documents have of the same hash goes as ``rest``, and keys and set sizes as ``meta``, to a range by a hash of the
+    slice's number: slices and ranges grow alike, so a range gets a few of them at any size.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -75,8 +76,8 @@ def _cut(bits: int):
             first = items[new]
             times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(items))), 65535).astype(np.uint16)
             meta = pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array(size)], ["id", "tag", "n"])
-            out = [(block % (1 << bits), block, "meta", meta.serialize().to_pybytes(), None),
-                   (block % (1 << bits), block, "rest", planes(items[~new]), None)]
+            to = int(mix(np.array([block], np.uint64))[0] & np.uint64((1 << bits) - 1))
+            out = [(to, block, "meta", meta.serialize().to_pybytes(), None), (to, block, "rest", planes(items[~new]), None)]
             edges = np.searchsorted(first, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
             for r, (a, b) in enumerate(zip(edges.tolist(), np.append(edges[1:], len(first)).tolist())):
                 if b > a:

@@ -118,3 +118,11 @@ def test_components_of_links(spark):
             up[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in up}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_slices_of_all_partitions_are_spread_over_ranges(spark):
+    """The first slices of 64 partitions do not meet in one range."""
+    rows = spark.range(640, numPartitions=64).selectExpr("id", "id as tag", "concat('a b c d e f', id) as text")
+    blobs = rows.mapInArrow(near_dup._cut(6), near_dup.BLOBS_DDL).filter("kind <> 'first'")
+    at = {k: Counter(r["range"] for r in blobs.filter(f"kind = '{k}'").collect()) for k in ("meta", "rest")}
+    assert at["meta"] == at["rest"] and sum(at["meta"].values()) == 64 and max(at["meta"].values()) < 8
