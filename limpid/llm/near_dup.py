@@ -58,6 +58,16 @@ def _blobs(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, BLOBS.types)], schema=BLOBS)
 
 
+def set_sizes(hashes: np.ndarray, row: np.ndarray, items: np.ndarray, rows: int) -> np.ndarray:
+    """Distinct 64-bit hashes of each row. ``items`` are the distinct ones of 48 bits, which are as many but for rare rows."""
+    if len(np.unique(mix(hashes) ^ mix(row + np.uint64(1)))) == len(items):
+        return np.bincount((items & LOW).astype(np.int64), minlength=rows)
+    order = np.lexsort((hashes, row))
+    h, r = hashes[order], row[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))
+    return np.bincount(r[new].astype(np.int64), minlength=rows)
+
+
 def _cut(bits: int):
     """Slices of documents to blobs. An item is a shingle hash of 48 bits and the row of its document in the slice.
 
@@ -71,7 +81,7 @@ def _cut(bits: int):
             hashes, of = Words(part.column("text")).shingles(WIDTH)
             row = np.repeat(np.arange(len(part), dtype=np.uint64), np.diff(of))
             items = np.unique((hashes & ~LOW) | row)
-            size = np.bincount((items & LOW).astype(np.int64), minlength=len(part))
+            size = set_sizes(hashes, row, items, len(part))
             new = np.append(True, items[1:] >> np.uint64(16) != items[:-1] >> np.uint64(16)) if len(items) else np.zeros(0, bool)
             first = items[new]
             times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(items))), 65535).astype(np.uint16)

@@ -15,6 +15,8 @@ import pyarrow.compute
 
 #: Texts are worked on in slices of about so many bytes, which bounds the memory of a task. One longer text is one slice.
 SLICE_BYTES = 2 << 20
+#: A slice has no more rows, so that a row's place in it has 16 bits.
+SLICE_ROWS = 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,11 +57,11 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``SLICE_BYTES`` each."""
+    """Row ranges of about ``SLICE_BYTES`` each, of ``SLICE_ROWS`` rows at most."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
     begin, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if total and total + size > SLICE_BYTES:
+        if total and total + size > SLICE_BYTES or i - begin == SLICE_ROWS:
             yield begin, i
             begin, total = i, 0
         total += size

@@ -1,11 +1,14 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_words import plain_shingles
 
 from limpid.llm import near_dup
 from limpid.llm.graph import components
+from limpid.llm.words import slices
 
 
 def brute_force(rows):
@@ -126,3 +129,16 @@ def test_slices_of_all_partitions_are_spread_over_ranges(spark):
     blobs = rows.mapInArrow(near_dup._cut(6), near_dup.BLOBS_DDL).filter("kind <> 'first'")
     at = {k: Counter(r["range"] for r in blobs.filter(f"kind = '{k}'").collect()) for k in ("meta", "rest")}
     assert at["meta"] == at["rest"] and sum(at["meta"].values()) == 64 and max(at["meta"].values()) < 8
+
+
+def test_set_sizes_are_of_whole_hashes():
+    """Two hashes that differ in the low 16 bits only are two shingles; repeats are one."""
+    hashes = np.array([1 << 20, (1 << 20) + 5, 1 << 20, 7 << 30, 7 << 30], np.uint64)
+    for hashes, want in ((hashes, [2, 1, 0]), (hashes & ~near_dup.LOW, [1, 1, 0])):
+        row = np.array([0, 0, 0, 1, 1], np.uint64)
+        items = np.unique((hashes & ~near_dup.LOW) | row)
+        assert near_dup.set_sizes(hashes, row, items, 3).tolist() == want
+
+
+def test_slices_have_rows_of_16_bits():
+    assert list(slices(pa.array([""] * 150_000))) == [(0, 65536), (65536, 131072), (131072, 150_000)]
