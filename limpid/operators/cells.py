@@ -17,6 +17,19 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def free_names(taken, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it; names count as equal in any case."""
+    used = {t.lower() for t in taken}
+    found = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
 def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
