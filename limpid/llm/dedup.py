@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limpid.llm.skew import join_groups, without
+from limpid.operators.cells import free_names
 from limpid.storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +72,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that are not kept; rows without a key stay."""
-    lost = exact_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
-    match = (F.col(key) == F.col("_key")) & (F.sha2(normalized(text), 256) == F.col("_sha"))
+    lost_key, lost_sha = free_names(docs.columns, "key", "sha")
+    lost = exact_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias(lost_key), F.col("text_sha256").alias(lost_sha))
+    match = (F.col(key) == F.col(lost_key)) & (F.sha2(normalized(text), 256) == F.col(lost_sha))
     return without(docs, materialize(lost, "lost"), match)
