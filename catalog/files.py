@@ -25,7 +25,7 @@ def _(t: Tables):
 def _(t: Tables):
     folder = scratch_path(t.spark, "csv")
     tables.write_csv(t.documents.select("doc_id", "text", "n_chars"), folder)
-    return delimited.read_csv(t.spark, folder, multiline=True)
+    return delimited.read_csv(t.spark, folder)
 
 
 @query("csv_latin1", "select c_custkey as clave, 'año ' || c_mktsegment as segmento from customer")
@@ -62,14 +62,7 @@ def _(t: Tables):
     folder = scratch_path(t.spark, "csv")
     tables.write_csv(t.orders.select("o_orderkey", "o_orderpriority").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey"), folder)
     table = delimited.read_csv(t.spark, folder, encoding="UTF-8", position=True)
-    # place = rows of earlier files + rank in the file, without one global window
-    by_file = table.withColumn("file", F.col("_pos.file"))
-    from pyspark.sql import Window
-    ranked = by_file.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("_pos")))
-    sizes = by_file.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(F.broadcast(before.select("file", "before")), "file").select(
-        "o_orderkey", (F.col("before") + F.col("rank") - 1).alias("place"))
+    return delimited.number_rows(table, "place").select("o_orderkey", "place")
 
 
 def workbook_writer():
