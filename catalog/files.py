@@ -194,11 +194,31 @@ def _(t: Tables):
     return runlog.read_log(t.spark, folder).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("stamped"))
 
 
+@query("runlog_appends", """
+    select type, stage, status, duration_ms, event_id as rows from run_events order by event_id desc limit 70""")
+def _(t: Tables):
+    # the last events of a log that six jobs have appended to
+    folder = scratch_path(t.spark, "log")
+    events = t.run_events.select("type", "stage", "status", "duration_ms", F.col("event_id").alias("rows"))
+    sixth = events.agg(F.ceil((F.max("rows") + 1) / 6)).first()[0]
+    for i in range(6):
+        part = events.where(f"rows >= {i * sixth} and rows < {(i + 1) * sixth}")
+        runlog.append_log(part.repartitionByRange(3, "rows").sortWithinPartitions("rows"), folder)
+    return runlog.read_log(t.spark, folder, 70).select("type", "stage", "status", "duration_ms", "rows")
+
+
 @query("stage_durations", """
-    select stage, count(*) as runs, count(*) filter (status = 'failed') as failed, cast(sum(duration_ms) as bigint) as total_ms,
-    max(duration_ms) as max_ms from run_events where type = 'stage_end' group by 1""")
+    with e as (select *, event_id // 40 as run from run_events),
+    w as (select *, lead(type) over s as next_type, lead(status) over s as next_status, lead(duration_ms) over s as next_ms,
+        lag(type) over s as before, max(event_id) over (partition by run) as last from e window s as (partition by run, stage order by event_id)),
+    x as (select stage, case when type = 'stage_end' then status when next_type = 'stage_end' then next_status when event_id < last then 'crashed' else 'open' end as state,
+        case when type = 'stage_end' then duration_ms when next_type = 'stage_end' then next_ms end as ms
+      from w where type = 'stage_start' or before is null or before = 'stage_end')
+    select stage, count(*) as runs, count(*) filter (state = 'failed') as failed, count(*) filter (state = 'crashed') as crashed,
+      count(*) filter (state = 'open') as open, cast(coalesce(sum(ms), 0) as bigint) as total_ms, max(ms) as max_ms from x group by 1""")
 def _(t: Tables):
-    return steps.stage_durations(runlog.read_log(t.spark, _log(t, corrupt=False)))
+    log = runlog.read_log(t.spark, _log(t, corrupt=False)).withColumn("run", F.floor(F.col("rows") / 40))
+    return steps.stage_durations(log, "rows", "run")
 
 
 def _status_sql(c):

@@ -166,7 +166,9 @@ def _(t: Tables):
     return found.withColumn("entropy", F.round("entropy", 6))
 
 
-@query("value_sample")
+@query("value_sample", " union all ".join(f"""
+    select * from (select '{c}' as "column", cast({c} as varchar) as value from orders
+      order by md5('1|{c}|' || o_orderkey || '|' || {c}) limit 200)""" for c in ("o_orderpriority", "o_custkey")))
 def _(t: Tables):
     from limpid.operators.sampling import sample_values
-    return sample_values(t.orders, ["o_orderpriority", "o_totalprice", "o_custkey"], 200, 1)
+    return sample_values(t.orders, ["o_orderpriority", "o_custkey"], 200, 1, "o_orderkey")

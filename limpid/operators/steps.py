@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limpid import vocab
 from limpid.functions.text import strip
+from limpid.operators.cells import col
 
 
 def normalize_status(c: Column) -> Column:
@@ -70,11 +71,39 @@ def clamp_progress(given: Column, steps: Column) -> Column:
     return F.coalesce(F.least(F.greatest(given.cast("int"), F.lit(0)), F.lit(100)), progress(steps))
 
 
-def stage_durations(log: DataFrame) -> DataFrame:
-    """``(stage, runs, failed, total_ms, max_ms)`` from the stage-end events of a run log."""
-    ends = log.where(F.col("type") == "stage_end")
-    return ends.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.count_if(F.col("status") == "failed").alias("failed"),
-        F.coalesce(F.sum(F.col("duration_ms").cast("long")), F.lit(0)).alias("total_ms"),
-        F.max(F.col("duration_ms").cast("long")).alias("max_ms"))
+def stage_spans(log: DataFrame, order: str, run: str | None = None) -> DataFrame:
+    """``(run, stage, state, duration_ms)``: every stage of every run, each start met with the end that follows it.
+
+    Events of a run and stage are taken in ``order``. A start that the next event ends has that end's status as its state. A start
+    without an end is ``crashed`` if the run has later events, else ``open``. An end without a start keeps its status.
+    ``run`` names the column of the run; without one the log is that of one run, and a task sorts each of its stages.
+    """
+    events = log.where(F.col("type").isin("stage_start", "stage_end")).select(
+        (col(run) if run else F.lit(None).cast("string")).alias("run"), "stage", "type", "status",
+        F.col("duration_ms").cast("long").alias("duration_ms"), col(order).alias("at"))
+    last = events.groupBy("run").agg(F.max("at").alias("last"))
+    here = Window.partitionBy("run", "stage").orderBy("at")
+    met = events.withColumns({"after": F.lead(F.struct("type", "status", "duration_ms")).over(here), "before": F.lag("type").over(here)})
+    met = met.join(last.withColumnRenamed("run", "of"), F.col("run").eqNullSafe(F.col("of")))
+    start, ended = F.col("type") == "stage_start", F.coalesce(F.col("after.type") == "stage_end", F.lit(False))
+    state = (F.when(start & ended, F.col("after.status")).when(start & (F.col("at") < F.col("last")), "crashed").when(start, "open")
+             .otherwise(F.col("status")))
+    lone_end = ~start & ~F.coalesce(F.col("before") == "stage_start", F.lit(False))
+    return met.where(start | lone_end).select("run", "stage", state.alias("state"),
+                                              F.when(start, F.when(ended, F.col("after.duration_ms"))).otherwise(F.col("duration_ms")).alias("duration_ms"))
+
+
+def stage_durations(log: DataFrame, order: str | None = None, run: str | None = None) -> DataFrame:
+    """``(stage, runs, failed, total_ms, max_ms)`` from the stage-end events of a run log.
+
+    With ``order``, a column of the place of an event, starts count too: ``crashed`` and ``open`` are the runs of a stage that has
+    no end, as ``stage_spans`` tells them.
+    """
+    if order:
+        spans, more = stage_spans(log, order, run), [F.count_if(F.col("state") == s).alias(s) for s in ("crashed", "open")]
+    else:
+        spans, more = log.where(F.col("type") == "stage_end").withColumn("state", F.col("status")), []
+    duration = F.col("duration_ms").cast("long")
+    return spans.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("state") == "failed").alias("failed"), *more,
+        F.coalesce(F.sum(duration), F.lit(0)).alias("total_ms"), F.max(duration).alias("max_ms"))
