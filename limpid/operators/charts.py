@@ -32,25 +32,40 @@ def aggregate_of(name: str, value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0.0)) if name == "sum" else F.avg(value)
 
 
+#: Of the rows of a group: their sum, values and number. What each aggregate of a chart is made from.
+GROUPED = {"total": lambda v: F.sum(v), "values": lambda v: F.count(v), "rows": lambda v: F.count(F.lit(1))}
+
+
+def from_grouped(has_metric: bool, aggregate: str) -> Column:
+    """A chart's value from the ``GROUPED`` measures: rows where it has no metric, a sum (null over no values), else the mean."""
+    if not has_metric:
+        return F.col("rows").cast("double")
+    return F.col("total") if aggregate == "sum" else F.col("total") / F.nullif(F.col("values"), F.lit(0))
+
+
 def by_month(df: DataFrame, date_field: str, value_field: str | None = None, aggregate: str = "count") -> DataFrame:
     """``(x, value)`` per month, x as ``yyyy-MM``.
 
     A metric leaves out months without a value; counting rows fills the months in between with zero.
     """
-    month = dates.month_start(tolerant_date(df, date_field)).alias("month")
-    if is_metric(df, value_field, aggregate):
-        value = metric(df, value_field)
-        per_month = (df.select(month, value.alias("v")).where("month is not null").groupBy("month")
-                     .agg((F.sum("v") if aggregate == "sum" else F.avg("v")).alias("value"))
-                     .where("value is not null"))
+    has_metric = is_metric(df, value_field, aggregate)
+    value = metric(df, value_field) if has_metric else F.lit(None).cast("double")
+    grouped = (df.select(dates.month_start(tolerant_date(df, date_field)).alias("month"), value.alias("v")).where("month is not null")
+               .groupBy("month").agg(*[m(F.col("v")).alias(n) for n, m in GROUPED.items()]))
+    return months(grouped, has_metric, aggregate)
+
+
+def months(grouped: DataFrame, has_metric: bool, aggregate: str) -> DataFrame:
+    """``by_month`` from the measures of each ``month``."""
+    seen = grouped.select("month", from_grouped(has_metric, aggregate).alias("value"))
+    if has_metric:
+        per_month = seen.where("value is not null")
     else:
-        seen = (df.select(month).where("month is not null").groupBy("month")
-                .agg(F.count(F.lit(1)).cast("double").alias("n")))
         # the spine comes from the few monthly rows, not from another pass over the table
         spine = (seen.agg(F.min("month").alias("first"), F.max("month").alias("last"))
                  .where("first is not null")
                  .select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month")))
-        per_month = spine.join(seen, "month", "left").select("month", F.coalesce("n", F.lit(0.0)).alias("value"))
+        per_month = spine.join(seen, "month", "left").select("month", F.coalesce("value", F.lit(0.0)).alias("value"))
     return per_month.orderBy("month").select(dates.month_label(F.col("month")).alias("x"), "value")
 
 
@@ -69,7 +84,10 @@ def _largest_first():
 def top(df: DataFrame, dim: str, value_field: str | None = None, aggregate: str = "count",
         limit: int = 10) -> DataFrame:
     """The ``limit`` largest groups, ties by label."""
-    grouped = by_dimension(df, dim, value_field, aggregate)
+    return largest(by_dimension(df, dim, value_field, aggregate), limit)
+
+
+def largest(grouped: DataFrame, limit: int) -> DataFrame:
     return grouped.orderBy(*_largest_first()).limit(limit).select(F.col("x").cast("string").alias("x"), "value")
 
 
@@ -79,7 +97,11 @@ def parts(df: DataFrame, category: str, value_field: str | None = None, aggregat
 
     Only the ``limit - 1`` head rows are broadcast; the tail is summed by an ordinary aggregate.
     """
-    grouped = by_dimension(df, category, value_field, aggregate)
+    return shares(by_dimension(df, category, value_field, aggregate), limit)
+
+
+def shares(grouped: DataFrame, limit: int) -> DataFrame:
+    """``parts`` from ``(x, value)`` of every group."""
     if not limit:
         return grouped.orderBy(*_largest_first()).select(F.col("x").cast("string").alias("x"), "value")
     head = grouped.orderBy(*_largest_first()).limit(limit - 1)
@@ -94,17 +116,29 @@ def parts(df: DataFrame, category: str, value_field: str | None = None, aggregat
 
 def histogram(df: DataFrame, field: str, bins: int = 20) -> DataFrame:
     """``(bin, low, high, n)`` over equal-width bins between the smallest and largest value, empty bins too."""
-    value = numbers.as_number(col(field), df.schema[field].dataType, "plain")
+    value = plain_value(df, field)
     data = df.select(value.alias("v")).where("v is not null")
     ends = data.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
     if ends["low"] is None:
         return df.sparkSession.createDataFrame([], "bin long, low double, high double, n long")
-    low, high = ends["low"], ends["high"]
+    counted = data.groupBy(bin_of(F.col("v"), ends["low"], ends["high"], bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return all_bins(counted, ends["low"], ends["high"], bins)
+
+
+def plain_value(df: DataFrame, field: str) -> Column:
+    return numbers.as_number(col(field), df.schema[field].dataType, "plain")
+
+
+def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
+    width = (high - low) / bins
+    place = F.floor((value - low) / width) if width > 0 else F.lit(0)
+    return F.when(value.isNotNull(), F.least(place, F.lit(bins - 1)).cast("long"))
+
+
+def all_bins(counted: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """``histogram`` from ``(bin, n)`` of the bins that occur."""
     width = (high - low) / bins
-    place = F.floor((F.col("v") - low) / width) if width > 0 else F.lit(0)
-    counted = (data.groupBy(F.least(place, F.lit(bins - 1)).cast("long").alias("bin"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    spine = df.sparkSession.range(bins if width > 0 else 1).withColumnRenamed("id", "bin")
+    spine = counted.sparkSession.range(bins if width > 0 else 1).withColumnRenamed("id", "bin")
     return (spine.join(counted, "bin", "left").orderBy("bin")
             .select("bin", (F.lit(low) + F.col("bin") * width).alias("low"),
                     (F.lit(low) + (F.col("bin") + 1) * width).alias("high"),
@@ -215,10 +249,16 @@ def as_chart(data: DataFrame, chart_id: str) -> DataFrame:
     ])
 
 
-def run_chart(df: DataFrame, chart: dict) -> DataFrame:
-    """Data of one chart spec in the common shape; no rows for a chart that names missing columns."""
-    meta = {vocab.COLUMN_FIELD, vocab.NULL_PCT_FIELD} & set(chart_fields(chart))
-    source = null_meta(df) if meta and chart.get("type") != "heatmap" else df
+def about_nulls(chart: dict) -> bool:
+    return bool({vocab.COLUMN_FIELD, vocab.NULL_PCT_FIELD} & set(chart_fields(chart))) and chart.get("type") != "heatmap"
+
+
+def run_chart(df: DataFrame, chart: dict, meta: DataFrame | None = None) -> DataFrame:
+    """Data of one chart spec in the common shape; no rows for a chart that names missing columns.
+
+    ``meta`` is the table of missing values, if it is known.
+    """
+    source = (meta if meta is not None else null_meta(df)) if about_nulls(chart) else df
     build = BUILDERS.get(chart.get("type"))
     if build:
         data = build(source, chart)
