@@ -43,7 +43,7 @@ def ranked(leaves: DataFrame) -> DataFrame:
     (range of row numbers, group), so no key has more rows than a range.
     """
     placed = with_row_number(leaves, [F.asc("group"), F.asc_nulls_first("key"), F.asc("leaf")])
-    width = 1 << 16
+    width = 1 << 12
     cut = placed.withColumn("range", F.floor(F.col("row") / width))
     met = cut.groupBy("group", "range").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n"))
     groups = met.groupBy("group").agg(F.min("low").alias("first"), F.sum("n").alias("size"))
