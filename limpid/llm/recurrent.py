@@ -5,8 +5,9 @@ head, have classes of a few words each, chosen by the network as word within cla
 its ending, within which words are as likely as their counts say, one unseen word included. So the probabilities of all
 words and of one unseen word per ending class sum to one at every position.
 
-The network is fitted on all training texts. They are dealt to shards, whose number grows with the tokens; in each round
-every shard goes through all its texts from the same weights, apart from the others, and the weights are averaged after it.
+The network is fitted on all training texts, each of them once. They are dealt to shards, whose number grows with the tokens;
+in each round every shard goes through its next part of its texts from the same weights, apart from the others, and the weights
+are averaged after it.
 """
 
 from __future__ import annotations
@@ -76,11 +77,20 @@ class Network:
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """(next state, and what its gradient needs) from states and word types."""
-        a, u = self.w["x"][x], h @ self.w["u"]
-        gates = 1 / (1 + np.exp(-(a[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])))
+        a, u = self.w["x"].take(x, 0), h @ self.w["u"]
+        gates = a[:, :2 * HIDDEN] + u[:, :2 * HIDDEN]
+        np.negative(gates, gates)
+        np.exp(gates, gates)
+        gates += 1
+        np.reciprocal(gates, gates)
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-        return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN:]
+        n = r * u[:, 2 * HIDDEN:]
+        n += a[:, 2 * HIDDEN:]
+        np.tanh(n, n)
+        after = h - n
+        after *= z
+        after += n
+        return after, z, r, n, u[:, 2 * HIDDEN:]
 
     def losses(self, h: np.ndarray, x: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of word types after states: of the class, and within it for head words.
@@ -88,12 +98,16 @@ class Network:
         With ``grads``, gradients of the sum of their negatives are added there, and that of the states is returned.
         """
         kind = np.where(x < HEAD, x // WITHIN, x - HEAD + HEAD // WITHIN)
-        logits = h @ self.w["c"] + self.w["cb"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
+        logits = np.column_stack([h, np.ones(len(h), np.float32)]) @ np.vstack([self.w["c"], self.w["cb"]])
+        # states lie between -1 and 1, so weights small enough need no shift before the exponential
+        small = max(float(np.abs(self.w[a]).sum(-2).max() + np.abs(self.w[b]).max()) for a, b in (("c", "cb"), ("i", "ib"))) < 60
+        if not small:
+            logits -= logits.max(1, keepdims=True)
         row = np.arange(len(x))
-        out = logits[row, kind] - np.log(total)
+        out = logits[row, kind]
+        p = np.exp(logits, logits)
+        total = p @ np.ones(CLASSES, np.float32)
+        out = out - np.log(total)
         dh = None
         if grads is not None:
             p /= total[:, None]
@@ -101,23 +115,31 @@ class Network:
             grads["c"] += h.T @ p
             grads["cb"] += p.sum(0)
             dh = p @ self.w["c"].T
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(HEAD // WITHIN + 1))
+        head = order[:edges[-1]]
+        hs_all, which_all, ones = h.take(head, 0), x.take(head) % WITHIN, np.ones(WITHIN, np.float32)
+        more, back = np.empty(len(head), np.float32), np.empty_like(hs_all)
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            mine = order[edges[k]:edges[k + 1]]
-            hs = h[mine]
-            s = hs @ self.w["i"][k] + self.w["ib"][k]
-            s -= s.max(1, keepdims=True)
-            q = np.exp(s)
-            sums = q.sum(1)
-            at, which = np.arange(len(mine)), x[mine] - k * WITHIN
-            out[mine] += s[at, which] - np.log(sums)
+            a, b = edges[k], edges[k + 1]
+            hs, which, at = hs_all[a:b], which_all[a:b], row[:b - a]
+            s = hs @ self.w["i"][k]
+            s += self.w["ib"][k]
+            if not small:
+                s -= s.max(1, keepdims=True)
+            more[a:b] = s[at, which]
+            q = np.exp(s, s)
+            sums = q @ ones
+            more[a:b] -= np.log(sums)
             if grads is not None:
                 q /= sums[:, None]
                 q[at, which] -= 1
                 grads["i"][k] += hs.T @ q
                 grads["ib"][k] += q.sum(0)
-                dh[mine] += q @ self.w["i"][k].T
+                np.matmul(q, self.w["i"][k].T, back[a:b])
+        out[head] += more
+        if grads is not None:
+            dh[head] += back
         return out, dh
 
 
@@ -166,22 +188,27 @@ def train(network: Network, texts: list[np.ndarray], state: dict | None = None)
         # Behind the end of a lane there is no loss, so nothing flows back from there.
         dh = np.zeros_like(starts)
         dh[live] = network.losses(starts[live], x[live], grads)[1]
-        da, du = [], []
-        carry = np.zeros_like(h)
+        z, r, n, u = (np.stack([s[i] for s in trace]) for i in range(1, 5))
+        # carry, the gradient of the state after a position, times these gives those of the gates and of the new state
+        to_z, to_n, to_r = (starts - n) * z * (1 - z), (1 - z) * (1 - n * n), u * r * (1 - r)
+        da, du = np.empty((2, *starts.shape[:2], 3 * HIDDEN), np.float32)
+        carry, back = np.zeros_like(h), np.ascontiguousarray(w["u"].T)
         for t in range(len(x) - 1, -1, -1):
-            start, z, r, n, u = trace[t]
-            # carry: gradient of the state after position t.
-            dn = carry * (1 - z)
-            da_n = dn * (1 - n * n)
-            gates = np.concatenate([carry * (start - n) * z * (1 - z), da_n * u * r * (1 - r)], 1)
-            da.append(np.concatenate([gates, da_n], 1))
-            du.append(np.concatenate([gates, da_n * r], 1))
-            carry = (carry * z + du[-1] @ w["u"].T + dh[t]) * keep[t]
-        kinds, of_kind = x[::-1].ravel(), np.concatenate(da)
-        order = np.argsort(kinds, kind="stable")
+            mine, own = da[t], du[t]
+            np.multiply(carry, to_z[t], mine[:, :HIDDEN])
+            np.multiply(carry, to_n[t], mine[:, 2 * HIDDEN:])
+            np.multiply(mine[:, 2 * HIDDEN:], to_r[t], mine[:, HIDDEN:2 * HIDDEN])
+            own[:, :2 * HIDDEN] = mine[:, :2 * HIDDEN]
+            np.multiply(mine[:, 2 * HIDDEN:], r[t], own[:, 2 * HIDDEN:])
+            carry *= z[t]
+            carry += own @ back
+            carry += dh[t]
+            carry *= keep[t]
+        kinds, of_kind = x.ravel(), da.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(kinds.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(kinds[order]) != 0))
         grads["x"][kinds[order][first]] += np.add.reduceat(of_kind[order], first)
-        grads["u"] += starts[::-1].reshape(-1, HIDDEN).T @ np.concatenate(du)
+        grads["u"] += starts.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
         state["t"] += 1
         for k, g in grads.items():
             g /= n_seen / LANES
@@ -304,7 +331,7 @@ def training_texts(learn: DataFrame, shared, shards: int) -> DataFrame:
             row += len(types)
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array([t.astype(np.int16).tobytes() for t in types], pa.binary())], ["shard", "types"])
     dealt = learn.select("text").mapInArrow(run, "shard long, types binary")
-    return materialize(dealt.repartition(shards, "shard").sortWithinPartitions("shard"), "lm-texts")
+    return materialize(dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard"), "lm-texts")
 
 
 def _mean(group: pa.Table) -> pa.Table:
@@ -317,17 +344,18 @@ def _mean(group: pa.Table) -> pa.Table:
 
 
 def fit_network(texts: DataFrame, shards: int, network: Network, rounds: int = ROUNDS) -> tuple[Network, int]:
-    """Fits on rows of (shard, types), and returns the tokens of a round too.
+    """Fits on rows of (shard, types), and returns the number of tokens that were passed too.
 
-    In each round every shard starts from the same weights, which are averaged after it, in groups before they are sent
-    to the driver: about the square root of the number of shards.
+    Round k passes every text of a shard whose place in it is k modulo ``rounds``, so all texts are passed once. In each round
+    every shard starts from the same weights, which are averaged after it, in groups before they are sent to the driver:
+    about the square root of the number of shards.
     """
     total, groups = 0, math.isqrt(shards)
-    for _ in range(rounds):
+    for turn in range(rounds):
         start = network.w
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            current, held = None, []
+            current, held, place = None, [], 0
 
             def fitted() -> pa.RecordBatch:
                 mine = Network({k: v.copy() for k, v in start.items()})
@@ -336,19 +364,22 @@ def fit_network(texts: DataFrame, shards: int, network: Network, rounds: int = R
 
             for batch in batches:
                 for shard, types in zip(batch.column("shard").to_pylist(), batch.column("types")):
-                    if shard != current and held:
-                        yield fitted()
-                        held = []
+                    if shard != current:
+                        if held:
+                            yield fitted()
+                        held, place = [], 0
                     current = shard
-                    held.append(np.frombuffer(types.as_py(), np.int16))
+                    if place % rounds == turn:
+                        held.append(np.frombuffer(types.as_py(), np.int16))
+                    place += 1
             if held:
                 yield fitted()
 
         means = texts.mapInArrow(run, "part long, n long, weights binary").groupBy("part").applyInArrow(_mean, "n long, weights binary").collect()
         if not means:
-            break
+            continue
         found = _mean(pa.table({"n": [r["n"] for r in means], "weights": [bytes(r["weights"]) for r in means]}))
-        total = found.column("n")[0].as_py()
+        total += found.column("n")[0].as_py()
         network = Network(pickle.loads(found.column("weights")[0].as_py()))
     return network, total
 

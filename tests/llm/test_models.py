@@ -117,14 +117,13 @@ def test_rare_words_meet_their_counts(corpus, monkeypatch):
 
 
 def test_network_is_fitted_on_all_training_texts(spark, monkeypatch):
-    """Far more texts than any fixed sample: each round passes every token of every training text."""
+    """Far more texts than any fixed sample: the rounds together pass every token of every training text once."""
     rows = [(i, f"a{i % 50} b{i % 70} c") for i in range(9000)]
     seen, fit = [], recurrent.fit_network
     def keep(*args):
         seen.append(fit(*args))
         return seen[-1]
     monkeypatch.setattr(recurrent, "fit_network", keep)
-    monkeypatch.setattr(recurrent, "ROUNDS", 1)
     got = recurrent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert seen[0][1] == 4 * sum(fold(i, 7) != 2 for i, _ in rows) == got[0]["train_tokens"]
 
