@@ -172,3 +172,21 @@ def _(t: Tables):
 def _(t: Tables):
     from limpid.operators.sampling import sample_values
     return sample_values(t.orders, ["o_orderpriority", "o_custkey"], 200, 1, "o_orderkey")
+
+
+SKETCHED = ("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("kpi_nunique_sketch", " union all ".join(f"""
+    select '{c}' as "column", count(distinct {c}) as exact, true as merged_within, true as kpi_within from orders""" for c in SKETCHED))
+def _(t: Tables):
+    # sketches kept per year, united; and the estimate as a headline number
+    from limpid.operators import columns, kpi, sketches
+    from limpid.storage import materialize
+    parts = materialize(sketches.distinct_sketches(t.orders.withColumn("year", F.year("o_orderdate")), SKETCHED, ["year"]), "sketches")
+    merged = sketches.distinct_estimates(sketches.united(parts))
+    shown = kpi.kpi_values(t.orders, [{"op": "nunique_sketch", "col": c, "title": c} for c in SKETCHED]).select(F.col("title").alias("column"), "value")
+    exact = t.spark.createDataFrame(list(columns.cardinalities(t.orders, SKETCHED).items()), "column string, exact long")
+    within = lambda n: F.abs(F.col(n) - F.col("exact")) <= F.col("exact") * sketches.ERROR
+    return exact.join(merged, "column").join(shown, "column").select(
+        "column", "exact", within("estimate").alias("merged_within"), within("value").alias("kpi_within"))

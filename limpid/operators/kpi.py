@@ -8,6 +8,7 @@ from limpid import vocab
 from limpid.functions import numbers
 from limpid.operators.charts import metric
 from limpid.operators.cells import col
+from limpid.operators.sketches import distinct_sketch
 
 UNKNOWN = "—"
 
@@ -25,6 +26,7 @@ OPS = {
     "sum": (lambda df, c: F.coalesce(F.sum(metric(df, c)), F.lit(0.0)), numbers.spanish_number),
     "mean": (lambda df, c: F.coalesce(F.avg(metric(df, c)), F.lit(0.0)), numbers.spanish_number),
     "nunique": (lambda df, c: F.count_distinct(col(c)), _thousands),
+    "nunique_sketch": (lambda df, c: F.hll_sketch_estimate(distinct_sketch(col(c))), _thousands),
     "ratio_gt_zero": (lambda df, c: F.avg((F.coalesce(_plain(df, c), F.lit(0.0)) > 0).cast("double")) * 100,
                       numbers.percent_label),
     "ratio_true": (lambda df, c: F.avg(F.coalesce(F.lower(col(c).cast("string")).isin(*vocab.KPI_TRUE),
