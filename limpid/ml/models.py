@@ -73,7 +73,7 @@ def train_domain(data: DataFrame, label: str = "domain") -> PipelineModel:
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
         NGram(inputCol="words", outputCol="pairs", n=2),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=1 << 18),
+        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=(1 << 31) - 1),  # all terms
         IDF(inputCol="tf", outputCol="features"),
         StringIndexer(inputCol=label, outputCol="target", handleInvalid="error").setStringOrderType("alphabetAsc"),
         LogisticRegression(featuresCol="features", labelCol="target", maxIter=200, regParam=0.01),
