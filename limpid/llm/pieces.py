@@ -5,8 +5,10 @@ encoded once. Words of the same number of characters advance together. Candidate
 substrings among the sorted hashes of all pieces.
 
 * Unigram vocabularies: Viterbi. At each position the best of all pieces that end there is kept with a backpointer.
-* Merge vocabularies (BPE), whose scores only rank merges: the best path of a Viterbi search is not what their encoder
-  gives, so in every round each word's best adjacent pair is merged, until no pair is a piece.
+* Merge vocabularies (BPE) have no probabilities, their scores only rank pieces by frequency. Zipf's law makes probabilities
+  of ranks, and with them such a vocabulary is encoded by Viterbi as well: ``likely=True``.
+* What the encoder of a merge vocabulary gives is not the best path of any such search. For its ids each word's best
+  adjacent pair is merged in every round, until no pair is a piece: ``likely=False``.
 """
 
 from __future__ import annotations
@@ -84,9 +86,13 @@ class Prefixes:
 
 
 class Vocabulary:
-    """The pieces of a model file."""
+    """The pieces of a model file.
 
-    def __init__(self, data: bytes):
+    ``likely`` reads a merge vocabulary as a unigram one: the piece of rank r, counted from 0, has a probability in
+    proportion to 1 / (r + 1). It changes nothing in a unigram vocabulary, whose scores are log probabilities.
+    """
+
+    def __init__(self, data: bytes, likely: bool = False):
         pieces, self.kind, self.byte_fallback, self.prefix, self.squeeze, charsmap, escape = [], UNIGRAM, False, True, True, b"", True
         for number, value in fields(data):
             if number == 1:
@@ -106,6 +112,10 @@ class Vocabulary:
                     escape = bool(v) if n == 5 else escape
         if charsmap or not escape or self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and merge vocabularies that leave characters as they are")
+        if likely and self.kind == BPE:
+            self.kind = UNIGRAM
+            total = np.log(sum(1 / (1 - s) for t, s, k in pieces if k in (NORMAL, USER) and t))
+            pieces = [(t, float(-np.log(1 - s) - total) if k in (NORMAL, USER) else s, k) for t, s, k in pieces]
         self.size = len(pieces)
         usable = [(i, t.replace(MARK, " "), s) for i, (t, s, k) in enumerate(pieces) if k in (NORMAL, USER) and t]
         if any(" " in t.lstrip(" ") for _, t, _ in usable):
@@ -243,8 +253,8 @@ class Vocabulary:
             ids[unknown] = self.byte_ids[raw[byte[unknown]]]
         return ids, np.bincount(whose, n, len(at)).astype(np.int64)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of them for each). Null and empty texts have none."""
+    def cut(self, texts: pa.Array) -> tuple[Spans, np.ndarray, np.ndarray]:
+        """The words of the texts, for each the number of a distinct one, and where these stand."""
         pc = pa.compute
         texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
         if self.squeeze:
@@ -252,7 +262,14 @@ class Vocabulary:
         if self.prefix:
             texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
         spans = Spans(texts)
-        codes, at = spans.distinct()
+        return spans, *spans.distinct()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of them for each). Null and empty texts have none."""
+        return self.joined(*self.cut(texts))
+
+    def joined(self, spans: Spans, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of texts that are cut. Both readings of a model file cut alike."""
         ids, n = self.words(spans, at)
         begin = np.cumsum(n) - n
         count = n[codes] if len(codes) else np.zeros(0, np.int64)
@@ -275,22 +292,22 @@ class Vocabulary:
         return [x[1:] if self.prefix and x[:1] == b" " else x for x in out]
 
 
-_LOADED: dict[str, Vocabulary] = {}
+_LOADED: dict[tuple[str, bool], Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, likely: bool = False) -> Vocabulary:
     """The vocabulary of this worker process."""
-    if path not in _LOADED:
+    if (path, likely) not in _LOADED:
         with open(path, "rb") as f:
-            _LOADED[path] = Vocabulary(f.read())
-    return _LOADED[path]
+            _LOADED[path, likely] = Vocabulary(f.read(), likely)
+    return _LOADED[path, likely]
 
 
-def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids of every row; null and empty texts have no ids."""
+def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", likely: bool = False) -> DataFrame:
+    """doc_id and ids of every row; null and empty texts have no ids. ``likely``: by Viterbi whatever the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
-            ids, n = vocabulary(path).encode(part.column("text"))
+            ids, n = vocabulary(path, likely).encode(part.column("text"))
             ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -308,18 +325,28 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row, after encoding and decoding it: doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers),
-    n_bytes of the decoded text, and whether it is the text again."""
+    """Per row, after encoding it by Viterbi and decoding the ids: doc_id, n_tokens, ids_crc32 (of the ids as little-endian
+    32-bit integers), n_bytes of the decoded text, and whether it is the text again (same). The columns merge_tokens,
+    merge_crc32 and merge_same tell the same of the ids that the vocabulary's own encoder gives.
+
+    Null and empty texts have no tokens. Rows without a key and repeated rows are rows like any other.
+    """
+    def digest(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        edges, wide = np.append(0, np.cumsum(n)).tolist(), ids.astype("<u4")
+        return pa.array([zlib.crc32(wide[a:b]) for a, b in zip(edges, edges[1:])], pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
-            words = vocabulary(path)
-            ids, n = words.encode(part.column("text"))
-            back = words.decode(ids, n)
-            edges = np.append(0, np.cumsum(n)).tolist()
-            wide = ids.astype("<u4")
-            same = [x == (t.as_buffer().to_pybytes() if t.is_valid else b"") for x, t in zip(back, part.column("text"))]
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array(n, pa.int64()), pa.array([zlib.crc32(wide[a:b]) for a, b in zip(edges, edges[1:])], pa.int64()),
-                pa.array([len(x) for x in back], pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "same"])
+            best, merged = vocabulary(path, True), vocabulary(path)
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text")]
+            cut = best.cut(part.column("text"))
+            out = [part.column("doc_id")]
+            for words in (best, merged):
+                ids, n = words.joined(*cut)
+                back = words.decode(ids, n)
+                out += [pa.array(n, pa.int64()), digest(ids, n)]
+                out += [pa.array([len(x) for x in back], pa.int64())] if words is best else []
+                out.append(pa.array([x == t for x, t in zip(back, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "same", "merge_tokens", "merge_crc32", "merge_same"])
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, same boolean")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, same boolean, merge_tokens long, merge_crc32 long, merge_same boolean")

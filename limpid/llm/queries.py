@@ -62,7 +62,7 @@ def write_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_sentencepiece")
 def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    """Encodes every document, decodes the ids and says whether that gives the text again."""
+    """Encodes every document by Viterbi, and by merges, decodes the ids and says whether that gives the text again."""
     return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
