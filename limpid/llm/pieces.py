@@ -130,6 +130,8 @@ class Vocabulary:
         keys = Prefixes(data)(np.append(0, ends[:-1]).astype(np.int64), ends.astype(np.int64)) if usable else np.zeros(0, np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
+        self.leading = np.zeros(1 << 20, bool)  # what some key begins with, in its first 20 bits
+        self.leading[self.keys >> np.uint64(44)] = True
         self.ids = np.array([i for i, _, _ in usable], np.uint32)[order]
         self.scores = np.array([s for _, _, s in usable], np.float32)[order]
         self.longest = max((len(t) for _, t, _ in usable), default=1)
@@ -142,29 +144,35 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Position of each hash among the keys, -1 where it is no piece."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+        out = np.full(hashes.shape, -1, np.int64)
+        maybe = np.flatnonzero(self.leading[hashes >> np.uint64(44)])
+        some = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == some, at, -1)
+        return out
 
     def _viterbi(self, hashes: Prefixes, edge: np.ndarray) -> np.ndarray:
         """Character boundaries (rows of equal length) to a mask of the boundaries that the best path uses."""
         rows, last = edge.shape[0], edge.shape[1] - 1
-        best = np.full((rows, last + 1), -np.inf, np.float64)
-        best[:, 0] = 0
-        back = np.zeros((rows, last + 1), np.int32)
+        edge = np.ascontiguousarray(edge.T)  # by boundary: what stands together is read together
+        sums, down = hashes.sums[edge], hashes.down[edge]
+        best = np.full((last + 1, rows), -np.inf, np.float64)
+        best[0] = 0
+        back = np.zeros((last + 1, rows), np.int32)
         for end in range(1, last + 1):
             for start in range(max(0, end - self.longest), end):
-                at = self.find(hashes(edge[:, start], edge[:, end]))
-                score = np.where(at >= 0, self.scores[at], self.worst if end - start == 1 else -np.inf)
-                total = best[:, start] + score
-                better = total > best[:, end]
-                best[better, end] = total[better]
-                back[better, end] = start
+                at = self.find(mix((sums[end] - sums[start]) * down[start] + (edge[end] - edge[start]).astype(np.uint64)))
+                row = np.flatnonzero(at >= 0) if end - start > 1 else np.arange(rows)
+                total = best[start][row] + np.where(at[row] >= 0, self.scores[at[row]], self.worst)
+                better = total > best[end][row]
+                best[end][row[better]] = total[better]
+                back[end][row[better]] = start
         used = np.zeros((rows, last + 1), bool)
         at, row = np.full(rows, last), np.arange(rows)
         used[:, 0] = True
         while (at > 0).any():
             used[row, at] = True
-            at = back[row, at]
+            at = back[at, row]
         return used
 
     def _merge(self, hashes: Prefixes, edge: np.ndarray) -> np.ndarray:
