@@ -10,6 +10,9 @@
    when all sets in it are already connected with the one that is searched.
 4. A family too large for a task is first joined with its most central sets; what those do not reach is put in trees of
    bounded size that all of the family search.
+
+With ``links`` every link is seen: no branch is left because it is connected already, and a branch whose sets all link,
+whatever follows, is counted as one. All of a large family goes into the trees of bounded size then.
 """
 
 from __future__ import annotations
@@ -214,10 +217,13 @@ class Forest:
 class Node:
     """A run of tokens, the sets that end here, and the runs that follow."""
 
-    __slots__ = ("tokens", "children", "ends", "least", "most", "longest", "one")
+    __slots__ = ("tokens", "children", "ends", "least", "most", "longest", "one", "array", "rows", "extra")
 
     def __init__(self, tokens: list[int]):
         self.tokens, self.children, self.ends = tokens, {}, []
+        self.array = None  # the tokens in numpy, made when a search first passes a long run
+        self.rows = 0  # of all sets from here on
+        self.extra = 0  # links that all sets from here on have, beside those counted further down
         self.least, self.most = 1 << 62, 0  # set sizes from here on
         self.longest = 0  # tokens from the start of this run to the farthest end
         self.one = None  # a number of the only component that all sets from here on are in, if that is known
@@ -228,9 +234,11 @@ class PrefixTree:
 
     def __init__(self, forest: Forest):
         self.root, self.forest = Node([]), forest
+        self.owed: list[int] = []  # links of each inserted set, without the ``extra`` of the nodes above it
 
-    def insert(self, number: int, size: int, tokens: list[int]) -> None:
-        node, at = self.root, 0
+    def insert(self, number: int, size: int, tokens: list[int], rows: int = 1, links: int = 0) -> None:
+        """Adds a set that stands for some rows and has these links already; what nodes got before is not its own."""
+        node, at, place = self.root, 0, len(self.owed)
         while True:
             run = node.tokens
             same = 0
@@ -240,29 +248,32 @@ class PrefixTree:
             if same < len(run):  # the run parts here
                 rest = Node(run[same:])
                 rest.children, rest.ends, rest.least, rest.most, rest.one = node.children, node.ends, node.least, node.most, node.one
-                rest.longest = node.longest - same
-                node.tokens, node.children, node.ends = run[:same], {rest.tokens[0]: rest}, []
+                rest.longest, rest.rows = node.longest - same, node.rows
+                node.tokens, node.children, node.ends, node.array = run[:same], {rest.tokens[0]: rest}, [], None
             node.least, node.most, node.one = min(node.least, size), max(node.most, size), None
+            node.rows += rows
+            links -= node.extra
             node.longest = max(node.longest, len(tokens) - at)
             at += same
             if at == len(tokens):
-                node.ends.append((number, size))
-                return
+                node.ends.append((number, size, place, rows))
+                break
             if tokens[at] not in node.children:
                 leaf = Node(tokens[at:])
                 leaf.least = leaf.most = size
-                leaf.longest = len(tokens) - at
-                leaf.ends.append((number, size))
+                leaf.longest, leaf.rows = len(tokens) - at, rows
+                leaf.ends.append((number, size, place, rows))
                 node.children[tokens[at]] = leaf
-                return
+                break
             node = node.children[tokens[at]]
+        self.owed.append(links)
 
     def _single(self, node: Node) -> int | None:
         """The only component from this node on, or None. A number that is kept stays right: components only grow."""
         if node.one is not None:
             return self.forest.find(node.one)
         seen = None
-        for number, _ in node.ends:
+        for number, *_ in node.ends:
             c = self.forest.find(number)
             if seen is not None and c != seen:
                 return None
@@ -302,7 +313,7 @@ class PrefixTree:
                     break
             if dead:
                 continue
-            for other, n in node.ends:
+            for other, n, *_ in node.ends:
                 if NUMERATOR * overlap >= DENOMINATOR * (size + n) and forest.find(other) != forest.find(number):
                     forest.union(other, number)
                     found.append(other)
@@ -311,6 +322,152 @@ class PrefixTree:
         return found
 
 
+class CountingTree(PrefixTree):
+    """A prefix tree that counts links. Tokens are numbered in the order of their arrival."""
+
+    #: Longer runs are passed in numpy.
+    SHORT = 24
+
+    def __init__(self, forest: Forest):
+        super().__init__(forest)
+        self.numbers: dict[int, int] = {}
+        self.mark = np.zeros(1024, np.int32)  # by token: one more than its place in the searched set, else 0
+
+    def numbered(self, data: pa.Scalar) -> list[int]:
+        numbers = self.numbers
+        tokens = [numbers.setdefault(t, len(numbers)) for t in np.frombuffer(data.as_buffer(), np.uint64).tolist()]
+        if len(numbers) > len(self.mark):
+            self.mark = np.zeros(2 * len(numbers), np.int32)
+        return tokens
+
+    def _connect(self, node: Node, number: int) -> list[int]:
+        """Connects all sets from a node on with a number; the components that were apart from it."""
+        forest, stack, found = self.forest, [node], []
+        while stack:
+            node = stack.pop()
+            only = self._single(node)
+            apart = [only] if only is not None else [other for other, *_ in node.ends]
+            for other in apart:
+                if forest.find(other) != forest.find(number):
+                    found.append(other)
+                    forest.union(other, number)
+            if only is None:
+                stack.extend(node.children.values())
+            node.one = number
+        return found
+
+    def count(self, number: int, size: int, tokens: list[int], rows: int = 0) -> tuple[int, list[int]]:
+        """(rows of the tree that link with a set, components it was connected with by that). Every set found has ``rows``
+        more links from now on."""
+        length, links, found, mark = len(tokens), 0, [], self.mark
+        place = {t: i for i, t in enumerate(tokens, 1)}
+        mark[tokens] = np.arange(1, length + 1)
+        stack = [(self.root, 0, 0)]  # node, overlap so far, tokens of the searched set that are passed
+        while stack:
+            node, overlap, passed = stack.pop()
+            if 5 * node.most < 4 * size or 4 * node.least > 5 * size:
+                continue
+            need = -(-DENOMINATOR * (size + node.least) // NUMERATOR)
+            if overlap + min(node.longest, length - passed) < need:
+                continue
+            run = node.tokens
+            if len(run) <= self.SHORT:
+                for t in run:
+                    i = place.get(t)
+                    if i is not None:
+                        overlap += 1
+                        passed = i
+            else:
+                if node.array is None:
+                    node.array = np.array(run, np.int32)
+                met = mark[node.array]
+                both = int(np.count_nonzero(met))
+                if both:
+                    overlap += both
+                    passed = int(met.max())
+            if overlap + min(node.longest - len(run), length - passed) < need:
+                continue
+            if NUMERATOR * overlap >= DENOMINATOR * (size + node.most):  # whatever follows
+                links += node.rows
+                node.extra += rows
+                found += self._connect(node, number)
+                continue
+            for other, n, at, more in node.ends:
+                if NUMERATOR * overlap >= DENOMINATOR * (size + n):
+                    links += more
+                    self.owed[at] += rows
+                    if self.forest.find(other) != self.forest.find(number):
+                        self.forest.union(other, number)
+                        found.append(other)
+            for child in node.children.values():
+                stack.append((child, overlap, passed))
+        mark[tokens] = 0
+        return links, found
+
+    def links(self) -> list[int]:
+        """Links of all inserted sets, in the order of their arrival."""
+        out, stack = list(self.owed), [(self.root, 0)]
+        while stack:
+            node, extra = stack.pop()
+            extra += node.extra
+            for _, _, at, _ in node.ends:
+                out[at] += extra
+            stack.extend((child, extra) for child in node.children.values())
+        return out
+
+
+def _count_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (family, id, tag, n, rows, shared), families together: (id, component, links). A repeated node is one."""
+    current, last, forest, tree, ids, links = None, None, Forest(), None, [], []
+
+    def result() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([forest.find(i) for i in ids], pa.int64()), pa.array(links, pa.int64())],
+                                          ["id", "component", "links"])
+
+    for batch in batches:
+        for family, i, tag, n, rows, data in zip(*(batch.column(c).to_pylist() for c in ("family", "id", "tag", "n", "rows")), batch.column("shared")):
+            if family != current:
+                links += tree.links() if tree else []
+                if len(ids) > 5000:
+                    yield result()
+                    forest, ids, links = Forest(), [], []
+                current, tree = family, CountingTree(forest)
+            elif (i, tag) == last:
+                continue
+            last = (i, tag)
+            tokens = tree.numbered(data)
+            tree.insert(i, n, tokens, rows, tree.count(i, n, tokens, rows)[0])
+            ids.append(i)
+    if ids:
+        links += tree.links()
+        yield result()
+
+
+def _search_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, kind, id, tag, n, rows, inside, shared): sets of kind 0 make a tree, those of kind 1 search it, ``inside``
+    when they are in it themselves: (a, b, links), with a link between two ids or, for each search, an id twice and its count."""
+    current, last, tree = None, None, None
+    for batch in batches:
+        left, right, links = [], [], []
+        for task, kind, i, tag, n, rows, inside, data in zip(*(batch.column(c).to_pylist() for c in ("task", "kind", "id", "tag", "n", "rows", "inside")), batch.column("shared")):
+            if task != current:
+                current, last, tree = task, None, CountingTree(Forest())
+            if (kind, i, tag) == last:
+                continue
+            last = (kind, i, tag)
+            tokens = tree.numbered(data)
+            if not kind:
+                tree.insert(i, n, tokens, rows)
+                continue
+            count, found = tree.count(i, n, tokens)
+            if inside and NUMERATOR * len(tokens) >= DENOMINATOR * 2 * n:  # it has met itself
+                count -= rows
+            left += [i] * (len(found) + 1)
+            right += [*found, i]
+            links += [0] * len(found) + [count]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"])
+
+
 def _join_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (family, id, n, shared), families together: (id, component)."""
     current, forest, tree, ids = None, Forest(), None, []
@@ -393,18 +550,36 @@ def _hot_links(hot: DataFrame, rounds: int = 3) -> DataFrame:
     return found.unionByName(more)
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles (size of the set) and component_id, the smallest key reachable by links.
+def _hot_counts(hot: DataFrame) -> DataFrame:
+    """(id, component, links) of families of rows (family, id, tag, n, size, rows, shared) that are too large for a task.
+
+    A family of k times ``FAMILY_SHINGLES`` makes k trees, and each is built in k tasks, for a k-th of the family to search.
+    """
+    trees = materialize(hot.groupBy("family").agg(F.ceil(F.sum("size") / FAMILY_SHINGLES).cast("int").alias("trees")), "trees")
+    rows = hot.join(skew.few(trees), "family").withColumn("own", F.pmod(F.xxhash64("id", "tag"), F.col("trees")))
+    each = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
+    into = rows.select("*", F.col("own").alias("tree"), each.alias("share"), F.lit(0).alias("kind"))
+    search = rows.select("*", each.alias("tree"), F.pmod(F.xxhash64("id", "tag", F.lit(1)), F.col("trees")).alias("share"), F.lit(1).alias("kind"))
+    work = into.unionByName(search).select(F.concat_ws("/", "family", "tree", "share").alias("task"), "kind", "id", "tag", "n", "rows", (F.col("own") == F.col("tree")).alias("inside"), "shared")
+    found = work.repartition("task").sortWithinPartitions("task", "kind", "id", "tag").mapInArrow(_search_counted, "a long, b long, links long")
+    found = materialize(found, "hot-links")
+    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    return counts.join(components(found), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "links")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+    """Per row: key, n_shingles (size of the set) and component_id, the smallest key reachable by links; with ``links``
+    n_links as well, the number of other rows that the row links with, equal texts among them.
 
     A null text, like one without words, has an empty set, n_shingles 0, and links with nothing. Rows of equal text, A-Z
-    lower-cased, are linked if the set is not empty. Rows that repeat a key are one node of the graph. Rows without a
-    key link with nothing and have null in component_id.
+    lower-cased, are linked if the set is not empty. Rows that repeat a key are one node of the graph, and each has the
+    links of all their texts. Rows without a key link with nothing, have null in component_id and are counted nowhere.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2(normalized("text"), 256)))
     tag = F.xxhash64("sha")
     facts = materialize(rows.select("id", "sha", F.octet_length("text").alias("bytes")), "facts")
     total, bytes_ = facts.agg(F.count("*"), F.sum("bytes")).first()
-    copies = materialize(facts.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1"), "copies")
+    copies = materialize(facts.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.count("id").alias("keyed")).filter("rows > 1"), "copies")
     members = materialize(skew.join_groups(facts.drop("bytes"), copies, "sha", "rows", total).withColumn("rep", F.coalesce("rep", "id")).drop("rows"), "members")
     spare = materialize(members.filter("id is not null and id <> rep").select("id", tag.alias("tag")).distinct(), "spare")
     single = skew.without(rows.withColumn("tag", tag), spare, ["id", "tag"])
@@ -420,21 +595,34 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sized = sets.select("id", "size").join(family, "id").groupBy("family").agg(F.sum("size").alias("total"))
     large = materialize(sized.filter(F.col("total") > FAMILY_SHINGLES).select("family"), "large")
 
-    met = sets.join(family, "id")
-    ordinary = met.join(F.broadcast(large), "family", "left_anti").select("family", "id", "n", "shared")
-    joined = ordinary.repartition("family").sortWithinPartitions("family", "n", "id").mapInArrow(_join_families, "id long, component long")
-    if large.limit(1).count():
-        hot = materialize(met.join(F.broadcast(large), "family"), "hot")
-        joined = joined.unionByName(components(_hot_links(hot)))
-    joined = materialize(joined.groupBy("id").agg(F.min("component").alias("component")), "joined")
+    if links:
+        classes = copies.filter("rep is not null").select(F.col("rep").alias("id"), tag.alias("tag"), F.col("keyed").alias("rows"))
+        placed = sets.select("id", "tag").distinct().join(family, "id").join(classes, ["id", "tag"], "left").fillna(1, ["rows"])
+        met = sets.join(materialize(placed, "placed"), ["id", "tag"])
+        ordinary = skew.without(met, large, "family").select("family", "id", "tag", "n", "rows", "shared")
+        joined = ordinary.repartition("family").sortWithinPartitions("family", "n", "id", "tag").mapInArrow(_count_families, "id long, component long, links long")
+        if large.limit(1).count():
+            joined = joined.unionByName(_hot_counts(materialize(met.join(skew.few(large), "family"), "hot")))
+    else:
+        met = sets.join(family, "id")
+        ordinary = skew.without(met, large, "family").select("family", "id", "n", "shared")
+        joined = ordinary.repartition("family").sortWithinPartitions("family", "n", "id").mapInArrow(_join_families, "id long, component long")
+        if large.limit(1).count():
+            hot = materialize(met.join(skew.few(large), "family"), "hot")
+            joined = joined.unionByName(components(_hot_links(hot)))
+        joined = joined.withColumn("links", F.lit(0))
+    joined = materialize(joined.groupBy("id").agg(F.min("component").alias("component"), F.sum("links").alias("links")), "joined")
 
     # Back from nodes to rows. A node without links is its own component; so is each row with an empty set.
     size = nodes.select("id", "tag", "n").distinct()
     out = members.withColumn("tag", tag).join(size.withColumnRenamed("id", "rep"), ["rep", "tag"], "left")
     out = out.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     alone = F.coalesce(F.col("n"), F.lit(0)) == 0
+    alone = alone | F.col("id").isNull()
+    own = F.coalesce("links", F.lit(0)) + F.coalesce("keyed", F.lit(1)) - 1
     return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-                      F.when(alone | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+                      F.when(alone, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
+                      *[F.when(alone, 0).otherwise(own).cast("long").alias("n_links")] * links)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

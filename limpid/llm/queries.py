@@ -68,7 +68,7 @@ def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_jaccard_join")
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dup.jaccard_components(table(spark, folder, "documents"))
+    return near_dup.jaccard_components(table(spark, folder, "documents"), links=True)
 
 
 @query("op4_recurrent_lm")

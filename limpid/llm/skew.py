@@ -22,6 +22,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A staged table of short rows, to be broadcast if it has few of them."""
+    return F.broadcast(table) if table.count() <= FEW_KEYS else table
+
+
 def without(rows: DataFrame, lost: DataFrame, on: str | list[str] | Column) -> DataFrame:
     """``rows`` that match none of ``lost``, a staged table of keys, which is broadcast if it is small."""
-    return rows.join(F.broadcast(lost) if lost.count() <= FEW_KEYS else lost, on, "left_anti")
+    return rows.join(few(lost), on, "left_anti")

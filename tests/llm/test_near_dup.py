@@ -34,6 +34,25 @@ def brute_force(rows):
     return {i: (len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows)}
 
 
+def brute_links(rows):
+    """[number of other rows that link with each row]."""
+    sets, where, out = [plain_shingles(t) for _, t in rows], defaultdict(list), [0] * len(rows)
+    for k, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in where[x]).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                out[k] += 1
+                out[j] += 1
+        for x in s:
+            where[x].append(k)
+    return out
+
+
+def counted(table):
+    """As ``found``, and {key: number of links}."""
+    rows = near_dup.jaccard_components(table, links=True).collect()
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}, {r["doc_id"]: r["n_links"] for r in rows}
+
+
 def found(table):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.jaccard_components(table).collect()}
 
@@ -60,14 +79,18 @@ def families(seed=1, n=40, members=14, words=260):
 
 def test_components_match_brute_force(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    assert found(docs) == brute_force(rows)
+    want = brute_force(rows)
+    assert found(docs) == want
+    assert counted(docs) == (want, dict(zip([i for i, _ in rows], brute_links(rows))))
 
 
 def test_families_match_brute_force(spark):
     rows = families()
     want = brute_force(rows)
     assert len({c for _, c in want.values()}) < len(rows) * 0.8
-    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(table) == want
+    assert counted(table) == (want, dict(zip([i for i, _ in rows], brute_links(rows))))
 
 
 @pytest.mark.parametrize("limit", [1, 200, 2000])
@@ -77,7 +100,26 @@ def test_large_families_match_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(near_dup, "RANGE_SHINGLES", 100)
     monkeypatch.setattr(near_dup.skew, "FEW_KEYS", 0)
     rows = families(seed=limit + 1, n=8, members=40)
-    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_force(rows)
+    rows += [(10_000 + i, t) for i, (_, t) in enumerate(rows[::5])]  # equal texts count as links
+    table, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), brute_force(rows)
+    assert found(table) == want
+    assert counted(table) == (want, dict(zip([i for i, _ in rows], brute_links(rows))))
+
+
+def test_links_of_trees(monkeypatch):
+    """Counts of sets that come in any order, by runs passed in numpy and token by token."""
+    r = random.Random(9)
+    for short in (0, 3, 24):
+        monkeypatch.setattr(near_dup.CountingTree, "SHORT", short)
+        for _ in range(150):
+            sets = [sorted(r.sample(range(30), r.randint(20, 28))) for _ in range(r.randint(1, 25))]
+            rows, tree = [r.randint(1, 3) for _ in sets], near_dup.CountingTree(near_dup.Forest())
+            for i, s in enumerate(sets):
+                tokens = tree.numbered(pa.scalar(np.array(s, np.uint64).tobytes()))
+                tree.insert(i, len(s), tokens, rows[i], tree.count(i, len(s), tokens, rows[i])[0])
+            linked = [[9 * len(set(a) & set(b)) >= 4 * (len(a) + len(b)) and i != j for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+            assert tree.links() == [sum(w for x, w in zip(line, rows) if x) for line in linked]
+            assert all(tree.forest.find(i) == tree.forest.find(j) for i, line in enumerate(linked) for j, x in enumerate(line) if x)
 
 
 def test_threshold_is_exact(spark):
@@ -94,7 +136,14 @@ def test_odd_tables(odd, none):
     assert {r["component_id"] for r in rows if r["doc_id"] is None} == {None}
     keyed = {r["doc_id"]: r["text"] for r in odd.filter("doc_id is not null").collect()}
     assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == {i: c for i, (_, c) in brute_force(list(keyed.items())).items()}
+    again = near_dup.jaccard_components(odd, links=True).collect()
+    assert sorted(map(str, (r[:3] for r in again))) == sorted(map(str, (r[:] for r in rows)))
+    listed = [(r["doc_id"], r["text"]) for r in odd.filter("doc_id is not null").collect()]
+    times, links = Counter(i for i, _ in listed), dict(zip([i for i, _ in listed], brute_links(listed)))
+    assert {r["doc_id"]: r["n_links"] for r in again if times[r["doc_id"]] == 1} == {i: n for i, n in links.items() if times[i] == 1}
+    assert {r["n_links"] for r in again if r["doc_id"] is None} == {0}
     assert near_dup.jaccard_components(none).collect() == []
+    assert near_dup.jaccard_components(none, links=True).collect() == []
     assert near_dup.one_of_each(none).collect() == []
 
 
