@@ -58,3 +58,17 @@ def with_row_number(df: DataFrame, order: list[Column], name: str = "row") -> Da
     offsets = F.broadcast(sums_before(sizes, part, "n", name=before).drop("n"))
     kept = [col(c) for c in df.columns if c != name]
     return staged.join(offsets, part).select(*kept, (F.col(before) + F.col(at)).alias(name))
+
+
+def running_sums(df: DataFrame, order: list[Column], value: str, name: str = "sum") -> DataFrame:
+    """``df``, staged, with the sum of ``value``, a column without nulls, over all rows up to and with its own in ``order``.
+
+    Sums run inside blocks of ``BLOCK`` rows, and what earlier blocks hold is added. Equal rows may come in any order.
+    """
+    place, block, size, before = free_names([*df.columns, name], "place", "block", "size", "before")
+    placed = with_row_number(df, order, place).withColumn(block, F.floor(col(place) / BLOCK))
+    inside = Window.partitionBy(col(block)).orderBy(col(place)).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = sums_before(placed.groupBy(block).agg(F.sum(col(value)).alias(size)), block, size, name=before).drop(size)
+    kept = [col(c) for c in df.columns if c != name]
+    summed = placed.withColumn(size, F.sum(col(value)).over(inside))
+    return summed.join(earlier, block).select(*kept, (col(size) + col(before)).alias(name))
