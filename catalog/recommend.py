@@ -13,7 +13,7 @@ from catalog.dirt import auto_sql, date_sql, relaxed_sql
 from limpid import vocab
 from limpid.functions import text
 from limpid.ml import features, models
-from limpid.operators import guard
+from limpid.operators import guard, information
 from limpid.operators.charts import run_chart
 from limpid.plans import dashboard, objectives, roles, semantics, spec
 from limpid.plans.run import run
@@ -180,6 +180,47 @@ def _(t: Tables):
     return found.select("column", F.round("entropy", 6).alias("entropy"), F.round("relation", 6).alias("relation"))
 
 
+def _psi(n):
+    z = f"({n} + 6.0)"
+    back = " + ".join(f"1.0 / ({n} + {i})" for i in range(6))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z}^2) + 1 / (120 * {z}^4) - 1 / (252 * {z}^6) - ({back}))"
+
+
+def _information_sql(table, dims, metric):
+    beside = ", ".join(f"abs(x - {f}(x, {i}) over w)" for f in ("lag", "lead") for i in (1, 2, 3))
+    rows = " union all ".join(f"select '{d}' as c, {d}::varchar as d, {metric}::double as x from {table}" for d in dims)
+    return f"""
+    with r as (select row_number() over () as id, c, d, x, count(*) over (partition by c, d) as size from ({rows}) where x is not null),
+    k as (select c, x, size, least(3, size - 1) as near, list_sort([{beside}], 'ASC', 'NULLS LAST') as far
+      from r where size > 1 window w as (partition by c, d order by x, id)),
+    t as (select c, x, size, near, x + far[near] as hi, x - far[near] as lo from k),
+    v as (select c, x, sum(count(*)) over (partition by c order by x) as upto from t group by c, x),
+    m as (select t.*, abs(coalesce(a.upto, 0) - coalesce(b.upto, 0)) as within
+      from t asof left join v a on t.c = a.c and t.hi > a.x asof left join v b on t.c = b.c and t.lo >= b.x)
+    select c as "column", count(*) as rows,
+      round(greatest(0, {_psi('count(*)')} + avg({_psi('near')} - {_psi('size')} - {_psi('within')})), 6) as information from m group by c"""
+
+
+def _information(df, dims, metric):
+    found = information.mutual_information(df, dims, metric)
+    return found.select("column", "rows", F.round("information", 6).alias("information"))
+
+
+@query("mutual_info", _information_sql("orders", ("o_orderstatus", "o_orderpriority", "year(o_orderdate)"), "o_totalprice").replace("'year(o_orderdate)'", "'year'"))
+def _(t: Tables):
+    return _information(t.orders.withColumn("year", F.year("o_orderdate")), ["o_orderstatus", "o_orderpriority", "year"], "o_totalprice")
+
+
+@query("mutual_info_ties", _information_sql("lineitem", ("l_returnflag", "l_linestatus", "l_discount"), "l_quantity"))
+def _(t: Tables):
+    return _information(t.lineitem, ["l_returnflag", "l_linestatus", "l_discount"], "l_quantity")
+
+
+@query("mutual_info_gaps", _information_sql("dirty_orders", ("status", "prioridad", "cliente"), "precio"))
+def _(t: Tables):
+    return _information(t.dirty_orders, ["status", "prioridad", "cliente"], "precio")
+
+
 @query("amount_discovery", f"""
     select l_orderkey, l_linenumber, round({auto_sql('unit_price')} * {auto_sql('cantidad')}, 4) as amount from dirty_lines""")
 def _(t: Tables):
