@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from catalog import Tables, query
-from catalog.dirt import auto_sql, date_sql, relaxed_sql
+from catalog.dirt import VIEWS, auto_sql, date_sql, relaxed_sql
 from limpid import vocab
 from limpid.functions import text
 from limpid.ml import features, models
@@ -57,7 +57,18 @@ def _(t: Tables):
     return t.headers.select("p_partkey", roles.profile_name_role(F.col("header")).alias("role"))
 
 
-@query("infer_role_values")
+def _profile_role_sql(c):
+    return f"""select '{c}' as "column", coalesce(
+      case when {_has(('fecha', 'date', 'fcha'))} then 'fecha' when {_has(('monto', 'importe', 'amount', 'total'))} then 'monto'
+        when {_has(('moneda', 'currency'))} then 'moneda' when {_has(('id_', 'id-', 'id '))} or starts_with(n, 'id') then 'id'
+        when {_has(('bool', 'flag', 'activo', 'enable'))} then 'bool' when {_has(('cat', 'tipo', 'segmento', 'grupo', 'clase'))} then 'categoría' end,
+      case when known = 0 then 'texto' when dates >= 0.7 * known then 'fecha' when numbers >= 0.8 * known then 'numérico'
+        when bools >= 0.9 * known then 'bool' else 'texto' end) as role
+      from (select '{c}' as n, count(v) as known, count({date_sql('v')}) as dates, count({relaxed_sql('trim(v)')}) as numbers,
+        count(case when lower(trim(v)) in {BOOLS} then 1 end) as bools from (select {c}::varchar as v from dirty_orders))"""
+
+
+@query("infer_role_values", " union all ".join(map(_profile_role_sql, VIEWS["dirty_orders"][1])))
 def _(t: Tables):
     found = roles.profile_roles(t.dirty_orders)
     return t.spark.createDataFrame(list(found.items()), "column string, role string")
