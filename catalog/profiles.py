@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog import Tables, query
 from catalog.dirt import date_sql, money_sql
+from limpid import vocab
 from limpid.operators import frequency, outliers, profile
+from limpid.operators.quantiles import exact_quantiles
 
 NUMERIC = ("o_totalprice", "o_custkey")
 
@@ -194,6 +196,26 @@ def _(t: Tables):
     return flagged
 
 
+@query("isolation_forest_planted", """
+    select count(*) + 1 as total, true as planted_flagged, cast(0 as bigint) as flags_off,
+    cast(0 as double) as cut from orders""")
+def _(t: Tables):
+    """A row far from all others is flagged, and the rows flagged are those above the quantile of the scores.
+
+    It need not have the top score: a tree that has not drawn it cannot tell it from the extreme rows it has drawn.
+    """
+    df = t.orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("client"), F.col("o_totalprice").cast("double").alias("price"))
+    far = df.agg(F.lit(-1).cast("long").alias("o_orderkey"), (F.max("client") * 20).alias("client"), (F.max("price") * 20).alias("price"))
+    flagged, _ = outliers.isolation_forest(df.unionByName(far), order_by="o_orderkey")
+    cut = exact_quantiles(flagged, {"normality": -F.col("outlier_score")}, [vocab.CONTAMINATION])["normality"][0]
+    planted = F.col("o_orderkey") == -1
+    score = F.col("outlier_score")
+    return flagged.agg(F.count(F.lit(1)).alias("total"),
+                       F.max(F.when(planted, F.col("is_outlier"))).alias("planted_flagged"),
+                       F.count_if(F.col("is_outlier") != (score > -cut)).alias("flags_off"),
+                       F.round(F.lit(abs(cut)), 9).alias("cut"))
+
+
 @query("isolation_forest_summary", """
     select count(*) as total, cast(0.05 as double) as ratio from orders""")
 def _(t: Tables):
