@@ -15,6 +15,7 @@ from limpid.functions import text
 from limpid.ml import features, models
 from limpid.operators import guard, information
 from limpid.operators.charts import run_chart
+from limpid.operators.columns import tally
 from limpid.plans import dashboard, objectives, roles, semantics, spec
 from limpid.plans.run import run
 from limpid.sources.headers import normalize_headers
@@ -465,9 +466,10 @@ def _training(t: Tables):
     parts = []
     for name in TRAINING:
         table = getattr(t, name)
-        found = semantics.infer_semantics(table).roles
+        tallied = tally(table, staged=True)
+        found = semantics.infer_semantics(table, tallied=tallied).roles
         labels = t.spark.createDataFrame(list(found.items()), "column string, role string")
-        parts.append(features.column_features(table, name).join(labels, "column"))
+        parts.append(features.column_features(table, name, tallied).join(labels, "column"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

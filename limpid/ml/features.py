@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limpid import vocab
 from limpid.functions import dates, numbers
 from limpid.functions.text import is_bool_token
-from limpid.operators.columns import cardinalities, column_dict, non_null, rows, share
+from limpid.operators.columns import PerValue, Tally, cardinalities, column_dict, counted, mean, non_null, rows, share, tally
 
 NAME_FEATURES = ("name_len", "has_id", "has_pct", "has_amt", "digits_ratio", "underscores")
 VALUE_FEATURES = ("nunique_ratio", "is_num_ratio", "money_ratio", "bool_ratio", "date_ratio", "mean_len")
@@ -36,28 +36,36 @@ def _number(v: Column, kind: T.DataType) -> Column:
     return v if numbers.is_numeric(kind) else numbers.relaxed_number(v.cast("string"))
 
 
-def _ratio(part: Column, v: Column) -> Column:
-    return F.coalesce(F.count(part) / F.nullif(F.count(v), F.lit(0)), F.lit(0.0))
+def _ratio(part: Column, v: Column, n: Column | None) -> Column:
+    return F.coalesce(counted(part, n) / F.nullif(counted(v, n), F.lit(0)), F.lit(0.0))
+
+
+def _share(flag: Column, v: Column, n: Column | None) -> Column:
+    return F.coalesce(share(flag, n), F.lit(0.0))
 
 
 VALUE_MEASURES = {
     "rows": rows,
     "non_null": non_null,
-    "is_num_ratio": lambda v, kind: _ratio(_number(v, kind), v),
-    "money_ratio": lambda v, kind: F.coalesce(share(v.cast("string").rlike(vocab.MONEY_FEATURE_PATTERN)), F.lit(0.0)),
-    "bool_ratio": lambda v, kind: F.coalesce(share(is_bool_token(v.cast("string"), vocab.BOOL_WIDE)), F.lit(0.0)),
-    "date_ratio": lambda v, kind: F.greatest(_ratio(dates.date_or_null(v, kind, dates.MONTH_FIRST), v),
-                                             _ratio(dates.date_or_null(v, kind, dates.DAY_FIRST), v)),
-    "mean_len": lambda v, kind: F.coalesce(F.avg(F.length(v.cast("string"))), F.lit(0.0)),
+    "is_num_ratio": PerValue(_number, _ratio),
+    "money_ratio": PerValue(lambda v, kind: v.cast("string").rlike(vocab.MONEY_FEATURE_PATTERN), _share),
+    "bool_ratio": PerValue(lambda v, kind: is_bool_token(v.cast("string"), vocab.BOOL_WIDE), _share),
+    "date_ratio": PerValue(lambda v, kind: F.struct(dates.date_or_null(v, kind, dates.MONTH_FIRST).alias("month"), dates.date_or_null(v, kind, dates.DAY_FIRST).alias("day")),
+                           lambda found, v, n: F.greatest(_ratio(found["month"], v, n), _ratio(found["day"], v, n))),
+    "mean_len": PerValue(lambda v, kind: F.length(v.cast("string")), lambda found, v, n: F.coalesce(mean(found, n), F.lit(0.0))),
 }
 
 
-def column_features(df: DataFrame, dataset: str = "") -> DataFrame:
-    """``(dataset, column, *name features, *value features)`` over all values of every column."""
-    facts = column_dict(df, VALUE_MEASURES)
-    counted = cardinalities(df, list(facts))
+def column_features(df: DataFrame, dataset: str = "", tallied: Tally | None = None) -> DataFrame:
+    """``(dataset, column, *name features, *value features)`` over all values of every column.
+
+    ``tallied``: a tally of the columns of ``df`` in their order, where there is one already.
+    """
+    tallied = tallied.named(df.columns) if tallied else tally(df, staged=True)
+    facts = column_dict(tallied, VALUE_MEASURES)
+    distinct = cardinalities(tallied, list(facts))
     spark = df.sparkSession
-    values = [(dataset, c, counted[c] / max(1, s["non_null"]), *(float(s[k]) for k in VALUE_FEATURES[1:]))
+    values = [(dataset, c, distinct[c] / max(1, s["non_null"]), *(float(s[k]) for k in VALUE_FEATURES[1:]))
             for c, s in facts.items()]
     fields = ", ".join(f"{k} double" for k in VALUE_FEATURES)
     table = spark.createDataFrame(values, f"dataset string, column string, {fields}")

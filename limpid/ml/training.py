@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from limpid.ml import features, models
+from limpid.operators.columns import tally
 from limpid.plans.semantics import infer_semantics
 from limpid.sources.headers import normalize_headers
 from limpid.sources.tables import load_table, training_files
@@ -22,10 +23,11 @@ def training_table(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for found in sorted(training_files(spark, folder).collect()):
         table = normalize_headers(load_table(spark, found["path"]), "semantic")
-        roles = infer_semantics(table).roles
+        tallied = tally(table, staged=True)
+        roles = infer_semantics(table, tallied=tallied).roles
         listed = [(found["path"], found["label"], i, c, roles[c]) for i, c in enumerate(table.columns)]
         listed = spark.createDataFrame(listed, "dataset string, label string, ordinal int, column string, role string")
-        parts.append(listed.join(features.column_features(table, found["path"]).drop("dataset"), "column"))
+        parts.append(listed.join(features.column_features(table, found["path"], tallied).drop("dataset"), "column"))
     if not parts:
         raise ValueError(f"no labelled files in {folder}")
     return reduce(DataFrame.unionByName, parts)

@@ -14,7 +14,7 @@ from limpid.functions import dates, numbers
 from limpid.functions.text import is_bool_token
 from limpid.ml import features, models
 from limpid.operators.cells import col
-from limpid.operators.columns import screened_cardinalities, column_dict, estimate, non_null, rows, share
+from limpid.operators.columns import PerValue, Tally, column_dict, counted, estimate, non_null, rows, screened_cardinalities, share_of, tally
 from limpid.plans.roles import domain
 from limpid.sources.headers import normalize_headers
 
@@ -94,25 +94,26 @@ VALUE_EVIDENCE = {
     "rows": rows,
     "non_null": non_null,
     "estimate": estimate,
-    "days": lambda v, kind: F.count(dates.date_or_null(v, kind, dates.DAY_FIRST)),
-    "money": lambda v, kind: share(numbers.names_currency(v.cast("string"))),
-    "bools": lambda v, kind: share(is_bool_token(v.cast("string"), vocab.BOOL_WIDE)),
-    "numbers": lambda v, kind: F.coalesce(F.count(_number(v, kind)) / F.nullif(F.count(v), F.lit(0)), F.lit(0.0)),
-    "percents": lambda v, kind: share(numbers.is_percent(v.cast("string"))),
-    "latitudes": lambda v, kind: share(numbers.in_latitude(_number(v, kind))),
-    "longitudes": lambda v, kind: share(numbers.in_longitude(_number(v, kind))),
-    "codes": lambda v, kind: share(numbers.looks_code(v.cast("string"))),
+    "days": PerValue(lambda v, kind: dates.date_or_null(v, kind, dates.DAY_FIRST), lambda found, v, n: counted(found, n)),
+    "money": share_of(lambda v, kind: numbers.names_currency(v.cast("string"))),
+    "bools": share_of(lambda v, kind: is_bool_token(v.cast("string"), vocab.BOOL_WIDE)),
+    "numbers": PerValue(_number, lambda found, v, n: F.coalesce(counted(found, n) / F.nullif(counted(v, n), F.lit(0)), F.lit(0.0))),
+    "percents": share_of(lambda v, kind: numbers.is_percent(v.cast("string"))),
+    "latitudes": share_of(lambda v, kind: numbers.in_latitude(_number(v, kind))),
+    "longitudes": share_of(lambda v, kind: numbers.in_longitude(_number(v, kind))),
+    "codes": share_of(lambda v, kind: numbers.looks_code(v.cast("string"))),
 }
 
 
-def semantic_evidence(df: DataFrame) -> dict[str, dict]:
+def semantic_evidence(df: DataFrame, tallied: Tally | None = None) -> dict[str, dict]:
     """Per column: value shares, exact-where-it-matters cardinality, and name similarities."""
-    facts = column_dict(df, VALUE_EVIDENCE)
-    counted = screened_cardinalities(df, stats=facts)
+    tallied = tallied.named(df.columns) if tallied else tally(df, staged=True)
+    facts = column_dict(tallied, VALUE_EVIDENCE)
+    found = screened_cardinalities(tallied, stats=facts)
     names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
     for c, s in facts.items():
-        s["nunique"] = counted[c] + (s["non_null"] < s["rows"])
-        s["distinct"] = counted[c]
+        s["nunique"] = found[c] + (s["non_null"] < s["rows"])
+        s["distinct"] = found[c]
         s["names"] = {}
     for r in name_similarity(names).collect():
         facts[r["column"]]["names"][r["role"]] = r["similarity"]
@@ -180,13 +181,15 @@ def currency_of(df: DataFrame, money_column: str) -> str | None:
     return next((code for i, (code, _) in enumerate(vocab.CURRENCY_IN_TEXT) if hits[f"c{i}"]), None)
 
 
-def infer_semantics(df: DataFrame, domain_model: PipelineModel | None = None) -> Schema:
+def infer_semantics(df: DataFrame, domain_model: PipelineModel | None = None, tallied: Tally | None = None) -> Schema:
     """Roles, confidence, main date and metric, dimensions, currency and domain of a table.
 
     Names are those of the normalised header. The domain is that of ``domain_model``, or of the name rules without one.
+    ``tallied``: a tally of the columns of ``df`` in their order, where there is one already.
     """
     df = normalize_headers(df, "semantic")
-    facts = semantic_evidence(df)
+    tallied = tallied.named(df.columns) if tallied else tally(df, staged=True)
+    facts = semantic_evidence(df, tallied)
     roles, confidence, lone = _decide(facts)
     by_role = {}
     for c, r in roles.items():
@@ -219,7 +222,7 @@ def infer_semantics(df: DataFrame, domain_model: PipelineModel | None = None) ->
     if not dims:
         dims = (by_role.get(vocab.BOOL) or categories or by_role.get(vocab.ID) or [])[:1]
     units = {}
-    currency = (single_value(df) if "moneda" in df.columns else currency_of(df, money[0]) if money else None)
+    currency = (single_value(df) if "moneda" in df.columns else currency_of(tallied.values(money[0]), money[0]) if money else None)
     if currency:
         units["currency"] = currency
     if domain_model is None:
