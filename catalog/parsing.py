@@ -8,7 +8,7 @@ from catalog import Tables, query
 from catalog.dirt import auto_sql, date_sql, money_sql, plain_sql, relaxed_sql
 from limpid.functions import dates, numbers, text
 from limpid.operators import clean
-from limpid.operators.columns import column_table, share
+from limpid.operators.columns import PerValue, column_table, share, tally
 
 LINE = ("l_orderkey", "l_linenumber")
 
@@ -132,9 +132,9 @@ def _shares(source, columns):
 
 
 def _measured(df, columns):
-    measures = {name: (lambda p: lambda v, kind: F.round(share(F.when(v.isNotNull(), p(v))), 6))(p)
+    measures = {name: PerValue((lambda p: lambda v, kind: p(v))(p), lambda found, v, n: F.round(share(F.when(v.isNotNull(), found), n), 6))
                 for name, (p, _) in PREDICATES.items()}
-    return column_table(df, measures, columns).drop("ordinal")
+    return column_table(tally(df, columns), measures).drop("ordinal")
 
 
 ORDER_TEXT = ("fecha", "fecha_iso", "monto", "prioridad", "pagado", "activo")
