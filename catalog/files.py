@@ -12,6 +12,15 @@ from limpid.sources import delimited, runlog, tables, workbook
 from limpid.storage import scratch_path
 
 
+#: Rows of one written file, at most about; what a task sorts does not grow with the table.
+FILE_ROWS = 500_000
+
+
+def files_of(table, least):
+    """How many files a table is written to, ``least`` or more."""
+    return max(least, -(-table.count() // FILE_ROWS))
+
+
 @query("csv_roundtrip", """
     select o_orderkey as clave, fecha, monto, precio, nullif(prioridad, '') as prioridad, pagado, nullif(relleno, '') as relleno from dirty_orders""")
 def _(t: Tables):
@@ -52,15 +61,19 @@ def _(t: Tables):
 def _(t: Tables):
     # a parquet folder by its suffix, with clean names and row positions: the first row of each status by position
     folder = scratch_path(t.spark, "tabla") + ".parquet"
-    t.orders.selectExpr("o_orderkey as Clave", "o_orderstatus as `Estado Final`").repartitionByRange(4, "Clave").sortWithinPartitions("Clave").write.parquet(folder)
+    named = t.orders.selectExpr("o_orderkey as Clave", "o_orderstatus as `Estado Final`")
+    named.repartitionByRange(files_of(t.orders, 4), "Clave").sortWithinPartitions("Clave").write.parquet(folder)
     table = tables.load_table(t.spark, folder, position=True)
-    return table.groupBy("estado_final").agg(F.min_by("clave", "_pos").alias("clave"), F.count(F.lit(1)).alias("filas"))
+    # first in each file, by whole numbers alone: places with a name would have every task sort its rows by status
+    firsts = table.groupBy("estado_final", "_pos.file").agg(F.min_by("clave", "_pos.row").alias("clave"), F.count(F.lit(1)).alias("filas"))
+    return firsts.groupBy("estado_final").agg(F.min_by("clave", "file").alias("clave"), F.sum("filas").alias("filas"))
 
 
 @query("csv_row_order", "select o_orderkey, row_number() over (order by o_orderkey) - 1 as place from orders")
 def _(t: Tables):
     folder = scratch_path(t.spark, "csv")
-    tables.write_csv(t.orders.select("o_orderkey", "o_orderpriority").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey"), folder)
+    named = t.orders.select("o_orderkey", "o_orderpriority")
+    tables.write_csv(named.repartitionByRange(files_of(t.orders, 6), "o_orderkey").sortWithinPartitions("o_orderkey"), folder)
     table = delimited.read_csv(t.spark, folder, encoding="UTF-8", position=True)
     return delimited.number_rows(table, "place").select("o_orderkey", "place")
 
@@ -168,7 +181,7 @@ def _(t: Tables):
     folder = scratch_path(t.spark, "log")
     line = F.to_json(F.struct("type", "stage", "status", "duration_ms", F.col("event_id").alias("rows")))
     lines = t.run_events.select("event_id", F.when(F.col("event_id") % 6 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
-    lines.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(folder)
+    lines.repartitionByRange(files_of(lines, 4), "event_id").sortWithinPartitions("event_id").select("value").write.text(folder)
     return runlog.read_log(t.spark, folder, 50).select("type", "stage", "status", "duration_ms", "rows")
 
 
@@ -203,7 +216,7 @@ def _(t: Tables):
     sixth = events.agg(F.ceil((F.max("rows") + 1) / 6)).first()[0]
     for i in range(6):
         part = events.where(f"rows >= {i * sixth} and rows < {(i + 1) * sixth}")
-        runlog.append_log(part.repartitionByRange(3, "rows").sortWithinPartitions("rows"), folder)
+        runlog.append_log(part.repartitionByRange(files_of(part, 3), "rows").sortWithinPartitions("rows"), folder)
     return runlog.read_log(t.spark, folder, 70).select("type", "stage", "status", "duration_ms", "rows")
 
 
