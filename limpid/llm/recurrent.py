@@ -38,9 +38,11 @@ KNOWN = 100_000
 SHARDS, SHARDS_WIDE, SHARD_LEAST, SHARD_TOKENS, ROUNDS = 6, 48, 100_000, 2_000_000, 3
 #: Lanes are LANES, or more in a shard that still has UPDATES windows then. Only longer texts than UNCUT tokens go on in another lane.
 WINDOW, LANES, LANES_WIDE, UPDATES, UNCUT, RATE = 24, 16, 256, 400, 4096, 0.01
-#: Documents that are scored side by side, positions between which only the state is carried, and tokens that a task
+#: Lanes of documents that are scored side by side, at most and at least, positions between which only the state is carried, and tokens that a task
 #: gathers first: long documents are few, so they are best scored together.
-BESIDE, STRIDE, GATHERED = 512, 32, 4_000_000
+BESIDE, BESIDE_LEAST, STRIDE, GATHERED = 512, 384, 32, 4_000_000
+#: Rows whose classes are worked on at once: few stay in a core's cache, many suit the products of a fit.
+ROWS, ROWS_FIT = 1024, 2048
 
 
 def held_out(key: str | Column) -> Column:
@@ -75,93 +77,130 @@ class Network:
         return cls({"x": a(TYPES, 3 * HIDDEN, scale=0.1), "u": a(HIDDEN, 3 * HIDDEN, scale=HIDDEN ** -0.5), "c": a(HIDDEN, CLASSES, scale=0.02),
                     "cb": np.log(np.append(head.sum(1), rest)).astype(np.float32), "i": a(HEAD // WITHIN, HIDDEN, WITHIN, scale=0.02), "ib": np.log(head).astype(np.float32)})
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What word types take from the two gates and add to the new state: three arrays of the shape of ``x``, HIDDEN wide."""
+        a = self.w["x"].reshape(-1, HIDDEN).take(3 * x + np.arange(3).reshape(3, *[1] * x.ndim), 0)
+        np.negative(a[:2], a[:2])
+        return a
+
+    def recurrence(self) -> np.ndarray:
+        """The weights of the state in the two gates and in the new state, as three matrices; those of the gates negative."""
+        return self.w["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2) * np.array([-1, -1, 1], np.float32).reshape(3, 1, 1)
+
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """(next state, and what its gradient needs) from states and word types."""
-        a, u = self.w["x"].take(x, 0), h @ self.w["u"]
-        gates = a[:, :2 * HIDDEN] + u[:, :2 * HIDDEN]
-        np.negative(gates, gates)
+        a = self.inputs(x)
+        u = np.matmul(h, self.recurrence())
+        return self.advance(h, a, u, np.empty_like(u[2])), *a, u[2]
+
+    @staticmethod
+    def advance(h: np.ndarray, a: np.ndarray, u: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The next state, from the inputs and the state times its weights; the inputs become the gates and the new state."""
+        gates, n = a[:2], a[2]
+        gates += u[:2]
         np.exp(gates, gates)
         gates += 1
         np.reciprocal(gates, gates)
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = r * u[:, 2 * HIDDEN:]
-        n += a[:, 2 * HIDDEN:]
+        np.multiply(a[1], u[2], after)
+        n += after
         np.tanh(n, n)
-        after = h - n
-        after *= z
+        np.subtract(h, n, after)
+        after *= a[0]
         after += n
-        return after, z, r, n, u[:, 2 * HIDDEN:]
+        return after
 
     def losses(self, h: np.ndarray, x: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of word types after states: of the class, and within it for head words.
 
         With ``grads``, gradients of the sum of their negatives are added there, and that of the states is returned.
+        Classes are worked on in some rows at once, and products within a class by class; all else is done for all head words together.
         """
+        w, dtype, n = self.w, np.result_type(h, self.w["c"]), len(x)
         kind = np.where(x < HEAD, x // WITHIN, x - HEAD + HEAD // WITHIN)
-        logits = np.column_stack([h, np.ones(len(h), np.float32)]) @ np.vstack([self.w["c"], self.w["cb"]])
         # states lie between -1 and 1, so weights small enough need no shift before the exponential
-        small = max(float(np.abs(self.w[a]).sum(-2).max() + np.abs(self.w[b]).max()) for a, b in (("c", "cb"), ("i", "ib"))) < 60
-        if not small:
-            logits -= logits.max(1, keepdims=True)
-        row = np.arange(len(x))
-        out = logits[row, kind]
-        p = np.exp(logits, logits)
-        total = p @ np.ones(CLASSES, np.float32)
-        out = out - np.log(total)
-        dh = None
-        if grads is not None:
-            p /= total[:, None]
-            p[row, kind] -= 1
-            grads["c"] += h.T @ p
-            grads["cb"] += p.sum(0)
-            dh = p @ self.w["c"].T
+        small = all(HIDDEN * np.abs(w[a]).max() + np.abs(w[b]).max() < 60 or (np.abs(w[a]).sum(-2).max() + np.abs(w[b]).max()) < 60 for a, b in (("c", "cb"), ("i", "ib")))
+        out, dh = np.empty(n, dtype), None if grads is None else np.empty((n, HIDDEN), dtype)
+        classes, ones = np.vstack([w["c"], w["cb"]]), np.ones(CLASSES, dtype)
+        with_one = np.ones((n, HIDDEN + 1), dtype)
+        with_one[:, :HIDDEN] = h
+        some = ROWS if grads is None else ROWS_FIT
+        room = np.empty((min(n, some), CLASSES), dtype)
+        for a in range(0, n, some):
+            mine, p = with_one[a:a + some], room[:min(n - a, some)]
+            np.matmul(mine, classes, p)
+            if not small:
+                p -= p.max(1, keepdims=True)
+            at = np.arange(0, p.size, CLASSES) + kind[a:a + some]
+            value = p.ravel().take(at)
+            np.exp(p, p)
+            total = p @ ones
+            np.subtract(value, np.log(total), out[a:a + some])
+            if grads is not None:
+                # gradients of the rows without their division by the total, which the narrow side of each product has instead
+                p.ravel()[at] -= total
+                total = 1 / total[:, None]
+                both = (mine * total).T @ p
+                grads["c"] += both[:HIDDEN]
+                grads["cb"] += both[HIDDEN]
+                np.matmul(p, w["c"].T, dh[a:a + some])
+                dh[a:a + some] *= total
         order = np.argsort(kind.astype(np.int16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(HEAD // WITHIN + 1))
         head = order[:edges[-1]]
-        hs_all, which_all, ones = h.take(head, 0), x.take(head) % WITHIN, np.ones(WITHIN, np.float32)
-        more, back = np.empty(len(head), np.float32), np.empty_like(hs_all)
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[k], edges[k + 1]
-            hs, which, at = hs_all[a:b], which_all[a:b], row[:b - a]
-            s = hs @ self.w["i"][k]
-            s += self.w["ib"][k]
-            if not small:
-                s -= s.max(1, keepdims=True)
-            more[a:b] = s[at, which]
-            q = np.exp(s, s)
-            sums = q @ ones
-            more[a:b] -= np.log(sums)
-            if grads is not None:
-                q /= sums[:, None]
-                q[at, which] -= 1
-                grads["i"][k] += hs.T @ q
-                grads["ib"][k] += q.sum(0)
-                np.matmul(q, self.w["i"][k].T, back[a:b])
-        out[head] += more
+        if not len(head):
+            return out, dh
+        hs, s = h.take(head, 0), np.empty((len(head), WITHIN), dtype)
+        some = np.flatnonzero(np.diff(edges))
+        ranges = list(zip(some.tolist(), edges[some].tolist(), edges[some + 1].tolist()))
+        for k, a, b in ranges:
+            np.dot(hs[a:b], w["i"][k], s[a:b])
+        s += w["ib"].take(kind[head], 0)
+        if not small:
+            s -= s.max(1, keepdims=True)
+        at = np.arange(0, s.size, WITHIN) + x.take(head) % WITHIN
+        value = s.ravel().take(at)
+        np.exp(s, s)
+        total = s @ np.ones(WITHIN, dtype)
+        out[head] += value - np.log(total)
         if grads is not None:
+            s /= total[:, None]
+            s.ravel()[at] -= 1
+            back, products, turned = np.empty(hs.shape, dtype), np.empty((len(some), HIDDEN, WITHIN), dtype), w["i"].transpose(0, 2, 1)
+            for (k, a, b), product in zip(ranges, products):
+                mine = s[a:b]
+                np.dot(hs[a:b].T, mine, product)
+                np.dot(mine, turned[k], back[a:b])
+            grads["i"][some] += products
+            grads["ib"][some] += np.add.reduceat(s, edges[some])
             dh[head] += back
         return out, dh
 
 
+def dealt(sizes: list[int], n: int) -> list[list[int]]:
+    """Numbers of the texts of each lane: the longest first, each to the lane that is shortest then."""
+    lanes, heap = [[] for _ in range(n)], [(0, i) for i in range(n)]
+    for t in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+        size, i = heap[0]
+        heapq.heapreplace(heap, (size + sizes[t], i))
+        lanes[i].append(t)
+    return lanes
+
+
 def in_lanes(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(types, -1 behind the end of a lane; where a state starts anew) by position and lane. Every token is in one lane."""
     total = sum(map(len, texts))
     n = int(np.clip(total // (WINDOW * UPDATES), LANES, LANES_WIDE))
     most = max(-(-total // n), UNCUT)
     pieces = [t[a:a + most] for t in texts for a in range(0, len(t), most)]
-    lanes, heap = [[] for _ in range(n)], [(0, i) for i in range(n)]
-    for t in sorted(pieces, key=len, reverse=True):
-        size, i = heap[0]
-        heapq.heapreplace(heap, (size + len(t), i))
-        lanes[i].append(t)
-    length = max(heap)[0]
+    lanes = dealt(list(map(len, pieces)), n)
+    length = max(sum(len(pieces[t]) for t in lane) for lane in lanes)
     x, fresh = np.full((length, n), -1, np.int16), np.zeros((length, n), bool)
     for i, lane in enumerate(lanes):
         at = 0
         for t in lane:
-            x[at:at + len(t), i] = t
+            x[at:at + len(pieces[t]), i] = pieces[t]
             fresh[at, i] = True
-            at += len(t)
+            at += len(pieces[t])
     return x, fresh
 
 
@@ -171,75 +210,133 @@ def train(network: Network, texts: list[np.ndarray], state: dict | None = None)
     A lane's state runs on from window to window and is cleared where a text begins. Returns the optimiser's state.
     """
     lanes, fresh = in_lanes(texts)
-    w = network.w
-    state = state or {"t": 0, "m": {k: np.zeros_like(v) for k, v in w.items()}, "v": {k: np.zeros_like(v) for k, v in w.items()}}
-    h = np.zeros((lanes.shape[1], HIDDEN), np.float32)
+    n, dtype = lanes.shape[1], network.w["u"].dtype
+    names, sizes = list(network.w), [v.size for v in network.w.values()]
+
+    def parts_of(flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: v.reshape(network.w[k].shape) for k, v in zip(names, np.split(flat, np.cumsum(sizes)[:-1]))}
+
+    # All weights are in one array, and so are their gradients and what the optimiser keeps of these.
+    flat, slopes = np.concatenate([network.w[k].ravel() for k in names]), np.empty(sum(sizes), dtype)
+    grads = parts_of(slopes)
+    network.w = parts_of(flat)
+    state = state or {"t": 0, "m": np.zeros_like(flat), "v": np.zeros_like(flat)}
+    room = np.empty((2, 8192), dtype)
+    # By position: states before and after, the state times its weights, and gradients of the new state, the gates and the new state's part that is reset.
+    states, us, ds = np.zeros((WINDOW + 1, n, HIDDEN), dtype), np.empty((WINDOW, 3, n, HIDDEN), dtype), np.empty((4, WINDOW, n, HIDDEN), dtype)
+    of_state, double = np.empty((3, n, HIDDEN), dtype), np.result_type(dtype, np.complex64)
     for a in range(0, len(lanes), WINDOW):
         live, x = lanes[a:a + WINDOW] >= 0, np.maximum(lanes[a:a + WINDOW], 0).astype(np.int64)
-        keep = ~fresh[a:a + WINDOW, :, None]
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        trace = []
-        for t in range(len(x)):
-            start = h * keep[t]
-            h, *rest = network.step(start, x[t])
-            trace.append((start, *rest))
-        starts = np.stack([s[0] for s in trace])
+        here = fresh[a:a + WINDOW]
+        anew = here.any(1).tolist()
+        length, u, w_u = len(x), network.recurrence(), network.w["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2)
+        slopes.fill(0)
+        inputs, starts = network.inputs(x), states[:length]
+        for t in range(length):
+            if anew[t]:
+                states[t][here[t]] = 0
+            np.matmul(states[t], u, us[t])
+            network.advance(states[t], inputs[:, t], us[t], states[t + 1])
         n_seen = int(live.sum())
-        # Behind the end of a lane there is no loss, so nothing flows back from there.
-        dh = np.zeros_like(starts)
-        dh[live] = network.losses(starts[live], x[live], grads)[1]
-        z, r, n, u = (np.stack([s[i] for s in trace]) for i in range(1, 5))
-        # carry, the gradient of the state after a position, times these gives those of the gates and of the new state
-        to_z, to_n, to_r = (starts - n) * z * (1 - z), (1 - z) * (1 - n * n), u * r * (1 - r)
-        da, du = np.empty((2, *starts.shape[:2], 3 * HIDDEN), np.float32)
-        carry, back = np.zeros_like(h), np.ascontiguousarray(w["u"].T)
-        for t in range(len(x) - 1, -1, -1):
-            mine, own = da[t], du[t]
-            np.multiply(carry, to_z[t], mine[:, :HIDDEN])
-            np.multiply(carry, to_n[t], mine[:, 2 * HIDDEN:])
-            np.multiply(mine[:, 2 * HIDDEN:], to_r[t], mine[:, HIDDEN:2 * HIDDEN])
-            own[:, :2 * HIDDEN] = mine[:, :2 * HIDDEN]
-            np.multiply(mine[:, 2 * HIDDEN:], r[t], own[:, 2 * HIDDEN:])
+        flat_starts = starts.reshape(-1, HIDDEN)
+        if n_seen == live.size:
+            dh = network.losses(flat_starts, x.ravel(), grads)[1].reshape(starts.shape)
+        else:
+            # Behind the end of a lane there is no loss, so nothing flows back from there.
+            dh = np.zeros_like(starts)
+            dh[live] = network.losses(starts[live], x[live], grads)[1]
+        z, r, new = inputs
+        # carry, the gradient of the state after a position, times by_carry gives those of the new state and of the first gate;
+        # that of the new state times by_new gives those of the other gate and of what it resets
+        by_carry, by_new = np.empty((2, 2, *starts.shape), dtype)
+        np.subtract(1, z, by_carry[0])
+        np.subtract(starts, new, by_carry[1])
+        by_carry[1] *= z
+        by_carry[1] *= by_carry[0]
+        new *= new
+        np.subtract(1, new, new)
+        by_carry[0] *= new
+        np.subtract(1, r, by_new[0])
+        by_new[0] *= r
+        by_new[0] *= us[:length, 2]
+        by_new[1] = r
+        carry, back = np.zeros_like(states[0]), w_u.transpose(0, 2, 1)
+        for t in range(length - 1, -1, -1):
+            mine = ds[:, t]
+            np.multiply(carry, by_carry[:, t], mine[:2])
+            np.multiply(mine[0], by_new[:, t], mine[2:])
             carry *= z[t]
-            carry += own @ back
+            np.matmul(mine[1:], back, of_state)
+            carry += of_state[0]
+            carry += of_state[1]
+            carry += of_state[2]
             carry += dh[t]
-            carry *= keep[t]
-        kinds, of_kind = x.ravel(), da.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(kinds.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(kinds[order]) != 0))
-        grads["x"][kinds[order][first]] += np.add.reduceat(of_kind[order], first)
-        grads["u"] += starts.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+            if anew[t]:
+                carry[here[t]] = 0
+        by_kind = ds[:, :length].reshape(4, -1, HIDDEN)
+        rows = 3 * x.ravel() + np.array([[2], [0], [1]])
+        # two neighbours of a row are added as one complex number, which halves the additions
+        np.add.at(grads["x"].ravel().view(double), (rows[:, :, None] * (HIDDEN // 2) + np.arange(HIDDEN // 2)).ravel(), by_kind[:3].ravel().view(double))
+        grads["u"].reshape(HIDDEN, 3, HIDDEN)[:] += np.matmul(flat_starts.T, by_kind[1:]).transpose(1, 0, 2)
+        states[0] = states[length]
         state["t"] += 1
-        for k, g in grads.items():
-            g /= n_seen / LANES
-            m, v = state["m"][k], state["v"][k]
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w[k] -= RATE * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(v / (1 - 0.999 ** state["t"])) + 1e-8)
+        adam(flat, slopes, state, LANES / n_seen, room)
     return state
 
 
+def adam(w: np.ndarray, g: np.ndarray, state: dict, scale: float, room: np.ndarray) -> None:
+    """One update of the weights in place; ``g`` is scaled in place first. ``m`` and ``v`` are ten and a thousand times the usual means."""
+    by_m, by_v = 0.1 / (1 - 0.9 ** state["t"]), math.sqrt(0.001 / (1 - 0.999 ** state["t"]))
+    for a in range(0, len(w), room.shape[1]):
+        at = slice(a, a + room.shape[1])
+        mine, m, v = g[at], state["m"][at], state["v"][at]
+        square, step = room[:, :len(mine)]
+        mine *= scale
+        m *= 0.9
+        m += mine
+        np.multiply(mine, mine, square)
+        v *= 0.999
+        v += square
+        np.sqrt(v, step)
+        step += 1e-8 / by_v
+        np.divide(m, step, step)
+        step *= RATE * by_m / by_v
+        w[at] -= step
+
+
 def score_types(network: Network, texts: list[np.ndarray]) -> np.ndarray:
-    """Log-probability of each list of word types; the state runs through whole texts."""
+    """Log-probability of each list of word types; the state runs through whole texts.
+
+    Texts follow each other in lanes, so that few lanes run on alone behind the end of others: not more lanes than the longest text fills.
+    """
     out = np.zeros(len(texts))
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    for b in range(0, len(order), BESIDE):
-        some = order[b:b + BESIDE]
-        size = np.array([len(texts[i]) for i in some])
-        flat = np.concatenate([texts[i] for i in some])
-        begin = np.cumsum(size) - size
-        h = np.zeros((len(some), HIDDEN), np.float32)
-        for a in range(0, int(size[0]), STRIDE):
-            states, words, rows = [], [], []
-            for t in range(a, min(a + STRIDE, int(size[0]))):
-                live = int(np.searchsorted(-size, -t))  # longer ones come first
-                x = flat[begin[:live] + t]
-                states.append(h[:live])
-                words.append(x)
-                rows.append(np.arange(live))
-                h = network.step(h[:live], x)[0]
-            value, _ = network.losses(np.concatenate(states), np.concatenate(words))
-            out[some] += np.bincount(np.concatenate(rows), value, len(some))
+    sizes = list(map(len, texts))
+    if not sum(sizes):
+        return out
+    n = int(np.clip(sum(sizes) // max(sizes), BESIDE_LEAST, BESIDE))
+    lanes = sorted(((sum(sizes[t] for t in lane), lane) for lane in dealt(sizes, n) if lane), reverse=True)  # longer ones come first
+    size = np.array([s for s, _ in lanes])
+    flat = np.concatenate([texts[t] for _, lane in lanes for t in lane])
+    of = np.array([t for _, lane in lanes for t in lane])
+    long = np.array(sizes)[of]
+    begin, starts = np.cumsum(size) - size, np.cumsum(long) - long
+    first = np.zeros(len(flat), bool)
+    first[starts[long > 0]] = True
+    of, u, inputs = np.repeat(of, long), network.recurrence(), network.inputs(np.arange(TYPES))
+    h = np.zeros((len(lanes), HIDDEN), network.w["u"].dtype)
+    for a in range(0, int(size[0]), STRIDE):
+        states, rows = [], []
+        for t in range(a, min(a + STRIDE, int(size[0]))):
+            live = int(np.searchsorted(-size, -t))
+            here = begin[:live] + t
+            h = h[:live]
+            h[first[here]] = 0
+            states.append(h)
+            rows.append(here)
+            h = network.advance(h, inputs.take(flat[here], 1), np.matmul(h, u), np.empty_like(h))
+        rows = np.concatenate(rows)
+        value, _ = network.losses(np.concatenate(states), flat[rows])
+        out += np.bincount(of[rows], value, len(out))
     return out
 
 

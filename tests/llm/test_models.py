@@ -190,6 +190,73 @@ def test_state_runs_through_long_texts():
         assert abs(total - value) < 1e-2
 
 
+def test_gradients_of_all_weights():
+    """In double precision, with several texts in a lane: along any direction the gradients are the slope of the scores."""
+    r = np.random.default_rng(4)
+    texts = [r.integers(0, recurrent.TYPES, n) for n in (*[7] * 20, *[5] * 15, *[2] * 12)]
+    network = recurrent.Network({k: v.astype(np.float64) for k, v in recurrent.Network.fresh().w.items()})
+    caught, original = [], recurrent.Network.losses
+    def keep(self, h, x, grads=None):
+        caught.append(grads)
+        return original(self, h, x, grads)
+    recurrent.Network.losses = keep
+    try:
+        recurrent.train(recurrent.Network({k: v.copy() for k, v in network.w.items()}), texts)
+    finally:
+        recurrent.Network.losses = original
+    assert len(caught) == 1
+    for name, g in caught[0].items():
+        way, values = r.standard_normal(g.shape), []
+        for e in (1e-5, -1e-5):
+            w = {k: v + e * way if k == name else v for k, v in network.w.items()}
+            values.append(-recurrent.score_types(recurrent.Network(w), texts).sum())
+        slope = (values[0] - values[1]) / 2e-5
+        assert abs(slope - (g * way).sum() * sum(map(len, texts)) / recurrent.LANES) < 1e-4 * max(1, abs(slope)), name
+
+
+def test_state_goes_on_in_the_next_window(monkeypatch):
+    text = np.random.default_rng(5).integers(0, recurrent.TYPES, 2 * recurrent.WINDOW)
+    network, seen, original = recurrent.Network.fresh(), [], recurrent.Network.losses
+    def keep(self, h, x, grads=None):
+        seen.append(h.copy())
+        return original(self, h, x, grads)
+    monkeypatch.setattr(recurrent.Network, "losses", keep)
+    recurrent.train(recurrent.Network({k: v.copy() for k, v in network.w.items()}), [text])
+    h = np.zeros((1, recurrent.HIDDEN), np.float32)
+    for t in range(recurrent.WINDOW):
+        assert np.allclose(seen[0][t], h, atol=1e-5)
+        h = network.step(h, text[t:t + 1])[0]
+    assert len(seen) == 2 and np.allclose(seen[1][0], h, atol=1e-5)
+
+
+def test_head_words_are_not_worked_on_class_by_class(monkeypatch):
+    """The exponentials of all head words are taken together, however many classes they are in."""
+    network, r, calls, exp = recurrent.Network.fresh(), np.random.default_rng(6), [], np.exp
+    h, x = r.uniform(-1, 1, (900, recurrent.HIDDEN)).astype(np.float32), r.integers(0, recurrent.TYPES, 900)
+    def counted(*args):
+        calls.append(1)
+        return exp(*args)
+    monkeypatch.setattr(np, "exp", counted)
+    network.losses(h, x, {k: np.zeros_like(v) for k, v in network.w.items()})
+    assert len(calls) <= 2
+
+
+def test_texts_follow_each_other_in_lanes(monkeypatch):
+    """Scores do not depend on the lanes, and few positions are left to lanes that run on alone."""
+    network, r = recurrent.Network.fresh(seed=3), np.random.default_rng(7)
+    texts = [r.integers(0, recurrent.TYPES, n).astype(np.int16) for n in (300, *[40] * 30, 1, 0, *r.integers(1, 70, 40))]
+    want = [recurrent.score_types(network, [t])[0] for t in texts]
+    monkeypatch.setattr(recurrent, "BESIDE", 8)
+    monkeypatch.setattr(recurrent, "BESIDE_LEAST", 4)
+    steps, advance = [], recurrent.Network.advance
+    def counted(h, *args):
+        steps.append(len(h))
+        return advance(h, *args)
+    monkeypatch.setattr(recurrent.Network, "advance", staticmethod(counted))
+    assert np.allclose(recurrent.score_types(network, texts), want, rtol=1e-5)
+    assert sum(steps) == sum(map(len, texts)) and len(steps) <= sum(map(len, texts)) / 8 + 70
+
+
 def test_scores_of_odd_tables(odd, none):
     rows = recurrent.score(odd).collect()
     assert len(rows) == odd.count() and all(np.isfinite(r["score"]) for r in rows)
