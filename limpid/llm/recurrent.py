@@ -40,7 +40,7 @@ SHARDS, SHARDS_WIDE, SHARD_LEAST, SHARD_TOKENS, ROUNDS = 6, 48, 100_000, 2_000_0
 WINDOW, LANES, LANES_WIDE, UPDATES, UNCUT, RATE = 24, 16, 256, 400, 4096, 0.01
 #: Lanes of documents that are scored side by side, at most and at least, positions between which only the state is carried, and tokens that a task
 #: gathers first: long documents are few, so they are best scored together.
-BESIDE, BESIDE_LEAST, STRIDE, GATHERED = 512, 384, 32, 4_000_000
+BESIDE, BESIDE_LEAST, STRIDE, GATHERED = 512, 384, 16, 4_000_000
 #: Rows whose classes are worked on at once: few stay in a core's cache, many suit the products of a fit.
 ROWS, ROWS_FIT = 1024, 2048
 
@@ -121,12 +121,11 @@ class Network:
         small = all(HIDDEN * np.abs(w[a]).max() + np.abs(w[b]).max() < 60 or (np.abs(w[a]).sum(-2).max() + np.abs(w[b]).max()) < 60 for a, b in (("c", "cb"), ("i", "ib")))
         out, dh = np.empty(n, dtype), None if grads is None else np.empty((n, HIDDEN), dtype)
         classes, ones = np.vstack([w["c"], w["cb"]]), np.ones(CLASSES, dtype)
-        with_one = np.ones((n, HIDDEN + 1), dtype)
-        with_one[:, :HIDDEN] = h
-        some = ROWS if grads is None else ROWS_FIT
-        room = np.empty((min(n, some), CLASSES), dtype)
+        some = min(n, ROWS if grads is None else ROWS_FIT)
+        with_one, room = np.ones((some, HIDDEN + 1), dtype), np.empty((some, CLASSES), dtype)
         for a in range(0, n, some):
-            mine, p = with_one[a:a + some], room[:min(n - a, some)]
+            mine, p = with_one[:n - a], room[:n - a]
+            mine[:, :HIDDEN] = h[a:a + some]
             np.matmul(mine, classes, p)
             if not small:
                 p -= p.max(1, keepdims=True)
@@ -221,10 +220,10 @@ def train(network: Network, texts: list[np.ndarray], state: dict | None = None)
     grads = parts_of(slopes)
     network.w = parts_of(flat)
     state = state or {"t": 0, "m": np.zeros_like(flat), "v": np.zeros_like(flat)}
-    room = np.empty((2, 8192), dtype)
+    room = np.empty((2, len(flat)), dtype)
     # By position: states before and after, the state times its weights, and gradients of the new state, the gates and the new state's part that is reset.
     states, us, ds = np.zeros((WINDOW + 1, n, HIDDEN), dtype), np.empty((WINDOW, 3, n, HIDDEN), dtype), np.empty((4, WINDOW, n, HIDDEN), dtype)
-    of_state, double = np.empty((3, n, HIDDEN), dtype), np.result_type(dtype, np.complex64)
+    of_state, double, pairs = np.empty((3, n, HIDDEN), dtype), np.result_type(dtype, np.complex64), np.arange(TYPES * 3 * HIDDEN // 2).reshape(TYPES * 3, -1)
     for a in range(0, len(lanes), WINDOW):
         live, x = lanes[a:a + WINDOW] >= 0, np.maximum(lanes[a:a + WINDOW], 0).astype(np.int64)
         here = fresh[a:a + WINDOW]
@@ -276,7 +275,7 @@ def train(network: Network, texts: list[np.ndarray], state: dict | None = None)
         by_kind = ds[:, :length].reshape(4, -1, HIDDEN)
         rows = 3 * x.ravel() + np.array([[2], [0], [1]])
         # two neighbours of a row are added as one complex number, which halves the additions
-        np.add.at(grads["x"].ravel().view(double), (rows[:, :, None] * (HIDDEN // 2) + np.arange(HIDDEN // 2)).ravel(), by_kind[:3].ravel().view(double))
+        np.add.at(grads["x"].ravel().view(double), pairs.take(rows.ravel(), 0).ravel(), by_kind[:3].ravel().view(double))
         grads["u"].reshape(HIDDEN, 3, HIDDEN)[:] += np.matmul(flat_starts.T, by_kind[1:]).transpose(1, 0, 2)
         states[0] = states[length]
         state["t"] += 1
@@ -287,21 +286,18 @@ def train(network: Network, texts: list[np.ndarray], state: dict | None = None)
 def adam(w: np.ndarray, g: np.ndarray, state: dict, scale: float, room: np.ndarray) -> None:
     """One update of the weights in place; ``g`` is scaled in place first. ``m`` and ``v`` are ten and a thousand times the usual means."""
     by_m, by_v = 0.1 / (1 - 0.9 ** state["t"]), math.sqrt(0.001 / (1 - 0.999 ** state["t"]))
-    for a in range(0, len(w), room.shape[1]):
-        at = slice(a, a + room.shape[1])
-        mine, m, v = g[at], state["m"][at], state["v"][at]
-        square, step = room[:, :len(mine)]
-        mine *= scale
-        m *= 0.9
-        m += mine
-        np.multiply(mine, mine, square)
-        v *= 0.999
-        v += square
-        np.sqrt(v, step)
-        step += 1e-8 / by_v
-        np.divide(m, step, step)
-        step *= RATE * by_m / by_v
-        w[at] -= step
+    m, v, (square, step) = state["m"], state["v"], room
+    g *= scale
+    m *= 0.9
+    m += g
+    np.multiply(g, g, square)
+    v *= 0.999
+    v += square
+    np.sqrt(v, step)
+    step += 1e-8 / by_v
+    np.divide(m, step, step)
+    step *= RATE * by_m / by_v
+    w -= step
 
 
 def score_types(network: Network, texts: list[np.ndarray]) -> np.ndarray:
@@ -323,19 +319,21 @@ def score_types(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     first = np.zeros(len(flat), bool)
     first[starts[long > 0]] = True
     of, u, inputs = np.repeat(of, long), network.recurrence(), network.inputs(np.arange(TYPES))
-    h = np.zeros((len(lanes), HIDDEN), network.w["u"].dtype)
+    # the states of all positions of a stride, one behind the other
+    states = np.zeros(((STRIDE + 1) * len(lanes), HIDDEN), network.w["u"].dtype)
+    h = states[:len(lanes)]
     for a in range(0, int(size[0]), STRIDE):
-        states, rows = [], []
+        states[:len(h)], at, rows = h, 0, []
         for t in range(a, min(a + STRIDE, int(size[0]))):
             live = int(np.searchsorted(-size, -t))
             here = begin[:live] + t
-            h = h[:live]
+            h = states[at:at + live]
             h[first[here]] = 0
-            states.append(h)
             rows.append(here)
-            h = network.advance(h, inputs.take(flat[here], 1), np.matmul(h, u), np.empty_like(h))
+            at += live
+            h = network.advance(h, inputs.take(flat[here], 1), np.matmul(h, u), states[at:at + live])
         rows = np.concatenate(rows)
-        value, _ = network.losses(np.concatenate(states), flat[rows])
+        value, _ = network.losses(states[:at], flat[rows])
         out += np.bincount(of[rows], value, len(out))
     return out
 
